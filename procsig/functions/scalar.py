@@ -78,6 +78,15 @@ def normal_pdf(x: str | Column, mu: str | Column, sigma: str | Column) -> Column
     return F.exp(-F.pow((x - mu) / sigma, 2) / 2) / (sigma * F.lit((2 * 3.141592653589793) ** 0.5))
 
 
+def round_half_up(x: str | Column, digits: int) -> Column:
+    """Round the binary value half up with plain double arithmetic: floor(x * 10^d + 0.5) / 10^d.
+
+    Deterministic across engines (``round`` in Spark rounds the printed decimal instead).
+    """
+    scale = F.lit(10.0 ** digits)
+    return F.floor(col_(x) * scale + F.lit(0.5)) / scale
+
+
 def percent_text(x: str | Column) -> Column:
     """Python's ``f'{x:.1%}'`` (half-even on the decimal value, so 0.1225 -> 12.2%)."""
     return F.format_string("%.1f%%", F.bround(col_(x) * 100, 1))

@@ -16,6 +16,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procsig.functions.scalar import round_half_up
 from procsig.operators.detect import Moments, z_exprs
 from procsig.plans.guard import bounded_broadcast, collect_bounded
 
@@ -79,7 +80,7 @@ def format_attribution(top: DataFrame, row_cols: Sequence[str], digits: int = 4)
     Each group holds at most n rows, so the collected list is bounded.
     """
     item = F.struct(F.col("rank"), F.col("base").alias("variable_name"), F.col("description"),
-                    F.round(F.col("total"), digits).alias("importance_score"))
+                    round_half_up(F.col("total"), digits).alias("importance_score"))
     agg = top.groupBy(*row_cols).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     return agg.select(*row_cols, F.transform("_items", lambda x: F.struct(
         x["variable_name"].alias("variable_name"), x["description"].alias("description"),
@@ -126,7 +127,7 @@ def top_bases_expr(contrib_cols: Mapping[str, str], groups: Mapping[str, Sequenc
     return F.transform(top, lambda x: F.struct(
         x["variable_name"].alias("variable_name"),
         (desc_map[x["variable_name"]] if desc_map is not None else F.lit(None).cast("string")).alias("description"),
-        F.round(x["total"], digits).alias("importance_score")))
+        round_half_up(x["total"], digits).alias("importance_score")))
 
 
 def variable_descriptions(dim: DataFrame, max_rows: int = 10_000) -> dict[str, str]:

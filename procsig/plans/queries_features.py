@@ -54,14 +54,14 @@ _ROLL = [fe.rolling_name(c, s, 3) for c in LV for s in fe.ROLLING_STATS]
 
 
 @register("rolling_features", f"""
-SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(_ROLL, 4)} FROM (
+SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(_ROLL, 6)} FROM (
   SELECT l_suppkey, l_orderkey, l_linenumber,
          {', '.join(rolling_sql(c, 3, s, LW) for c in LV for s in fe.ROLLING_STATS)}
   FROM lineitem WHERE l_suppkey IS NOT NULL)
 """)
 def rolling_features(spark, sf):
     out = fe.rolling_features(_lineitem(spark, sf), L.spec, (3,), LV, dropna=False)
-    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *_ROLL), 4)
+    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *_ROLL), 6)
 
 
 # ---------------------------------------------------------------- W3 diff
@@ -69,7 +69,7 @@ _DIFF = [fe.diff_name(c) for c in LV]
 
 
 @register("diff_features", f"""
-SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(_DIFF, 4)} FROM (
+SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(_DIFF, 6)} FROM (
   SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, {', '.join(LV)},
          {', '.join(f"{c} - lag({c}, 1) OVER ({LW}) AS {c}_diff" for c in LV)}
   FROM lineitem WHERE l_suppkey IS NOT NULL)
@@ -77,7 +77,7 @@ WHERE {complete(['l_suppkey', 'l_shipdate', 'l_orderkey', 'l_linenumber'] + LV +
 """)
 def diff_features(spark, sf):
     out = fe.diff_features(_lineitem(spark, sf), L.spec, LV, dropna=True)
-    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *_DIFF), 4)
+    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *_DIFF), 6)
 
 
 # ---------------------------------------------------------------- W4 training chain
@@ -106,14 +106,14 @@ def feature_chain_train(spark, sf):
 
 # ---------------------------------------------------------------- W5 serving chain
 @register("feature_chain_serving", f"""
-SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(L_FEATS, 4)} FROM (
+SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(L_FEATS, 6)} FROM (
   SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, {', '.join(LV)}, {', '.join(feature_sql(LV, LW))}
   FROM lineitem WHERE l_suppkey IS NOT NULL)
 WHERE {complete(['l_suppkey', 'l_shipdate', 'l_orderkey', 'l_linenumber'] + L_FEATS, L_FEATS)}
 """)
 def feature_chain_serving(spark, sf):
     out = fe.feature_chain_serving(_lineitem(spark, sf), L.spec, LV)
-    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *L_FEATS), 4)
+    return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *L_FEATS), 6)
 
 
 # ---------------------------------------------------------------- W7 global window, chunked

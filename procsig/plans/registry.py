@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procsig.functions.scalar import round_half_up
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -19,17 +21,55 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = tie_safe_round_sql(sql)
         return fn
     return deco
 
 
+def tie_safe_round_sql(sql: str) -> str:
+    """Rewrite every ``round(expr, d)`` into ``floor(expr * 1e{d} + 0.5) / 1e{d}``.
+
+    Same IEEE arithmetic as ``round_half_up`` on the Spark side, so both engines round the
+    same binary value the same way (their built-in ``round`` functions differ on values
+    that print as exact ties).
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 1, j + 6, -1
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = sql[j + 6:k - 1]
+        if comma < 0:
+            expr, d = inner, "0"
+        else:
+            expr, d = sql[j + 6:comma], sql[comma + 1:k - 1].strip()
+        expr = tie_safe_round_sql(expr)
+        out.append(sql[i:j])
+        out.append(f"(floor(({expr}) * 1e{d} + 0.5) / 1e{d})")
+        i = k
+
+
 def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
     """Round every double column (float noise would break value hashes)."""
     out = []
     for c, t in df.dtypes:
         d = digits.get(c, digits.get("*", 6)) if isinstance(digits, dict) else digits
-        out.append(F.round(F.col(c), d).alias(c) if t in ("double", "float") else F.col(c))
+        out.append(round_half_up(F.col(c), d).alias(c) if t in ("double", "float") else F.col(c))
     return df.select(*out)
 
 
