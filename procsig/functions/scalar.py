@@ -88,8 +88,13 @@ def round_half_up(x: str | Column, digits: int) -> Column:
 
 
 def percent_text(x: str | Column) -> Column:
-    """Python's ``f'{x:.1%}'`` (half-even on the decimal value, so 0.1225 -> 12.2%)."""
-    return F.format_string("%.1f%%", F.bround(col_(x) * 100, 1))
+    """``x`` as a percentage with one decimal, e.g. 0.1225 -> ``12.2%``.
+
+    The tenth-of-a-percent count is rounded on the binary value (floor(x*1000 + 0.5)) and
+    printed with integer arithmetic, so no decimal-string rounding is involved.
+    """
+    n = F.floor(col_(x) * F.lit(1000.0) + F.lit(0.5))
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"), F.lit("%"))
 
 
 def base_of(feature: str | Column, parts: int = 2) -> Column:
@@ -119,7 +124,7 @@ def cache_key(conf: str | Column, descriptions: str | Column) -> Column:
     """md5 of ``"{round(conf,2)}_{sorted descriptions as a list literal}"``."""
     listed = F.concat(F.lit("['"), F.array_join(F.array_sort(col_(descriptions)), "', '"), F.lit("']"))
     listed = F.when(F.size(col_(descriptions)) == 0, F.lit("[]")).otherwise(listed)
-    return F.md5(F.concat_ws("_", F.bround(col_(conf), 2).cast("string"), listed))
+    return F.md5(F.concat_ws("_", round_half_up(col_(conf), 2).cast("string"), listed))
 
 
 def clock_text(ts: str | Column) -> Column:

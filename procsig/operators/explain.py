@@ -96,28 +96,29 @@ def base_groups(catalog_rows: Sequence[tuple[str, str]]) -> dict[str, list[str]]
     return groups
 
 
-def top_bases_expr(contrib_cols: Mapping[str, str], groups: Mapping[str, Sequence[str]], n: int,
-                   descriptions: Mapping[str, str] | None = None, digits: int = 4) -> Column:
-    """R2 inside one projection: sum each base's contribution columns, sort, keep n.
-
-    ``contrib_cols`` maps feature -> contribution column name. Order: total descending
-    (signed, so bases pushing towards normal rank last), then base name ascending.
-    """
-    totals = []
+def base_total_exprs(contrib_cols: Mapping[str, str], groups: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """Per-row signed total of each base's contribution columns (plain column sums)."""
+    out = {}
     for base, feats in groups.items():
         s = None
         for f in feats:
             c = F.col(contrib_cols[f])
             s = c if s is None else s + c
-        totals.append(F.struct(F.lit(base).alias("variable_name"), s.alias("total")))
-    arr = F.array(*totals)
+        out[base] = s
+    return out
 
-    def cmp(l, r):
-        return (F.when(l["total"] > r["total"], -1).when(l["total"] < r["total"], 1)
-                .when(l["variable_name"] < r["variable_name"], -1)
-                .when(l["variable_name"] > r["variable_name"], 1).otherwise(0))
 
-    top = F.slice(F.array_sort(arr, cmp), 1, n)
+def top_bases_expr(total_cols: Mapping[str, str], n: int, descriptions: Mapping[str, str] | None = None,
+                   digits: int = 4) -> Column:
+    """R2 inside one projection: sort the bases of a row by total and keep n.
+
+    ``total_cols`` maps base -> column holding its total. Sorting an array of
+    ``struct(-total, name)`` ascending gives total descending (signed, so bases pushing
+    towards normal rank last) and then name ascending, with no comparator lambda.
+    """
+    arr = F.array(*[F.struct((-F.col(c)).alias("neg_total"), F.lit(b).alias("variable_name"))
+                    for b, c in total_cols.items()])
+    top = F.slice(F.array_sort(arr), 1, n)
     desc_map = None
     if descriptions:
         kv = []
@@ -127,7 +128,7 @@ def top_bases_expr(contrib_cols: Mapping[str, str], groups: Mapping[str, Sequenc
     return F.transform(top, lambda x: F.struct(
         x["variable_name"].alias("variable_name"),
         (desc_map[x["variable_name"]] if desc_map is not None else F.lit(None).cast("string")).alias("description"),
-        round_half_up(x["total"], digits).alias("importance_score")))
+        round_half_up(-x["neg_total"], digits).alias("importance_score")))
 
 
 def variable_descriptions(dim: DataFrame, max_rows: int = 10_000) -> dict[str, str]:

@@ -100,10 +100,11 @@ def resolve_explanation(analyses: DataFrame, responses: DataFrame) -> DataFrame:
                          action_line(explanation).alias("action"))
 
 
-def worklist(analyses: DataFrame, responses: DataFrame | None, order: str = "seq") -> DataFrame:
+def worklist(analyses: DataFrame, responses: DataFrame | None, order: str | Column = "seq") -> DataFrame:
     """One entry per cache key not yet answered, represented by its earliest analysis."""
+    order = F.col(order) if isinstance(order, str) else order
     first = (analyses.groupBy("cache_key")
-             .agg(F.min_by(F.struct(*[F.col(c) for c in analyses.columns if c != "cache_key"]), F.col(order))
+             .agg(F.min_by(F.struct(*[F.col(c) for c in analyses.columns if c != "cache_key"]), order)
                   .alias("_first"), F.count(F.lit(1)).alias("n_requests")))
     first = first.select("cache_key", "_first.*", "n_requests")
     if responses is not None:

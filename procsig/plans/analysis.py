@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from procsig.operators import features as fe
 from procsig.operators.detect import fit_scaled_zscore, z_exprs
-from procsig.operators.explain import top_bases_expr
+from procsig.operators.explain import base_total_exprs, top_bases_expr
 from procsig.operators.prepare import holdout_split
 from procsig.operators.report import DEFAULT_TEMPLATES, with_alert_text
 from procsig.functions.scalar import logistic
@@ -46,8 +46,11 @@ def serving_features(df: DataFrame, spec: SeriesSpec, variables: Sequence[str],
 def analysis_records(samples: DataFrame, spec: SeriesSpec, variables: Sequence[str], label: str = "label",
                      sample: str = "sample", threshold: float = 3.0, top_n: int = 3,
                      descriptions: Mapping[str, str] | None = None, train_fraction: float = 0.8,
-                     templates: Mapping[str, str] = DEFAULT_TEMPLATES) -> DataFrame:
-    """One record per (series, sample): status, prediction, confidence, top variables, texts."""
+                     templates: Mapping[str, str] = DEFAULT_TEMPLATES, keep: Sequence[str] = ()) -> DataFrame:
+    """One record per (series, sample): status, prediction, confidence, top variables, texts.
+
+    ``keep`` names input columns carried through unchanged (e.g. a timestamp).
+    """
     names = fe.feature_names(variables)
     feats = serving_features(samples, spec, variables, sample)
     series = spec.keys[0]
@@ -56,15 +59,22 @@ def analysis_records(samples: DataFrame, spec: SeriesSpec, variables: Sequence[s
     scaler, zmodel = fit_scaled_zscore(train_ok, names, normal=~F.col(label))
     zs = z_exprs(zmodel, scaler)
     groups = {v: [n for n in names if n == v or n.startswith(v + "_")] for v in variables}
-    scored = feats.select(
-        *spec.keys, sample, label, "split", "ok",
-        (F.greatest(*zs.values()) if len(names) > 1 else zs[names[0]]).alias("max_z"),
-        *[(z - F.lit(threshold)).alias(f"{f}__c") for f, z in zs.items()],
+    # z columns get their own projection: each is then computed once, and the later
+    # projection (max, contributions, sorting) stays small enough for whole-stage codegen
+    zcols = feats.select(*spec.keys, sample, label, "split", "ok", *keep,
+                         *[z.alias(f"{f}__z") for f, z in zs.items()])
+    scored = zcols.select(
+        *spec.keys, sample, label, "split", "ok", *keep,
+        (F.greatest(*[F.col(f"{f}__z") for f in names]) if len(names) > 1 else F.col(f"{names[0]}__z")).alias("max_z"),
+        *[(F.col(f"{f}__z") - F.lit(threshold)).alias(f"{f}__c") for f in names],
     )
     cmap = {f: f"{f}__c" for f in names}
-    top = top_bases_expr(cmap, groups, top_n, descriptions)
+    totals = base_total_exprs(cmap, groups)
+    scored = scored.select(*spec.keys, sample, label, "split", "ok", *keep, "max_z",
+                           *[t.alias(f"{b}__total") for b, t in totals.items()])
+    top = top_bases_expr({b: f"{b}__total" for b in totals}, top_n, descriptions)
     rec = scored.select(
-        *spec.keys, F.col(sample).cast("int").alias(sample), label, "split",
+        *spec.keys, F.col(sample).cast("int").alias(sample), label, "split", *keep,
         F.when(F.col("ok"), "OK").otherwise("ERROR").alias("status"),
         F.when(F.col("ok"), F.col("max_z")).alias("max_z"),
         F.when(F.col("ok"), (F.col("max_z") > F.lit(threshold)).cast("int")).alias("prediction"),

@@ -85,3 +85,75 @@ fit AS (SELECT sc.*, {', '.join(zmodel)} FROM sc),
 zrows AS (SELECT feats.*, {', '.join(z_parts)} FROM feats, fit),
 scored AS (SELECT *, {greatest} AS max_z, CAST({greatest} > {threshold} AS INTEGER) AS prediction,
                   1.0::DOUBLE / (1.0 + exp(-({greatest} - {threshold}))) AS confidence FROM zrows)"""
+
+
+# ----------------------------------------------------------------- lineitem analysis record
+
+def lineitem_records(spark: SparkSession, sf: str, threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
+    """R11 over lineitem: one record per (supplier, sample)."""
+    from procsig.plans.analysis import analysis_records
+    from procsig.sources.tables import LINEITEM, VARIABLE_DESCRIPTIONS
+    b = LINEITEM
+    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec)
+    return analysis_records(samples, b.spec, list(b.variables), threshold=threshold,
+                            descriptions=VARIABLE_DESCRIPTIONS, train_fraction=TRAIN_FRACTION, keep=keep)
+
+
+def lineitem_records_sql(threshold: float = THRESHOLD) -> str:
+    """CTEs ``zr`` (every row: ok flag, z per feature, contributions), ``tot`` (base totals of ok
+    rows), ``rk`` (ranked bases with descriptions) and ``rec`` (the record without texts)."""
+    from procsig.sources.tables import LINEITEM, VARIABLE_DESCRIPTIONS
+    b = LINEITEM
+    lv = list(b.variables)
+    feats = fe.feature_names(lv)
+    w = win(b)
+    fit_parts, std_parts, zmodel, z_parts = [], [], [], []
+    for f in feats:
+        fit_parts += [f"avg({q(f)}) AS {q(f + '__m')}", f"stddev_pop({q(f)}) AS {q(f + '__s')}",
+                      f"avg(CASE WHEN NOT label THEN {q(f)} END) AS {q(f + '__nm')}",
+                      f"stddev_pop(CASE WHEN NOT label THEN {q(f)} END) AS {q(f + '__ns')}"]
+        std_parts.append(f"CASE WHEN {q(f + '__s')} IS NULL OR {q(f + '__s')} = 0 THEN 1.0::DOUBLE ELSE {q(f + '__s')} END AS {q(f + '__sd')}")
+        zmodel += [f"({q(f + '__nm')} - {q(f + '__m')}) / {q(f + '__sd')} AS {q(f + '__zm')}",
+                   f"CASE WHEN {q(f + '__ns')} / {q(f + '__sd')} = 0 THEN {ZERO_STD_GUARD}::DOUBLE "
+                   f"ELSE {q(f + '__ns')} / {q(f + '__sd')} END AS {q(f + '__zs')}"]
+        z_parts.append(f"abs((({q(f)} - {q(f + '__m')}) / {q(f + '__sd')} - {q(f + '__zm')}) / {q(f + '__zs')}) AS {q(f + '__z')}")
+    seq = "coalesce(sample >= 3 AND lag(sample, 1) OVER (" + w + ") = sample - 1 AND lag(sample, 2) OVER (" + w + ") = sample - 2, false)"
+    okc = " AND ".join(f"{q(f)} IS NOT NULL AND NOT isnan({q(f)})" for f in feats)
+    groups = {v: [n for n in feats if n == v or n.startswith(v + "_")] for v in lv}
+    tot = "\nUNION ALL\n".join(
+        f"SELECT l_suppkey, sample, '{v}' AS base, {' + '.join('(' + q(f + '__z') + ' - ' + repr(threshold) + ')' for f in groups[v])} AS total FROM zr WHERE ok"
+        for v in lv)
+    desc = "CASE base " + " ".join(f"WHEN '{k}' THEN '{d}'" for k, d in VARIABLE_DESCRIPTIONS.items()) + " END"
+    greatest = "greatest(" + ", ".join(q(f + "__z") for f in feats) + ")"
+    return f"""WITH s AS (
+  SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, {', '.join(lv)}, l_returnflag = 'R' AS label,
+         CAST(row_number() OVER ({w}) AS INTEGER) AS sample
+  FROM lineitem WHERE l_suppkey IS NOT NULL),
+f AS (SELECT s.*, {', '.join(feature_sql(lv, w))}, {seq} AS seq_ok FROM s),
+cut AS (SELECT min(l_suppkey) + {TRAIN_FRACTION} * (max(l_suppkey) - min(l_suppkey)) AS c FROM lineitem),
+fs AS (SELECT f.*, CASE WHEN l_suppkey <= c THEN 'train' ELSE 'validation' END AS split,
+              seq_ok AND {okc} AS ok FROM f, cut),
+raw AS (SELECT {', '.join(fit_parts)} FROM fs WHERE ok AND split = 'train'),
+sc AS (SELECT raw.*, {', '.join(std_parts)} FROM raw),
+fit AS (SELECT sc.*, {', '.join(zmodel)} FROM sc),
+zr AS (SELECT fs.*, {', '.join(z_parts)} FROM fs, fit),
+tot AS ({tot}),
+rk AS (SELECT *, {desc} AS description,
+              CAST(row_number() OVER (PARTITION BY l_suppkey, sample ORDER BY total DESC, base) AS INTEGER) AS rank FROM tot),
+top AS (SELECT l_suppkey, sample,
+               max(CASE WHEN rank = 1 THEN base END) AS top1_variable, max(CASE WHEN rank = 1 THEN total END) AS top1_score,
+               max(CASE WHEN rank = 2 THEN base END) AS top2_variable, max(CASE WHEN rank = 2 THEN total END) AS top2_score,
+               max(CASE WHEN rank = 3 THEN base END) AS top3_variable, max(CASE WHEN rank = 3 THEN total END) AS top3_score,
+               max(CASE WHEN rank = 1 THEN description END) AS d1, max(CASE WHEN rank = 2 THEN description END) AS d2,
+               max(CASE WHEN rank = 3 THEN description END) AS d3
+        FROM rk WHERE rank <= 3 GROUP BY l_suppkey, sample),
+rec0 AS (SELECT zr.l_suppkey, zr.sample, zr.label, zr.split, zr.l_shipdate,
+                CASE WHEN ok THEN 'OK' ELSE 'ERROR' END AS status,
+                CASE WHEN ok THEN {greatest} END AS max_z,
+                CASE WHEN ok THEN CAST({greatest} > {threshold} AS INTEGER) END AS prediction,
+                CASE WHEN ok THEN 1.0::DOUBLE / (1.0 + exp(-({greatest} - {threshold}))) END AS confidence
+         FROM zr),
+rec AS (SELECT rec0.*, top.top1_variable, top.top1_score, top.top2_variable, top.top2_score,
+               top.top3_variable, top.top3_score, d1, d2, d3,
+               CASE WHEN confidence >= 0.75 THEN 'ALERT' WHEN confidence >= 0.5 THEN 'CAUTION' WHEN confidence IS NOT NULL THEN 'NORMAL' END AS tier
+        FROM rec0 LEFT JOIN top ON rec0.l_suppkey = top.l_suppkey AND rec0.sample = top.sample)"""
