@@ -1 +1,86 @@
-"""Bound queries."""
+"""Bound queries: ML detectors (D6-D10, D13-D15) on lineitem features. Checked on rows only."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from procsig.operators import features as fe
+from procsig.operators import models as md
+from procsig.operators.detect import fit_scaler, standardise
+from procsig.operators.evaluate import model_metrics
+from procsig.operators.prepare import holdout_cut, holdout_split
+from procsig.plans.analysis import serving_features
+from procsig.plans.bound import TRAIN_FRACTION
+from procsig.plans.registry import register, rounded
+from procsig.session import cut_lineage
+from procsig.sources.tables import LINEITEM
+
+LV = list(LINEITEM.variables)
+FEATS = fe.feature_names(LV)
+KEEP = ["l_suppkey", "sample", "label"]
+
+
+def _frames(spark, sf):
+    """Standardised complete rows split into train / validation, each materialised once
+    (iterative fits re-read their input many times)."""
+    b = LINEITEM
+    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec)
+    feats = serving_features(samples, b.spec, LV).filter("ok")
+    feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(samples, "l_suppkey", TRAIN_FRACTION))
+    feats = feats.select(*KEEP, "split", *FEATS)
+    scaler = fit_scaler(feats.filter(F.col("split") == "train"), FEATS)
+    x = cut_lineage(standardise(feats, scaler))
+    return x.filter(F.col("split") == "train"), x.filter(F.col("split") == "validation")
+
+
+def _score(spark, sf, kind, **params):
+    train, val = _frames(spark, sf)
+    model = md.fit_for(kind, train, FEATS, **params)
+    return rounded(md.score_classifier(model, val, KEEP), 6)
+
+
+@register("logistic_score")
+def logistic_score(spark, sf):
+    return _score(spark, sf, "logistic", regParam=0.01, maxIter=50)
+
+
+@register("random_forest_score")
+def random_forest_score(spark, sf):
+    return _score(spark, sf, "random_forest", numTrees=20, maxDepth=8, featureSubsetStrategy="sqrt", seed=42)
+
+
+@register("boosted_score")
+def boosted_score(spark, sf):
+    return _score(spark, sf, "boosted", maxIter=20, maxDepth=5, stepSize=0.1, subsamplingRate=0.9, seed=42)
+
+
+def _iforest(spark, sf):
+    train, val = _frames(spark, sf)
+    forest = md.fit_for("isolation_forest", train, FEATS, n_trees=50, max_samples=256, max_features=0.66, seed=42)
+    fitted = forest.score(train.filter(~F.col("label")), KEEP)
+    forest.with_threshold(fitted, contamination=0.322)
+    return forest.predict(forest.score(val, KEEP))
+
+
+@register("isolation_forest_score")
+def isolation_forest_score(spark, sf):
+    return rounded(_iforest(spark, sf), 6)
+
+
+@register("param_search")
+def param_search(spark, sf):
+    train, val = _frames(spark, sf)
+    space = {"regParam": ("float", 1e-4, 1.0, True), "maxIter": ("int", 20, 60, 20)}
+    return rounded(md.param_search(spark, train, val, FEATS, "logistic", space, trials=4, seed=42), 6)
+
+
+@register("ml_model_comparison")
+def ml_model_comparison(spark, sf):
+    """D14 over ML detectors: one metrics row per model (scores in long form)."""
+    train, val = _frames(spark, sf)
+    lr = md.score_classifier(md.fit_for("logistic", train, FEATS, regParam=0.01, maxIter=50), val, KEEP)
+    rf = md.score_classifier(md.fit_for("random_forest", train, FEATS, numTrees=20, maxDepth=8, seed=42), val, KEEP)
+    longs = [lr.select(F.lit("logistic").alias("model"), "label", "prediction", F.col("probability").alias("score")),
+             rf.select(F.lit("random_forest").alias("model"), "label", "prediction", F.col("probability").alias("score"))]
+    scores = longs[0].unionByName(longs[1])
+    return rounded(model_metrics(scores), 6)
