@@ -1 +1,16 @@
-"""Bound queries."""
+"""Bound query: streaming scorer (X1) over the events files, same result as the batch chain."""
+
+from __future__ import annotations
+
+from procsig.plans.bound import THRESHOLD, events_scored, events_scored_sql
+from procsig.plans.registry import register, rounded
+from procsig.streaming.scorer import run_to_table
+
+
+@register("stream_scores", events_scored_sql() + """
+SELECT user_id, event_id, round(max_z, 6) AS max_z, prediction, round(confidence, 6) AS confidence,
+       CASE WHEN confidence >= 0.75 THEN 'ALERT' WHEN confidence >= 0.5 THEN 'CAUTION' ELSE 'NORMAL' END AS tier
+FROM scored""")
+def stream_scores(spark, sf):
+    s = events_scored(spark, sf)
+    return rounded(run_to_table(spark, sf, s.scaler, s.zmodel, THRESHOLD), 6)
