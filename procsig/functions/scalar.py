@@ -87,14 +87,48 @@ def round_half_up(x: str | Column, digits: int) -> Column:
     return F.floor(col_(x) * scale + F.lit(0.5)) / scale
 
 
-def percent_text(x: str | Column) -> Column:
-    """``x`` as a percentage with one decimal, e.g. 0.1225 -> ``12.2%``.
+def tenths_half_even(v: Column) -> Column:
+    """round(v * 10) half-to-even on the exact binary value of v (as Python formats floats).
 
-    The tenth-of-a-percent count is rounded on the binary value (floor(x*1000 + 0.5)) and
-    printed with integer arithmetic, so no decimal-string rounding is involved.
+    20 v = 16 v + 4 v with both products exact; an error-free sum (TwoSum) gives the rounded
+    sum s and its exact error e, so floor(20 v) and "20 v is an integer" are known exactly:
+    an odd integer 20 v is a true tie, broken to the even tenth.
     """
-    n = F.floor(col_(x) * F.lit(1000.0) + F.lit(0.5))
-    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"), F.lit("%"))
+    a, b = v * F.lit(16.0), v * F.lit(4.0)
+    s = a + b
+    bb = s - a
+    err = (a - (s - bb)) + (b - bb)
+    fs = F.floor(s)
+    g = fs - F.when((s == fs) & (err < 0), 1).otherwise(0)        # floor(20 v), exact
+    exact_int = (s == fs) & (err == 0)
+    k = F.floor(g / 2)
+    odd = F.pmod(g, F.lit(2)) == 1
+    tie_pick = F.when(F.pmod(k, F.lit(2)) == 0, k).otherwise(k + 1)
+    return F.when(~odd, k).when(exact_int, tie_pick).otherwise(k + 1)
+
+
+def percent_text(x: str | Column) -> Column:
+    """Python's ``f'{x:.1%}'``: x * 100 in double, then half-to-even on its binary value,
+    so 0.1225 -> ``12.2%``; printed with integer arithmetic."""
+    n = tenths_half_even(col_(x) * F.lit(100.0))
+    sign = F.when(n < 0, F.lit("-")).otherwise(F.lit(""))
+    m = F.abs(n)
+    return F.concat(sign, F.floor(m / 10).cast("string"), F.lit("."), F.pmod(m, F.lit(10)).cast("string"), F.lit("%"))
+
+
+def percent_text_sql(x: str) -> str:
+    """DuckDB twin of ``percent_text`` (same IEEE operations)."""
+    v = f"(({x}) * 100.0)"
+    a, b = f"({v} * 16.0)", f"({v} * 4.0)"
+    s = f"({a} + {b})"
+    bb = f"({s} - {a})"
+    err = f"(({a} - ({s} - {bb})) + ({b} - {bb}))"
+    fs = f"floor({s})"
+    g = f"(CAST({fs} AS BIGINT) - CASE WHEN {s} = {fs} AND {err} < 0 THEN 1 ELSE 0 END)"
+    k = f"(({g}) // 2)"
+    n = (f"(CASE WHEN ({g}) % 2 = 0 THEN {k} WHEN {s} = {fs} AND {err} = 0 "
+         f"THEN (CASE WHEN {k} % 2 = 0 THEN {k} ELSE {k} + 1 END) ELSE {k} + 1 END)")
+    return f"((abs({n}) // 10)::VARCHAR || '.' || (abs({n}) % 10)::VARCHAR || '%')"
 
 
 def base_of(feature: str | Column, parts: int = 2) -> Column:

@@ -60,9 +60,9 @@ def _collect_one(df: DataFrame) -> dict:
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> Moments:
     """A21 fit: population moments; a zero (or undefined) std becomes 1 like sklearn."""
-    row = _collect_one(column_moments(df, features))
-    std = {f: (row[_s(f)] if row[_s(f)] not in (None, 0.0) else 1.0) for f in features}
-    return Moments({f: row[_m(f)] for f in features}, std)
+    m = vector_moments(df, features)[0]
+    std = {f: (s if s not in (None, 0.0) else 1.0) for f, s in zip(features, m["std"])}
+    return Moments(dict(zip(features, m["mean"])), std)
 
 
 def standardise(df: DataFrame, scaler: Moments) -> DataFrame:
@@ -90,25 +90,50 @@ def fit_zscore(df: DataFrame, features: Sequence[str], normal: Column | None = N
     return Moments({f: row[_m(f)] for f in features}, {f: row[_s(f)] for f in features})
 
 
+def vector_moments(df: DataFrame, features: Sequence[str], weights: Sequence[Column | None] = (None,)) -> list[dict]:
+    """Mean and population std of every feature, once per weight column (rows with weight 0
+    skipped), from ``Summarizer`` aggregates over one assembled vector: a single pass, one
+    aggregate function per weight whatever the number of features, numerically stable
+    (streaming mean / M2 updates)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Summarizer
+    cols = [F.col(f).cast("double").alias(f) for f in features]
+    ws = [w.cast("double").alias(f"_w{i}") for i, w in enumerate(weights) if w is not None]
+    vec = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="skip").transform(df.select(*cols, *ws))
+    summ = Summarizer.metrics("mean", "variance", "count")
+    aggs = [(summ.summary(F.col("_v"), F.col(f"_w{i}")) if w is not None else summ.summary(F.col("_v"))).alias(f"s{i}")
+            for i, w in enumerate(weights)]
+    row = collect_bounded(vec.select(*aggs), 1)[0]
+    out = []
+    for i in range(len(weights)):
+        r = row[f"s{i}"]
+        n = int(r["count"])
+        if n == 0:
+            out.append({"n": 0, "mean": [None] * len(features), "std": [None] * len(features)})
+            continue
+        var = r["variance"].toArray().tolist()
+        std = [max(v, 0.0) ** 0.5 * ((n - 1) / n) ** 0.5 if n > 1 else 0.0 for v in var]
+        out.append({"n": n, "mean": r["mean"].toArray().tolist(), "std": std})
+    return out
+
+
 def fit_scaled_zscore(train: DataFrame, features: Sequence[str], normal: Column) -> tuple[Moments, Moments]:
-    """A21 + D2 in one pass: the scaler on all training rows and the z-score model of the
+    """A21 + D2: the scaler on all training rows and the z-score model of the
     *standardised* features on normal training rows.
 
     Standardising is affine, so the normal-row moments of (x - m) / s are (mu_n - m) / s
-    and sigma_n / s: both fits come out of one aggregation over the raw features.
+    and sigma_n / s: both fits come from raw-feature moments, two vector aggregates.
+    Rows with a missing feature are skipped (fit on complete rows).
     """
-    aggs = []
-    for f in features:
-        xn = F.when(normal, F.col(f))
-        aggs += [F.avg(f).alias(_m(f)), F.stddev_pop(f).alias(_s(f)),
-                 F.avg(xn).alias(f"{f}__nm"), F.stddev_pop(xn).alias(f"{f}__ns")]
-    row = _collect_one(train.agg(*aggs))
+    allm, nrm = vector_moments(train, features, [None, F.coalesce(normal, F.lit(False)).cast("int")])
     sm, ss, zm, zs = {}, {}, {}, {}
-    for f in features:
-        s = row[_s(f)] if row[_s(f)] not in (None, 0.0) else 1.0
-        sm[f], ss[f] = row[_m(f)], s
-        zm[f] = None if row[f"{f}__nm"] is None else (row[f"{f}__nm"] - row[_m(f)]) / s
-        z = None if row[f"{f}__ns"] is None else row[f"{f}__ns"] / s
+    for i, f in enumerate(features):
+        m, sd = allm["mean"][i], allm["std"][i]
+        s = sd if sd not in (None, 0.0) else 1.0
+        sm[f], ss[f] = m, s
+        nm, ns = nrm["mean"][i], nrm["std"][i]
+        zm[f] = None if nm is None or m is None else (nm - m) / s
+        z = None if ns is None else ns / s
         zs[f] = ZERO_STD_GUARD if z == 0 else z
     return Moments(sm, ss), Moments(zm, zs)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from procsig.functions.scalar import percent_text_sql
 from procsig.functions.text import feature_description_expr, feature_description_sql
 from procsig.operators import explain as ex
 from procsig.operators import report as rp
@@ -26,7 +27,7 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_PCT = "(CAST(floor(confidence * 1000.0 + 0.5) AS BIGINT) // 10)::VARCHAR || '.' || (CAST(floor(confidence * 1000.0 + 0.5) AS BIGINT) % 10)::VARCHAR || '%'"
+_PCT = percent_text_sql("confidence")
 _CONTEXT = (f"CASE WHEN tier = 'NORMAL' THEN 'NORMAL: ' || {_PCT} || ' anomaly probability' "
             f"ELSE tier || ': ' || {_PCT} || ' confidence - key factors: ' || concat_ws(', ', d1, d2, d3) END")
 _TEMPLATE = "CASE tier " + " ".join(f"WHEN '{k}' THEN {_sql_str(v)}" for k, v in rp.DEFAULT_TEMPLATES.items()) + " END"
