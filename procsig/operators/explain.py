@@ -109,7 +109,7 @@ def base_total_exprs(contrib_cols: Mapping[str, str], groups: Mapping[str, Seque
 
 
 def top_bases_expr(total_cols: Mapping[str, str], n: int, descriptions: Mapping[str, str] | None = None,
-                   digits: int = 4) -> Column:
+                   digits: int | None = 4) -> Column:
     """R2 inside one projection: sort the bases of a row by total and keep n.
 
     ``total_cols`` maps base -> column holding its total. Sorting an array of
@@ -128,7 +128,15 @@ def top_bases_expr(total_cols: Mapping[str, str], n: int, descriptions: Mapping[
     return F.transform(top, lambda x: F.struct(
         x["variable_name"].alias("variable_name"),
         (desc_map[x["variable_name"]] if desc_map is not None else F.lit(None).cast("string")).alias("description"),
-        round_half_up(-x["neg_total"], digits).alias("importance_score")))
+        (round_half_up(-x["neg_total"], digits) if digits is not None else -x["neg_total"]).alias("importance_score")))
+
+
+def explode_top(df: DataFrame, keep: Sequence[str], top: Column) -> DataFrame:
+    """R2/W9 long output from a row-wise top-n array: one (keep..., rank, base, description,
+    total) row per entry, ranks 1..n. A generator over the row: no shuffle, no window."""
+    return df.select(*keep, F.posexplode(top).alias("_pos", "_t")).select(
+        *keep, (F.col("_pos") + 1).alias("rank"), F.col("_t.variable_name").alias("base"),
+        F.col("_t.description").alias("description"), F.col("_t.importance_score").alias("total"))
 
 
 def variable_descriptions(dim: DataFrame, max_rows: int = 10_000) -> dict[str, str]:

@@ -117,6 +117,23 @@ def _lineitem_contrib(spark, sf):
     return ex.zscore_contributions(ok, zmodel, THRESHOLD, ["l_suppkey", "sample"], scaler)
 
 
+def _lineitem_ok_contrib_wide(spark, sf):
+    """Complete lineitem rows with one contribution column per feature (``{f}__c``)."""
+    from procsig.operators import features as fe
+    from procsig.operators.detect import fit_scaled_zscore, z_exprs
+    from procsig.operators.prepare import holdout_cut, holdout_split
+    from procsig.plans.analysis import serving_features
+    from procsig.plans.bound import TRAIN_FRACTION
+    b = LINEITEM
+    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec)
+    feats = serving_features(samples, b.spec, LV)
+    feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(feats, "l_suppkey", TRAIN_FRACTION))
+    ok = feats.filter("ok")
+    scaler, zmodel = fit_scaled_zscore(ok.filter(F.col("split") == "train"), L_FEATS, ~F.col("label"))
+    zc = ok.select("l_suppkey", "sample", *[z.alias(f"{f}__z") for f, z in z_exprs(zmodel, scaler).items()])
+    return zc.select("l_suppkey", "sample", *[(F.col(f"{f}__z") - F.lit(THRESHOLD)).alias(f"{f}__c") for f in L_FEATS])
+
+
 @register("attribution_by_base", _LSQL + "\nSELECT l_suppkey, sample, base, round(total, 6) AS total FROM tot")
 def attribution_by_base(spark, sf):
     contrib = _lineitem_contrib(spark, sf)
@@ -127,10 +144,13 @@ def attribution_by_base(spark, sf):
 @register("top_variables", _LSQL + """
 SELECT l_suppkey, sample, rank, base, description, round(total, 6) AS total FROM rk WHERE rank <= 3""")
 def top_variables(spark, sf):
-    contrib = _lineitem_contrib(spark, sf)
-    tot = ex.attribution_by_base(contrib, feature_catalog(spark, LV), ["l_suppkey", "sample"])
-    top = ex.top_variables(tot, ["l_suppkey", "sample"], 3, variable_dim(spark))
-    return rounded(top.select("l_suppkey", "sample", "rank", "base", "description", "total"), 6)
+    """Row-wise form: per-row base totals, sorted inside the row and exploded (no shuffle)."""
+    ok = _lineitem_ok_contrib_wide(spark, sf)
+    groups = {v: [f for f in L_FEATS if f == v or f.startswith(v + "_")] for v in LV}
+    totals = ex.base_total_exprs({f: f"{f}__c" for f in L_FEATS}, groups)
+    tot = ok.select("l_suppkey", "sample", *[t.alias(f"{b}__total") for b, t in totals.items()])
+    top = ex.top_bases_expr({b: f"{b}__total" for b in totals}, 3, VARIABLE_DESCRIPTIONS, digits=None)
+    return rounded(ex.explode_top(tot, ["l_suppkey", "sample"], top), 6)
 
 
 @register("attribution_format", _LSQL + """
