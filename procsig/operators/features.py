@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,8 +144,13 @@ def feature_catalog(spark, columns: Sequence[str], lags: Sequence[int] = (1, 2),
     return spark.createDataFrame(rows, schema)
 
 
-def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample") -> DataFrame:
-    """Integer time step 1..n inside each series, from the explicit order key."""
+def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample", chunks: int = 1) -> DataFrame:
+    """Integer time step 1..n inside each series, from the explicit order key.
+
+    ``chunks > 1`` numbers big series in parallel ranges (exact; see ``chunked_row_number``).
+    """
+    if chunks > 1:
+        return chunked_row_number(chunk_tags(df, spec, chunks), spec, name).drop("_chunk")
     return df.select("*", F.row_number().over(spec.window()).alias(name))
 
 
@@ -153,56 +158,78 @@ def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample") ->
 # W7 — windows over one huge series (global or hot key) without a single-task partition
 # --------------------------------------------------------------------------------------
 
-def chunked_window(df: DataFrame, spec: SeriesSpec, halo: int, build, n_chunks: int,
-                   relative_error: float = 1e-3) -> DataFrame:
-    """Evaluate trailing-window expressions over big series in parallel chunks.
-
-    The series is cut into ``n_chunks`` ranges of its first order column (boundaries from
-    ``percentile_approx`` per series, computed by one aggregation and joined back, so no
-    list passes through the driver). The last ``halo`` rows of each chunk are copied into
-    the next chunk, every chunk is windowed independently under ``spec.with_extra('_chunk')``
-    and copied rows are dropped again. ``halo`` must be at least the largest look-back
-    (``max(lag, window-1)``). ``build(spec)`` returns the window expressions to add.
-    Ties on the first order column always land in the same chunk, so the result is the
-    same as the unchunked window.
+def chunk_tags(df: DataFrame, spec: SeriesSpec, n_chunks: int, halo: int = 1,
+               relative_error: float = 1e-3) -> DataFrame:
+    """Add ``_chunk``: the range of the first order column a row falls in, per series.
+
+    Boundaries come from ``percentile_approx`` per series (one aggregation, joined back on
+    the series key, so no list passes through the driver for keyed series). Ties on the
+    first order column always share a chunk, so chunks of one series are ordered ranges.
+    Series too small to be worth splitting keep one chunk.
     """
-    if halo < 0:
-        raise ValueError("halo must be >= 0")
     first = spec.order[0]
     keys = list(spec.keys)
     probs = [i / n_chunks for i in range(1, n_chunks)]
     accuracy = int(1 / relative_error)
     if n_chunks * 4 > accuracy:
         raise ValueError("n_chunks too large for the requested percentile accuracy")
-    # small series keep one chunk; distinct bounds so no chunk is empty
-    bounds = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_distinct(F.percentile_approx(F.col(first), probs, accuracy)).alias("_b"))
+    g = df.groupBy(*keys) if keys else df.groupBy()
+    bounds = g.agg(F.count(F.lit(1)).alias("_n"),
+                   F.array_distinct(F.percentile_approx(F.col(first), probs, accuracy)).alias("_b"))
     bounds = bounds.select(*keys, F.when(F.col("_n") >= F.lit(8 * n_chunks * max(halo, 1)), F.col("_b"))
                            .otherwise(F.array().cast(bounds.schema["_b"].dataType)).alias("_bounds"))
     if keys:
         # one row per series: a shuffle join on the series key (AQE splits a hot key)
-        tagged = df.join(bounds, keys, "inner").select(
+        return df.join(bounds, keys, "inner").select(
             *df.columns, F.size(F.filter("_bounds", lambda b: b <= F.col(first))).alias("_chunk"))
-    else:
-        # one global series: its n_chunks - 1 boundaries become a literal array
-        lits = bounds.first()["_bounds"] or []
-        arr = F.array(*[F.lit(v) for v in lits]) if lits else F.array().cast(f"array<{df.schema[first].dataType.simpleString()}>")
-        tagged = df.select(*df.columns, F.size(F.filter(arr, lambda b: b <= F.col(first))).alias("_chunk"))
+    # one global series: its n_chunks - 1 boundaries become a literal array
+    lits = bounds.first()["_bounds"] or []
+    arr = F.array(*[F.lit(v) for v in lits]) if lits else F.array().cast(f"array<{df.schema[first].dataType.simpleString()}>")
+    return df.select(*df.columns, F.size(F.filter(arr, lambda b: b <= F.col(first))).alias("_chunk"))
+
+
+def windowed_chunks(tagged: DataFrame, spec: SeriesSpec, halo: int, build) -> DataFrame:
+    """Evaluate trailing-window expressions chunk by chunk: the last ``halo`` rows of each
+    chunk are copied into the next one, every chunk is windowed independently under
+    ``spec.with_extra('_chunk')`` and the copies are dropped again."""
+    if halo < 0:
+        raise ValueError("halo must be >= 0")
+    cols = [c for c in tagged.columns if c != "_chunk"]
     chunk_spec = spec.with_extra("_chunk")
-    # rows among the last `halo` of their chunk are also sent to the next chunk
-    rank_desc = F.row_number().over(
-        _desc_window(chunk_spec)).alias("_rdesc")
-    ranked = tagged.select("*", rank_desc)
-    own = ranked.select(*df.columns, "_chunk", F.lit(False).alias("_halo"))
+    ranked = tagged.select("*", F.row_number().over(_desc_window(chunk_spec)).alias("_rdesc"))
+    own = ranked.select(*cols, "_chunk", F.lit(False).alias("_halo"))
     copies = ranked.filter(F.col("_rdesc") <= halo).select(
-        *df.columns, (F.col("_chunk") + 1).alias("_chunk"), F.lit(True).alias("_halo"))
-    both = own.unionByName(copies)
-    out = both.select("*", *build(chunk_spec))
-    return out.filter(~F.col("_halo")).drop("_halo", "_chunk")
+        *cols, (F.col("_chunk") + 1).alias("_chunk"), F.lit(True).alias("_halo"))
+    out = own.unionByName(copies).select("*", *build(chunk_spec))
+    return out.filter(~F.col("_halo")).drop("_halo")
+
+
+def chunked_window(df: DataFrame, spec: SeriesSpec, halo: int, build, n_chunks: int,
+                   relative_error: float = 1e-3) -> DataFrame:
+    """Trailing-window expressions over big (or global) series in parallel chunks.
+
+    ``halo`` must be at least the largest look-back (``max(lag, window - 1)``) and
+    ``build(spec)`` returns the window expressions to add. Equal to the unchunked window.
+    """
+    tagged = chunk_tags(df, spec, n_chunks, halo, relative_error)
+    return windowed_chunks(tagged, spec, halo, build).drop("_chunk")
+
+
+def chunked_row_number(tagged: DataFrame, spec: SeriesSpec, name: str = "sample",
+                       max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Exact 1..n row numbers per series computed chunk by chunk: chunk sizes (a small
+    table) give each chunk's offset, and a row number inside the chunk finishes it."""
+    from procsig.plans.guard import bounded_broadcast
+    keys = list(spec.keys)
+    sizes = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
+    w = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk")
+    offs = sizes.select(*keys, "_chunk",
+                        F.coalesce(F.sum("_cn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    j = tagged.join(bounded_broadcast(offs, max_broadcast_rows), [*keys, "_chunk"])
+    rn = F.row_number().over(spec.with_extra("_chunk").window())
+    return j.select(*tagged.columns, (F.col("_off") + rn).cast("int").alias(name))
 
 
 def _desc_window(spec: SeriesSpec):
-    from pyspark.sql import Window
     w = Window.partitionBy(*spec.partition) if spec.partition else Window
     return w.orderBy(*[F.col(c).desc() for c in spec.order])

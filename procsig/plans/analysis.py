@@ -27,15 +27,26 @@ ERROR_TEXT = "STATUS: ERROR - fewer than three consecutive samples end at this s
 
 
 def serving_features(df: DataFrame, spec: SeriesSpec, variables: Sequence[str], sample: str = "sample",
-                     length: int = 3) -> DataFrame:
-    """Features plus ``seq_ok`` for every row, from one Window operator (no row dropped)."""
-    w = spec.window()
-    ok = F.col(sample) >= length
-    for k in range(1, length):
-        ok = ok & (F.lag(F.col(sample), k).over(w) == F.col(sample) - k)
-    exprs = (fe.lag_exprs(spec, variables, (1, 2)) + fe.rolling_exprs(spec, variables, (3,))
-             + fe.diff_exprs(spec, variables))
-    out = spec.drop_null_keys(df).select("*", *exprs, F.coalesce(ok, F.lit(False)).alias("seq_ok"))
+                     length: int = 3, chunks: int = 1) -> DataFrame:
+    """Features plus ``seq_ok`` and ``ok`` for every row (no row dropped).
+
+    ``chunks == 1``: one Exchange, one Sort, one Window. ``chunks > 1``: each series is cut
+    into ordered ranges with two halo rows copied forward, so a series holding a large share
+    of all rows is spread over many tasks (same result).
+    """
+    def build(s: SeriesSpec):
+        w = s.window()
+        ok = F.col(sample) >= length
+        for k in range(1, length):
+            ok = ok & (F.lag(F.col(sample), k).over(w) == F.col(sample) - k)
+        return (fe.lag_exprs(s, variables, (1, 2)) + fe.rolling_exprs(s, variables, (3,))
+                + fe.diff_exprs(s, variables) + [F.coalesce(ok, F.lit(False)).alias("seq_ok")])
+
+    base = spec.drop_null_keys(df)
+    if chunks > 1:
+        out = fe.chunked_window(base, spec, max(2, length - 1), build, chunks)
+    else:
+        out = base.select("*", *build(spec))
     names = fe.feature_names(variables)
     complete = F.lit(True)
     for n in names:
@@ -46,13 +57,14 @@ def serving_features(df: DataFrame, spec: SeriesSpec, variables: Sequence[str],
 def analysis_records(samples: DataFrame, spec: SeriesSpec, variables: Sequence[str], label: str = "label",
                      sample: str = "sample", threshold: float = 3.0, top_n: int = 3,
                      descriptions: Mapping[str, str] | None = None, train_fraction: float = 0.8,
-                     templates: Mapping[str, str] = DEFAULT_TEMPLATES, keep: Sequence[str] = ()) -> DataFrame:
+                     templates: Mapping[str, str] = DEFAULT_TEMPLATES, keep: Sequence[str] = (),
+                     chunks: int = 1) -> DataFrame:
     """One record per (series, sample): status, prediction, confidence, top variables, texts.
 
     ``keep`` names input columns carried through unchanged (e.g. a timestamp).
     """
     names = fe.feature_names(variables)
-    feats = serving_features(samples, spec, variables, sample)
+    feats = serving_features(samples, spec, variables, sample, chunks=chunks)
     series = spec.keys[0]
     feats = holdout_split(feats, series, train_fraction)
     train_ok = feats.filter(F.col("ok") & (F.col("split") == "train"))

@@ -92,6 +92,23 @@ def analysis_record(spark, sf):
     return rounded(rec, {"max_z": 6, "confidence": 6, "*": 4})
 
 
+def _record_sql():
+    return _TEXTS + f"""
+SELECT l_suppkey, sample, label, split, status, round(max_z, 6) AS max_z, prediction, round(confidence, 6) AS confidence,
+       tier, top1_variable, (floor(top1_score * 1e4 + 0.5) / 1e4) AS top1_score, top2_variable,
+       (floor(top2_score * 1e4 + 0.5) / 1e4) AS top2_score, top3_variable, (floor(top3_score * 1e4 + 0.5) / 1e4) AS top3_score,
+       context, CASE WHEN status = 'OK' THEN template ELSE {_ERR} END AS explanation, cache_key
+FROM recs"""
+
+
+@register("analysis_record_chunked", _record_sql())
+def analysis_record_chunked(spark, sf):
+    """Hot-series form of the analysis record: every series numbered and windowed in 8
+    parallel ranges (exact offsets, halo rows); must equal the one-window form."""
+    rec = flatten_top(lineitem_records(spark, sf, chunks=8))
+    return rounded(rec, {"max_z": 6, "confidence": 6, "*": 4})
+
+
 # ---------------------------------------------------------------- R1 contributions (events, z-score)
 @register("contributions", _ESQL + "\n" + "\nUNION ALL\n".join(
     f"SELECT user_id, event_id, '{f}' AS feature, round({q(f + '__z')} - {THRESHOLD}, 6) AS contribution FROM zrows"

@@ -126,3 +126,13 @@ def test_feature_catalog_and_names(spark):
     cat = fe.feature_catalog(spark, ["a", "b"])
     assert cat.count() == 2 * 8
     assert set(fe.feature_names(["a"])) == {r.feature for r in cat.filter("base = 'a'").collect()}
+
+
+def test_chunked_row_number_is_exact_on_hot_key_with_ties(spark):
+    rng = random.Random(9)
+    rows = [(0, rng.randint(0, 40), i) for i in range(4000)] + [(1, t, 10_000 + t) for t in range(7)]
+    df = spark.createDataFrame(rows, "k int, t int, id int")
+    spec = SeriesSpec(("k",), ("t", "id"))
+    got = {r.id: r.sample for r in fe.with_sample_number(df, spec, chunks=16).collect()}
+    want = {r.id: r.sample for r in fe.with_sample_number(df, spec).collect()}
+    assert got == want
