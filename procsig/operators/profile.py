@@ -23,19 +23,30 @@ def _numeric(df: DataFrame) -> list[str]:
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
-    """A1: count, mean, std (ddof 1), min, 25/50/75 %, max per column, one row per column."""
+    """A1: count, mean, std (ddof 1), min, 25/50/75 %, max per column, one row per column.
+
+    Moments come from one aggregate; quartiles are exact by default via bucketed order
+    statistics (``stats.exact_quantiles``: memory bounded whatever the number of distinct
+    values), or ``percentile_approx`` with ``exact=False``.
+    """
+    from procsig.operators.stats import exact_quantiles, unpivot
     cols = list(columns) if columns is not None else _numeric(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
+        extra = []
+        if not exact:
+            q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+            extra = [q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75")]
         aggs.append(F.struct(
             F.lit(c).alias("column_name"), F.count(x).alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"), q[1].alias("q50"),
-            q[2].alias("q75"), F.max(x).alias("max")).alias(f"_s{i}"))
-    row = df.agg(*aggs)
-    return row.select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])))
+            F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *extra).alias(f"_s{i}"))
+    mom = df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])))
+    if exact:
+        qs = exact_quantiles(unpivot(df, [], cols, name="column_name"), ["column_name"], "value",
+                             [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+        mom = mom.join(qs, "column_name", "left")  # both sides: one row per column
+    return mom.select("column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None, total_name: str = "__total__") -> DataFrame:

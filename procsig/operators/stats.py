@@ -84,21 +84,76 @@ def normalise_by_max(long: DataFrame, value: str, within: str, name: str | None
     return long.select("*", F.try_divide(F.col(value), F.max(value).over(w)).alias(name or f"{value}_norm"))
 
 
+# ----------------------------------------------------------------- exact quantiles at scale
+
+def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None, buckets: int = 64, accuracy: int = 10_000,
+                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Exact linear-interpolation quantiles (same definition as Spark ``percentile`` and
+    DuckDB ``quantile_cont``) per group, without holding a group's values in memory.
+
+    1. per group: count and ``buckets - 1`` approximate boundaries (fixed-size sketch);
+    2. per (group, bucket): row count, and each bucket's rank offset (tiny table);
+    3. only buckets that contain one of the target ranks floor/ceil(p (n - 1)) are kept and
+       ranked inside themselves (each holds about n / buckets rows);
+    4. the rows at the target ranks (at most 2 per quantile) are interpolated.
+    """
+    names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
+    keys = list(keys)
+    if not keys:
+        raise ValueError("exact_quantiles needs at least one grouping key")
+    x = F.col(value).cast("double")
+    data = long.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x"))
+    bprobs = [i / buckets for i in range(1, buckets)]
+    st = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                 F.array_distinct(F.percentile_approx("_x", bprobs, accuracy)).alias("_b"))
+    tagged = data.join(bounded_broadcast(st, max_broadcast_rows), keys).select(
+        *keys, "_x", "_n", F.size(F.filter("_b", lambda b: b < F.col("_x"))).alias("_k"))
+
+    def targets(n: Column) -> Column:
+        out = []
+        for p in probs:
+            pos = F.lit(float(p)) * (n - 1)
+            out += [F.floor(pos), F.ceil(pos)]
+        return F.array(*out)
+
+    cnt = tagged.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    wk = Window.partitionBy(*keys).orderBy("_k")  # at most `buckets` rows per group
+    cnt = cnt.select("*", F.coalesce(F.sum("_c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                     F.lit(0)).alias("_off"))
+    need = cnt.filter(F.exists(targets(F.col("_n")), lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_c"))))
+    sel = tagged.join(bounded_broadcast(need.select(*keys, "_k", "_off"), max_broadcast_rows), [*keys, "_k"])
+    wr = Window.partitionBy(*keys, "_k").orderBy("_x")
+    ranked = sel.select(*keys, "_x", "_n", (F.col("_off") + F.row_number().over(wr) - 1).alias("_r"))
+    hit = ranked.filter(F.exists(targets(F.col("_n")), lambda r: r == F.col("_r")))
+    picked = hit.groupBy(*keys).agg(F.first("_n").alias("_n"),
+                                    F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
+    out = []
+    for p, nm in zip(probs, names):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        vlo, vhi = F.col("_m")[lo], F.col("_m")[hi]
+        out.append(F.when(hi == lo, vlo).otherwise((hi - pos) * vlo + (pos - lo) * vhi).alias(nm))
+    return picked.select(*keys, *out)
+
+
 # ----------------------------------------------------------------- A14 box statistics
 
 def box_stats(df: DataFrame, columns: Sequence[str], category: str, exact: bool = True,
               accuracy: int = 10_000, max_groups_broadcast: int = 100_000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers clipped to the data, outlier counts per (variable, category).
 
-    Pass 1 computes quartiles per group (a small table), pass 2 joins them back and finds
-    whiskers and outliers; the quartile table is broadcast only below a checked row count.
+    Pass 1 computes exact quartiles per group (``exact_quantiles``: bounded memory, or
+    ``percentile_approx`` with ``exact=False``), pass 2 joins them back and finds whiskers
+    and outliers; the quartile table is broadcast only below a checked row count.
     """
     long = unpivot(df, [category], columns).withColumnRenamed(category, "category").filter(F.col("value").isNotNull())
-    probs = [0.25, 0.5, 0.75]
-    q = (F.percentile("value", F.array(*[F.lit(p) for p in probs])) if exact
-         else F.percentile_approx("value", probs, accuracy))
-    qs = long.groupBy("variable", "category").agg(q.alias("_q")).select(
-        "variable", "category", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    if exact:
+        qs = exact_quantiles(long, ["variable", "category"], "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    else:
+        q = F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy)
+        qs = long.groupBy("variable", "category").agg(q.alias("_q")).select(
+            "variable", "category", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     qs = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     qs = qs.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
                    (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
