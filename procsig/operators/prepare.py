@@ -81,23 +81,37 @@ def normal_subset(df: DataFrame, label: str = "label") -> DataFrame:
     return df.filter(~F.col(label))
 
 
-def positional_slice(df: DataFrame, spec: SeriesSpec, start: int, stop: int, name: str = "pos") -> DataFrame:
-    """``iloc[start:stop]`` inside each series by explicit order (0-based, stop exclusive)."""
-    pos = (F.row_number().over(spec.window()) - 1).alias(name)
-    return df.select("*", pos).filter((F.col(name) >= start) & (F.col(name) < stop))
+def positional_slice(df: DataFrame, spec: SeriesSpec, start: int, stop: int, name: str = "pos",
+                     chunks: int = 1) -> DataFrame:
+    """``iloc[start:stop]`` inside each series by explicit order (0-based, stop exclusive).
 
+    ``chunks > 1`` numbers big series in parallel ranges (exact offsets)."""
+    from procsig.operators.features import with_sample_number
+    numbered = with_sample_number(df, spec, "_rn", chunks=chunks)
+    return numbered.select(*df.columns, (F.col("_rn") - 1).alias(name)).filter(
+        (F.col(name) >= start) & (F.col(name) < stop))
 
-def analysis_sequence_check(df: DataFrame, spec: SeriesSpec, sample: str = "sample", length: int = 3) -> DataFrame:
+
+def analysis_sequence_check(df: DataFrame, spec: SeriesSpec, sample: str = "sample", length: int = 3,
+                            chunks: int = 1) -> DataFrame:
     """P10 batch form: for every row t, are samples t-1 .. t-(length-1) the previous rows?
 
     Adds ``seq_ok``: True when the ``length`` consecutive samples ending at this row exist,
-    so every (series, t) gets a status instead of an assertion.
+    so every (series, t) gets a status instead of an assertion. ``chunks > 1`` spreads big
+    series over ordered ranges with ``length - 1`` halo rows (same result).
     """
-    w = spec.window()
-    ok = F.col(sample) >= length
-    for k in range(1, length):
-        ok = ok & (F.lag(F.col(sample), k).over(w) == F.col(sample) - k)
-    return df.select("*", F.coalesce(ok, F.lit(False)).alias("seq_ok"))
+    from procsig.operators.features import chunked_window
+
+    def build(s: SeriesSpec):
+        w = s.window()
+        ok = F.col(sample) >= length
+        for k in range(1, length):
+            ok = ok & (F.lag(F.col(sample), k).over(w) == F.col(sample) - k)
+        return [F.coalesce(ok, F.lit(False)).alias("seq_ok")]
+
+    if chunks > 1:
+        return chunked_window(df, spec, length - 1, build, chunks)
+    return df.select("*", *build(spec))
 
 
 def analysis_window(df: DataFrame, keys: dict[str, object], target: int, sample: str = "sample",

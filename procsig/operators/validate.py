@@ -15,11 +15,21 @@ from pyspark.sql import functions as F
 _NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
 
-def order_breaks(df: DataFrame, source: str, ingest_order: Sequence[str], sample: str) -> DataFrame:
-    """Per source, how often ``sample`` decreases along the ingest order."""
-    w = Window.partitionBy(source).orderBy(*ingest_order)
-    dec = (F.lag(F.col(sample)).over(w) > F.col(sample))
-    marked = df.select(source, F.coalesce(dec, F.lit(False)).alias("_dec"))
+def order_breaks(df: DataFrame, source: str, ingest_order: Sequence[str], sample: str,
+                 chunks: int = 1) -> DataFrame:
+    """Per source, how often ``sample`` decreases along the ingest order.
+
+    ``chunks > 1`` splits big sources into ordered ranges with one halo row (same result).
+    """
+    from procsig.operators.features import chunked_window
+    from procsig.spec import SeriesSpec
+    spec = SeriesSpec((source,), tuple(ingest_order))
+
+    def build(s: SeriesSpec):
+        return [F.coalesce(F.lag(F.col(sample)).over(s.window()) > F.col(sample), F.lit(False)).alias("_dec")]
+
+    marked = (chunked_window(df.select(source, *ingest_order, sample), spec, 1, build, chunks) if chunks > 1
+              else df.select(source, *build(spec)))
     return marked.groupBy(source).agg(F.count_if("_dec").cast("long").alias("n_decreases")).select(
         source, (F.col("n_decreases") == 0).alias("is_monotonic"), "n_decreases")
 

@@ -136,3 +136,25 @@ def test_chunked_row_number_is_exact_on_hot_key_with_ties(spark):
     got = {r.id: r.sample for r in fe.with_sample_number(df, spec, chunks=16).collect()}
     want = {r.id: r.sample for r in fe.with_sample_number(df, spec).collect()}
     assert got == want
+
+
+def test_chunk_options_give_same_results(spark):
+    from procsig.operators import report as rp
+    from procsig.operators import validate as va
+    rng = random.Random(4)
+    rows = [(0, s, rng.random()) for s in range(1, 3001) if s % 97 != 0] + [(1, s, 1.0) for s in range(1, 6)]
+    df = spark.createDataFrame(rows, "run int, sample int, x double")
+    spec = SeriesSpec(("run",), ("sample",))
+    a = {(r.run, r.sample): r.seq_ok for r in pr.analysis_sequence_check(df, spec).collect()}
+    b = {(r.run, r.sample): r.seq_ok for r in pr.analysis_sequence_check(df, spec, chunks=8).collect()}
+    assert a == b and not a[(0, 98)]
+    p1 = sorted((r.run, r.sample, r.pos) for r in pr.positional_slice(df, spec, 100, 105).collect())
+    p2 = sorted((r.run, r.sample, r.pos) for r in pr.positional_slice(df, spec, 100, 105, chunks=8).collect())
+    assert p1 == p2 and len(p1) == 5
+    h1 = {r.sample: [i.sample for i in r.history] for r in rp.history_window(df, ["run"], "sample", F.struct("sample"), 3).collect()}
+    h2 = {r.sample: [i.sample for i in r.history] for r in rp.history_window(df, ["run"], "sample", F.struct("sample"), 3, chunks=8).collect()}
+    assert h1 == h2
+    src = df.select(F.lit("s").alias("src"), F.col("sample").alias("seq"), (F.col("sample") % 50).alias("sample"))
+    o1 = va.order_breaks(src, "src", ["seq"], "sample").first()
+    o2 = va.order_breaks(src, "src", ["seq"], "sample", chunks=8).first()
+    assert o1 == o2 and o1.n_decreases > 0
