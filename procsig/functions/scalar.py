@@ -107,6 +107,28 @@ def tenths_half_even(v: Column) -> Column:
     return F.when(~odd, k).when(exact_int, tie_pick).otherwise(k + 1)
 
 
+def with_count_below(df, sorted_arr: Column, x: Column, max_len: int, name: str, inclusive: bool = False):
+    """Add ``name`` = number of elements of an ascending array that are < x (<= x with
+    ``inclusive``): a binary search of ceil(log2(max_len)) probes with ``try_element_at``.
+
+    Each probe is its own projection (the column is referenced more than once, so Catalyst
+    keeps the steps apart): plain comparisons inside generated code, expression size linear
+    in the number of probes — unlike a ``filter`` lambda, interpreted element by element.
+    """
+    steps = []
+    s = 1
+    while s <= max(max_len, 1):
+        steps.append(s)
+        s *= 2
+    out = df.select("*", F.lit(0).alias(name))
+    for step in reversed(steps):
+        idx = F.col(name) + F.lit(step)
+        probe = F.try_element_at(sorted_arr, idx)
+        hit = (probe <= x) if inclusive else (probe < x)
+        out = out.withColumn(name, F.when(hit, idx).otherwise(F.col(name)))
+    return out
+
+
 def percent_text(x: str | Column) -> Column:
     """Python's ``f'{x:.1%}'``: x * 100 in double, then half-to-even on its binary value,
     so 0.1225 -> ``12.2%``; printed with integer arithmetic."""

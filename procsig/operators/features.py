@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from procsig.functions.scalar import with_count_below
 from procsig.spec import SeriesSpec
 
 ROLLING_STATS = ("mean", "std", "min", "max")
@@ -180,12 +181,13 @@ def chunk_tags(df: DataFrame, spec: SeriesSpec, n_chunks: int, halo: int = 1,
                            .otherwise(F.array().cast(bounds.schema["_b"].dataType)).alias("_bounds"))
     if keys:
         # one row per series: a shuffle join on the series key (AQE splits a hot key)
-        return df.join(bounds, keys, "inner").select(
-            *df.columns, F.size(F.filter("_bounds", lambda b: b <= F.col(first))).alias("_chunk"))
+        joined = df.join(bounds, keys, "inner")
+        return with_count_below(joined, F.col("_bounds"), F.col(first), n_chunks, "_chunk", inclusive=True).select(
+            *df.columns, "_chunk")
     # one global series: its n_chunks - 1 boundaries become a literal array
     lits = bounds.first()["_bounds"] or []
     arr = F.array(*[F.lit(v) for v in lits]) if lits else F.array().cast(f"array<{df.schema[first].dataType.simpleString()}>")
-    return df.select(*df.columns, F.size(F.filter(arr, lambda b: b <= F.col(first))).alias("_chunk"))
+    return with_count_below(df, arr, F.col(first), n_chunks, "_chunk", inclusive=True).select(*df.columns, "_chunk")
 
 
 def windowed_chunks(tagged: DataFrame, spec: SeriesSpec, halo: int, build) -> DataFrame:

@@ -14,6 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from procsig.functions.scalar import with_count_below
 from procsig.plans.guard import bounded_broadcast, collect_bounded
 
 
@@ -87,8 +88,8 @@ def normalise_by_max(long: DataFrame, value: str, within: str, name: str | None
 # ----------------------------------------------------------------- exact quantiles at scale
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, buckets: int = 64, accuracy: int = 10_000,
-                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    names: Sequence[str] | None = None, buckets: int = 64, accuracy: int = 1_000,
+                    sample_every: int = 16, max_in_memory_distinct: int | None = 2_000_000) -> DataFrame:
     """Exact linear-interpolation quantiles (same definition as Spark ``percentile`` and
     DuckDB ``quantile_cont``) per group, without holding a group's values in memory.
 
@@ -97,6 +98,16 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
     3. only buckets that contain one of the target ranks floor/ceil(p (n - 1)) are kept and
        ranked inside themselves (each holds about n / buckets rows);
     4. the rows at the target ranks (at most 2 per quantile) are interpolated.
+
+    The per-group tables are joined back without a hint: adaptive execution turns those
+    joins into broadcasts at run time when the tables are small (one row per group, or
+    per group and bucket), and keeps shuffle joins when there are very many groups.
+    The boundaries only balance the buckets, so a coarse sketch (``accuracy``) suffices.
+
+    Strategy by checked size: one HyperLogLog pass measures the largest number of distinct
+    values in any group; at or below ``max_in_memory_distinct`` Spark's exact ``percentile``
+    (a per-group value -> count map, memory proportional to distinct values) is safe and
+    faster, above it the bucketed selection runs. ``None`` always uses the bucketed path.
     """
     names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
     keys = list(keys)
@@ -104,11 +115,21 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
         raise ValueError("exact_quantiles needs at least one grouping key")
     x = F.col(value).cast("double")
     data = long.filter(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x"))
+    if max_in_memory_distinct is not None:
+        widest = data.groupBy(*keys).agg(F.approx_count_distinct("_x", 0.05).alias("_d")).agg(F.max("_d")).first()[0]
+        if widest is None or widest <= max_in_memory_distinct:
+            q = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs]))
+            return data.groupBy(*keys).agg(q.alias("_q")).select(
+                *keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
     bprobs = [i / buckets for i in range(1, buckets)]
+    # the boundaries only balance the buckets (any sorted values give exact results), so the
+    # sketch sees a deterministic 1-in-`sample_every` hash sample while all rows are counted
+    sampled = F.when(F.pmod(F.xxhash64(F.col("_x")), F.lit(sample_every)) == 0, F.col("_x"))
     st = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                 F.array_distinct(F.percentile_approx("_x", bprobs, accuracy)).alias("_b"))
-    tagged = data.join(bounded_broadcast(st, max_broadcast_rows), keys).select(
-        *keys, "_x", "_n", F.size(F.filter("_b", lambda b: b < F.col("_x"))).alias("_k"))
+                                 F.array_distinct(F.percentile_approx(sampled, bprobs, accuracy)).alias("_b"))
+    st = st.select(*keys, "_n", F.coalesce(F.col("_b"), F.array().cast("array<double>")).alias("_b"))
+    tagged = with_count_below(data.join(st, keys), F.col("_b"), F.col("_x"), buckets, "_k").select(
+        *keys, "_x", "_n", "_k")
 
     def targets(n: Column) -> Column:
         out = []
@@ -122,7 +143,7 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
     cnt = cnt.select("*", F.coalesce(F.sum("_c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
                                      F.lit(0)).alias("_off"))
     need = cnt.filter(F.exists(targets(F.col("_n")), lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_c"))))
-    sel = tagged.join(bounded_broadcast(need.select(*keys, "_k", "_off"), max_broadcast_rows), [*keys, "_k"])
+    sel = tagged.join(need.select(*keys, "_k", "_off"), [*keys, "_k"])
     wr = Window.partitionBy(*keys, "_k").orderBy("_x")
     ranked = sel.select(*keys, "_x", "_n", (F.col("_off") + F.row_number().over(wr) - 1).alias("_r"))
     hit = ranked.filter(F.exists(targets(F.col("_n")), lambda r: r == F.col("_r")))

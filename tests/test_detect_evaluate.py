@@ -125,8 +125,10 @@ def test_exact_quantiles_match_numpy_with_ties_and_tiny_groups(spark):
     rows += [("one", 7.0), ("two", 1.0), ("two", 4.0)] + [("mid", rng.random()) for _ in range(37)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = {r.g: [r[f"q{i}"] for i in range(5)] for r in st.exact_quantiles(df, ["g"], "v", probs, buckets=16).collect()}
-    for g in ("big", "one", "two", "mid"):
-        vals = np.array([v for k, v in rows if k == g])
-        want = np.quantile(vals, probs, method="linear")
-        assert np.allclose(got[g], want, rtol=1e-12, atol=1e-12), (g, got[g], want)
+    for bound in (None, 10_000):  # bucketed selection, and the checked in-memory path
+        out = st.exact_quantiles(df, ["g"], "v", probs, buckets=16, max_in_memory_distinct=bound).collect()
+        got = {r.g: [r[f"q{i}"] for i in range(5)] for r in out}
+        for g in ("big", "one", "two", "mid"):
+            vals = np.array([v for k, v in rows if k == g])
+            want = np.quantile(vals, probs, method="linear")
+            assert np.allclose(got[g], want, rtol=1e-12, atol=1e-12), (g, got[g], want)
