@@ -38,7 +38,8 @@ def uploaded_csv_scan(spark, sf):
     ev = table(spark, sf, "events")
     for et in ("error", "click", "view", "purchase", "signup"):
         io.write_csv(ev.filter(F.col("event_type") == et).coalesce(1), f"{folder}/{et}")
-    ev.limit(0).write.mode("overwrite").json(f"{folder}/not_csv")  # other suffixes are ignored
+    # a file with another suffix in the same folder must be ignored by the scan
+    ev.groupBy("event_type").count().write.mode("overwrite").json(f"{folder}/not_csv")
     up = io.read_uploaded_csv(spark, folder, EVENT_SCHEMA)
     return up.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"))
 
