@@ -158,3 +158,20 @@ def test_chunk_options_give_same_results(spark):
     o1 = va.order_breaks(src, "src", ["seq"], "sample").first()
     o2 = va.order_breaks(src, "src", ["seq"], "sample", chunks=8).first()
     assert o1 == o2 and o1.n_decreases > 0
+
+
+def test_process_ingest_label_and_features(spark):
+    from procsig.sources import process as ps
+    rows = []
+    for fault, run in ((0, 1), (13, 1)):
+        for s in range(1, 26):
+            rows.append(tuple([float(fault), float(run), float(s)] + [float(s * (i + 1) + fault) for i in range(52)]))
+    rows[3] = tuple(list(rows[3][:3]) + [float("nan")] + list(rows[3][4:]))
+    df = ps.ingest(spark.createDataFrame(rows, ps.SCHEMA), split="training")
+    lab = ps.run_split(ps.label(df))
+    got = {(r.faultNumber, r.sample): r.faulty for r in lab.collect()}
+    assert got[(13, 20)] is False and got[(13, 21)] is True and got[(0, 25)] is False
+    assert lab.filter(F.col("xmeas_1").isNull()).count() == 1
+    feats = fe.feature_chain_serving(lab, ps.SPEC, ["xmeas_1", "xmv_11"])
+    # fault 0 loses rows 1-2 and the NaN row plus the two after it (lags/rolling see it); fault 13 keeps 3..25
+    assert feats.filter("faultNumber = 13").count() == 23 and feats.filter("faultNumber = 0").count() == 23 - 3
