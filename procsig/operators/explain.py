@@ -41,13 +41,28 @@ def zscore_contributions(df: DataFrame, model: Moments, threshold: float, row_co
 
 def linear_contributions(df: DataFrame, weights: Mapping[str, float], means: Mapping[str, float],
                          row_cols: Sequence[str]) -> DataFrame:
-    """R1 for a linear model: w * (x - mean(x)) (exact SHAP for independent features)."""
-    items = [F.struct(F.lit(f).alias("feature"),
-                      (F.lit(float(w)) * (F.col(f) - F.lit(float(means[f])))).alias("contribution"))
+    """R1 for a linear model: w * (x - mean(x)) (exact SHAP for independent features).
+
+    An undefined weight (e.g. a constant feature) gives a NULL contribution."""
+    def lit(v):
+        return F.lit(None).cast("double") if v is None else F.lit(float(v))
+    items = [F.struct(F.lit(f).alias("feature"), (lit(w) * (F.col(f) - lit(means[f]))).alias("contribution"))
              for f, w in weights.items()]
     return df.select(*row_cols, F.inline(F.array(*items)))
 
 
+def diagonal_discriminant(train: DataFrame, features: Sequence[str], label: str = "label") -> tuple[dict, dict]:
+    """A linear model fitted in one aggregate: w_f = (mean_pos - mean_neg) / var_pop and the
+    training means (one small row collected; bounded by the number of features)."""
+    aggs = []
+    for i, f in enumerate(features):
+        x = F.col(f)
+        aggs += [((F.avg(F.when(F.col(label), x)) - F.avg(F.when(~F.col(label), x))) /
+                  F.nullif(F.var_pop(x), F.lit(0.0))).alias(f"w{i}"), F.avg(x).alias(f"m{i}")]
+    r = collect_bounded(train.agg(*aggs), 1)[0]
+    return ({f: r[f"w{i}"] for i, f in enumerate(features)}, {f: r[f"m{i}"] for i, f in enumerate(features)})
+
+
 # ----------------------------------------------------------------- long form
 
 def attribution_by_base(contrib: DataFrame, catalog: DataFrame, row_cols: Sequence[str],
