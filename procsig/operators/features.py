@@ -221,13 +221,13 @@ def chunked_row_number(tagged: DataFrame, spec: SeriesSpec, name: str = "sample"
                        max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Exact 1..n row numbers per series computed chunk by chunk: chunk sizes (a small
     table) give each chunk's offset, and a row number inside the chunk finishes it."""
-    from procsig.plans.guard import bounded_broadcast
     keys = list(spec.keys)
     sizes = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
     w = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk")
     offs = sizes.select(*keys, "_chunk",
                         F.coalesce(F.sum("_cn").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    j = tagged.join(bounded_broadcast(offs, max_broadcast_rows), [*keys, "_chunk"])
+    # at most series x chunks rows; adaptive execution broadcasts it at run time when small
+    j = tagged.join(offs, [*keys, "_chunk"])
     rn = F.row_number().over(spec.with_extra("_chunk").window())
     return j.select(*tagged.columns, (F.col("_off") + rn).cast("int").alias(name))
 

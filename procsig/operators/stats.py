@@ -166,7 +166,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], category: str, exact: bool
 
     Pass 1 computes exact quartiles per group (``exact_quantiles``: bounded memory, or
     ``percentile_approx`` with ``exact=False``), pass 2 joins them back and finds whiskers
-    and outliers; the quartile table is broadcast only below a checked row count.
+    and outliers; adaptive execution broadcasts the per-group quartile table when small.
     """
     long = unpivot(df, [category], columns).withColumnRenamed(category, "category").filter(F.col("value").isNotNull())
     if exact:
@@ -178,7 +178,9 @@ def box_stats(df: DataFrame, columns: Sequence[str], category: str, exact: bool
     qs = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     qs = qs.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
                    (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
-    j = long.join(bounded_broadcast(qs, max_groups_broadcast), ["variable", "category"])
+    # one row per group: adaptive execution broadcasts it at run time when small (a pre-count
+    # would recompute the quartiles)
+    j = long.join(qs, ["variable", "category"])
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     return j.groupBy("variable", "category", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
