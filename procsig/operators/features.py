@@ -145,6 +145,15 @@ def feature_catalog(spark, columns: Sequence[str], lags: Sequence[int] = (1, 2),
     return spark.createDataFrame(rows, schema)
 
 
+def series_chunks(df: DataFrame, spec: SeriesSpec, target_rows: int = 5_000_000, max_chunks: int = 256) -> int:
+    """Checked size for the hot-series paths: rows of the largest series (one aggregate with
+    map-side partial counts) divided by ``target_rows``, so a series holding a large share
+    of all rows is cut into ranges of about ``target_rows``; 1 when every series is small."""
+    g = df.groupBy(*spec.keys) if spec.keys else df.groupBy()
+    largest = g.agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return int(min(max_chunks, max(1, -(-largest // target_rows))))
+
+
 def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample", chunks: int = 1) -> DataFrame:
     """Integer time step 1..n inside each series, from the explicit order key.
 

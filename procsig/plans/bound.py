@@ -90,12 +90,18 @@ scored AS (SELECT *, {greatest} AS max_z, CAST({greatest} > {threshold} AS INTEG
 # ----------------------------------------------------------------- lineitem analysis record
 
 def lineitem_records(spark: SparkSession, sf: str, threshold: float = THRESHOLD, keep: tuple = (),
-                     chunks: int = 1) -> DataFrame:
-    """R11 over lineitem: one record per (supplier, sample)."""
+                     chunks: int | str = "auto") -> DataFrame:
+    """R11 over lineitem: one record per (supplier, sample).
+
+    ``chunks="auto"`` measures the largest supplier series first and switches to the
+    chunked (hot-series) plan only when one series exceeds the per-task target."""
     from procsig.plans.analysis import analysis_records
     from procsig.sources.tables import LINEITEM, VARIABLE_DESCRIPTIONS
     b = LINEITEM
-    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec, chunks=chunks)
+    raw = b.spec.drop_null_keys(b.load(spark, sf))
+    if chunks == "auto":
+        chunks = fe.series_chunks(raw.select(*b.keys), b.spec)
+    samples = fe.with_sample_number(raw, b.spec, chunks=chunks)
     return analysis_records(samples, b.spec, list(b.variables), threshold=threshold,
                             descriptions=VARIABLE_DESCRIPTIONS, train_fraction=TRAIN_FRACTION, keep=keep,
                             chunks=chunks)

@@ -175,3 +175,11 @@ def test_process_ingest_label_and_features(spark):
     feats = fe.feature_chain_serving(lab, ps.SPEC, ["xmeas_1", "xmv_11"])
     # fault 0 loses rows 1-2 and the NaN row plus the two after it (lags/rolling see it); fault 13 keeps 3..25
     assert feats.filter("faultNumber = 13").count() == 23 and feats.filter("faultNumber = 0").count() == 23 - 3
+
+
+def test_series_chunks_checks_largest_series(spark):
+    df = spark.createDataFrame([(0, i) for i in range(1000)] + [(1, i) for i in range(10)], "k int, t int")
+    spec = SeriesSpec(("k",), ("t",))
+    assert fe.series_chunks(df, spec, target_rows=5000) == 1
+    assert fe.series_chunks(df, spec, target_rows=100) == 10
+    assert fe.series_chunks(df, spec, target_rows=1, max_chunks=64) == 64
