@@ -1,4 +1,4 @@
 """Import every operator module so that its query registers."""
 
-from procsig.llm import quality  # noqa: F401
+from procsig.llm import decontam, dedup, quality, urls  # noqa: F401
 from procsig.llm.registry import ORACLE, QUERIES  # noqa: F401
