@@ -37,6 +37,7 @@ from procsig.llm.components import components
 from procsig.llm.registry import register
 from procsig.llm.runs import groups
 from procsig.llm.superminhash import SLOTS, band_keys, sketch, superminhash
+from procsig.llm.text import SPACE_WORD, packed
 from procsig.llm.wordhash import shingle_sets, text_chunks
 from procsig.session import cut_lineage
 from procsig.sources.tables import table
@@ -45,7 +46,7 @@ BANDS, ROWS = 51, 5
 NUM, DEN = 3, 4                      # link where DEN * |A & B| >= NUM * |A | B|
 #: Sketch cells that may differ at similarity 0.75: mean 48 of 256, plus seven standard deviations.
 MAX_DIFFERENT = 92
-MAX_RUN, BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 2048, 512, 1 << 21, 16
+MAX_RUN, BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS, KEY_BUCKETS = 2048, 512, 1 << 21, 16, 1 << 20
 _SIG = "doc_id bigint, text_key bigint, n_shingles bigint, fp binary, bands array<bigint>, sketch array<bigint>"
 
 
@@ -141,9 +142,9 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def bucket_links(nodes: DataFrame) -> DataFrame:
-    """``nodes(fp, bands, sketch)`` -> links ``(a, b)`` whose components hold every true link."""
-    rows = (nodes.select(F.explode("bands").alias("key"), "fp").repartitionByRange("key", "fp")
+def bucket_links(nodes: DataFrame, bands: DataFrame) -> DataFrame:
+    """``nodes(fp, sketch)``, ``bands(fp, bands)`` -> links ``(a, b)`` whose components hold every true link."""
+    rows = (bands.select(F.explode("bands").alias("key"), "fp").repartitionByRange("key", "fp")
             .sortWithinPartitions("key", "fp").mapInArrow(_bucket_rows, "key bigint, fp binary, head binary, spans boolean"))
     rows = cut_lineage(rows)
     wide = rows.where("spans")
@@ -208,9 +209,15 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full sets of ``wanted(fp, rep, comp, blocks)``, read again from one row of each."""
+    """Full sets of ``wanted(fp, rep, comp, blocks)``, read again from one row of each.
+
+    The wanted keys are first reduced to at most ``KEY_BUCKETS`` distinct remainders, a broadcast of
+    bounded size that keeps most other texts out of the shuffle.
+    """
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     w = wanted.select("comp", "fp", "blocks", F.col("rep.text_key").alias("key_of"), F.col("rep.doc_id").alias("id_of"))
+    buckets = w.select(F.pmod("key_of", F.lit(KEY_BUCKETS)).alias("bucket")).distinct()
+    text = text.join(F.broadcast(buckets), F.pmod("text_key", F.lit(KEY_BUCKETS)) == F.col("bucket"), "left_semi")
     hit = text.join(w, (F.col("text_key") == F.col("key_of")) & F.col("doc_id").eqNullSafe(F.col("id_of")))
     return (hit.select("comp", "fp", "blocks", "text")
             .mapInArrow(_set_batches, "comp binary, fp binary, blocks array<int>, grams binary"))
@@ -235,14 +242,14 @@ def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def block_spanning_links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
+def block_spanning_links(docs: DataFrame, nodes: DataFrame, bands: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
     """Links between blocks of one provisional group whose sides are not connected yet.
 
     Per band key, the most common component is the main one: rows outside it meet all other rows,
     so that keys held by one component cost nothing.
     """
     label = components(links).withColumnRenamed("root", "label")
-    wide = (placed.where("n_blocks > 1").select("fp", "block").join(nodes.select("fp", "bands", "sketch", "n_shingles"), "fp")
+    wide = (placed.where("n_blocks > 1").select("fp", "block").join(nodes.select("fp", "sketch", "n_shingles"), "fp").join(bands, "fp")
             .join(label.select(F.col("node").alias("fp"), "label"), "fp", "left")
             .select("fp", "block", "sketch", "n_shingles", F.coalesce("label", "fp").alias("label"), F.explode("bands").alias("key")))
     per = wide.groupBy("key", "label").count()
@@ -268,10 +275,12 @@ def block_spanning_links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, l
 def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, text_key, n_shingles, component_id, kept`` per row."""
     sig = cut_lineage(signatures(docs))
-    nodes = cut_lineage(sig.where("n_shingles > 0").groupBy("fp").agg(
+    shingled = sig.where("n_shingles > 0")
+    nodes = cut_lineage(shingled.groupBy("fp").agg(
         F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least"),
-        F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    comp = components(bucket_links(nodes)).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    bands = shingled.groupBy("fp").agg(F.first("bands").alias("bands"))
+    comp = components(bucket_links(nodes, bands)).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
     member = nodes.select("fp", "rep", "n_shingles").join(comp, "fp")
     sizes = member.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.greatest(F.col("size") / block_docs, F.col("total") / BLOCK_SHINGLES)).cast("long")
@@ -279,7 +288,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
         "fp", "rep", "comp", "size", "n_blocks", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).alias("block")))
     links = cut_lineage(verified_links(docs, placed))
     if not placed.where("n_blocks > 1").isEmpty():
-        links = cut_lineage(links.unionByName(block_spanning_links(docs, nodes, placed, links)))
+        links = cut_lineage(links.unionByName(block_spanning_links(docs, nodes, bands, placed, links)))
     root = components(links)
     rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
@@ -294,18 +303,18 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (all columns), one of each group; textless rows all stay."""
     found = cut_lineage(near_duplicates(docs.select("doc_id", "text")))
-    text_key = F.xxhash64(docs["text"])
+    rows = packed(docs)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_key == F.col("gone_key")), "left_anti")
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
     again = (found.where("kept AND n_shingles > 0").groupBy(F.col("component_id").alias("again_id")).count()
              .where("count > 1").select("again_id", F.lit(True).alias("again")))
     if again.isEmpty():
-        return left
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    marked = left.join(again, left["doc_id"].eqNullSafe(F.col("again_id")), "left")
-    repeated = F.col("again").isNotNull() & (words > 0)
-    one = marked.where(repeated).dropDuplicates(["again_id"]).select(*docs.columns)
-    return marked.where(~repeated).select(*docs.columns).unionByName(one)
+        return left.select("row_of.*")
+    # Rows that repeat the kept id of their group: one of them stays.
+    marked = left.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left")
+    repeated = F.col("again").isNotNull() & F.coalesce("text", F.lit("")).rlike(SPACE_WORD)
+    one = marked.where(repeated).dropDuplicates(["again_id"])
+    return marked.where(~repeated).select("row_of").unionByName(one.select("row_of")).select("row_of.*")
 
 
 SQL = r"""

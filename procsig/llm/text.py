@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,9 +20,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def words(c: Column, pattern: str) -> Column:
-    """All words of a text in order; NULL has none."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
+def space_words(c: Column) -> Column:
+    """The words of ``SPACE_WORD`` in order; NULL has none. A translation and a split, no regular expression."""
+    others = SPACE_CHARS.replace(" ", "")
+    return F.array_remove(F.split(F.translate(F.coalesce(c, F.lit("")), others, " " * len(others)), " "), "")
+
+
+_BREAKS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+
+
+def alnum_words(c: Column) -> Column:
+    """The words of ``ALNUM_WORD`` in ASCII lower case."""
+    spaced = F.translate(F.coalesce(c, F.lit("")), UPPER + _BREAKS, LOWER + " " * len(_BREAKS))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def sql_words(expr: str, pattern: str) -> str:
@@ -31,3 +41,9 @@ def sql_words(expr: str, pattern: str) -> str:
 
 def sql_ascii_lower(expr: str) -> str:
     return f"translate({expr}, '{UPPER}', '{LOWER}')"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_key, row_of``: whole rows as one struct, so that no column name can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), whole.alias("row_of"))
