@@ -24,11 +24,11 @@ listed; documents with equal or NULL ids are told apart by row; other columns ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsig.llm.registry import register
-from procsig.llm.text import ALNUM_WORD, ascii_lower, sql_ascii_lower, sql_words, words
+from procsig.llm.text import ALNUM_WORD, alnum_words, packed, sql_ascii_lower, sql_words
 from procsig.plans.guard import row_count_at_most
 from procsig.session import cut_lineage
 from procsig.sources.tables import table
@@ -37,13 +37,9 @@ WINDOW = 10
 BROADCAST_ROWS = 1_000_000
 
 
-def doc_words(text: Column) -> Column:
-    return words(ascii_lower(text), ALNUM_WORD)
-
-
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Distinct windows ``(window, items)``: the word array and the sorted ids of its items."""
-    w = items.select("item_id", doc_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = items.select("item_id", alnum_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     return (w.select("item_id", "w", F.explode(starts).alias("s"))
             .select("item_id", F.expr(f"slice(w, s, {size})").alias("window"))
@@ -53,7 +49,8 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 def prefix_tokens(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """Add ``token`` (the window's rarest word over ``docs``) and its ``offset`` from 0."""
     vocab = windows.select(F.explode("window").alias("word")).distinct()
-    seen = docs.select(F.explode(doc_words(F.col("text"))).alias("word"))
+    # Outer explodes: for an inner one the optimizer adds a filter that cuts the text a second time.
+    seen = docs.select(F.explode_outer(alnum_words(F.col("text"))).alias("word"))
     if row_count_at_most(vocab, BROADCAST_ROWS) <= BROADCAST_ROWS:
         vocab = F.broadcast(vocab)
     counts = seen.join(vocab, "word", "left_semi").groupBy("word").count()
@@ -71,9 +68,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, key: list[str], broadcast_r
     exact = F.slice("w", F.col("pos") - F.col("offset") + 1, F.size("window")) == F.col("window")
     out = [*key, start.alias("start"), F.size("window").alias("len"), "items"]
     if row_count_at_most(windows, broadcast_rows) <= broadcast_rows:
-        at = docs.select(*key, "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
+        at = docs.select(*key, "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "token"))
         return at.join(F.broadcast(windows), "token").where(fits & exact).select(*out)
-    at = docs.select(*key, F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "token"))
+    at = docs.select(*key, F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "token"))
     found = at.join(windows, "token").where(fits).drop("token", "n_words")
     same = F.lit(True)
     for c in key:
@@ -93,14 +90,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
     windows = cut_lineage(prefix_tokens(item_windows(items, size), docs))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     key = ["doc_id", "text_key"]
-    occ = occurrences(texts.select(*key, doc_words(F.col("text")).alias("w")), windows, key, broadcast_rows)
+    occ = occurrences(texts.select(*key, alnum_words(F.col("text")).alias("w")), windows, key, broadcast_rows)
     hits = occ.groupBy(*key).agg(
         F.collect_set(F.struct("start", "len")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"),
                        F.size(covered).cast("long").alias("n_hit"), "items")
-    rows = texts.select(*key, F.size(doc_words(F.col("text"))).cast("long").alias("n_words"))
+    rows = texts.select(*key, F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
     return (rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
             .select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items")))
@@ -110,9 +107,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     """Rows of ``docs`` (all columns) in which no benchmark window occurs."""
     windows = cut_lineage(prefix_tokens(item_windows(items, size), docs))
     key = ["doc_id", "text_key"]
-    marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), doc_words(F.col("text")).alias("w"))
+    rows = packed(docs)
+    marked = rows.select("doc_id", "text_key", alnum_words(F.col("text")).alias("w"))
     bad = occurrences(marked, windows, key).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_key")), "left_anti")
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("text_key") == F.col("bad_key")),
+                     "left_anti").select("row_of.*")
 
 
 SQL = f"""
