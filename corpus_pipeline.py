@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, near-dedup, decontamination, secret scan, byte-level BPE.
 
 ``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)`` and returns a
-DataFrame, which ``run`` writes as Parquet and rereads as the next stage's ``docs``.
+DataFrame, which ``run`` writes as Parquet and rereads as the next stage's ``docs``. All but the last
+return the columns of their input. Defined results for odd input are those of the operators; extra
+columns pass through every stage but the last.
 """
 
 from __future__ import annotations
@@ -10,22 +12,56 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from procsig.llm.bpe import VOCABULARY, decode, encode
+from procsig.llm.decontam import decontaminate
+from procsig.llm.dedup import drop_near_duplicates
 from procsig.llm.quality import quality_rules
+from procsig.llm.secrets import redact
+from procsig.llm.text import packed
 from procsig.session import ensure_checkpoint_dir
 from procsig.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules(packed(docs)).where("kept").select("row_of.*")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return drop_near_duplicates(docs).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digest of what they decode to."""
+    import public_tokenizers
+    path = public_tokenizers.path(VOCABULARY)
+    return decode(encode(docs, path, public_tokenizers.PATTERN), path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secrets_stage),
+    ("byte_bpe", tokens_stage),
 ]
 
-#: Grouping, forest and tokenizer stages have no SQL form; tests hold ``run`` against brute force.
+#: The grouping, forest and tokenizer stages have no SQL form; a test holds ``run`` against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -3,7 +3,7 @@
 Each task cuts its texts into pieces with the tokenizer's pattern and encodes the distinct ones that
 it has not seen. A piece starts as one row per byte (word, position, token); a recursive query joins
 neighbouring rows with the merge table and contracts, in every word and step, the leftmost pair of
-the smallest rank, until no pair is left. Where the merged token cannot be part of a token of lower
+the smallest rank, until no pair is left. In long words, where the merged token cannot be part of a token of lower
 rank, all places of that pair are contracted in the same step, which gives the same result and
 keeps very long pieces (a run of one letter) from taking a step per place.
 
@@ -34,7 +34,7 @@ from procsig.llm.wordhash import text_chunks
 from procsig.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES, ENCODE_ROWS, DECODE_TOKENS = 250_000, 300_000, 1_000_000
+CACHE_PIECES, ENCODE_ROWS, DECODE_TOKENS, LONG_BYTES = 500_000, 300_000, 1_000_000, 32
 
 #: Every split of a token into two tokens; the token's id is its rank. ``safe``: no token of lower
 #: rank has the merged token as one of its two parts.
@@ -46,9 +46,25 @@ WITH parts AS (SELECT id, hex, unnest(range(1, length(hex) // 2)) AS k FROM voca
      lower AS (SELECT l AS part FROM pairs WHERE l > t UNION SELECT r FROM pairs WHERE r > t)
 SELECT l, r, t, t NOT IN (SELECT part FROM lower) AS safe FROM pairs"""
 
-#: One step for all words that still have a pair: ``best`` is the smallest rank and, among equal
-#: ranks, the leftmost place. ``odd`` picks every other one of adjoining places of the same pair.
+#: A place's ``packed`` value orders places by rank, then from left to right; ``best`` is the
+#: word's smallest. Each step contracts it: the place takes the merged token, the next row goes.
 _STEP = """
+WITH RECURSIVE s(w, step, k, id) AS (
+  SELECT w, 0, k, id FROM bytes
+  UNION ALL
+  SELECT w, step + 1, k, CASE WHEN packed = best THEN t ELSE id END FROM (
+    SELECT w, step, k, id, t, packed, best, lag(packed) OVER (PARTITION BY w ORDER BY k) AS prev FROM (
+      SELECT w, step, k, id, t, packed, min(packed) OVER (PARTITION BY w) AS best FROM (
+        SELECT p.w, p.step, p.k, p.id, m.t, CAST(m.t AS BIGINT) * 4294967296 + p.k AS packed
+        FROM (SELECT w, step, k, id, lead(id) OVER (PARTITION BY w ORDER BY k) AS nxt FROM s) p
+        LEFT JOIN merges m ON m.l = p.id AND m.r = p.nxt))
+    WHERE best IS NOT NULL)
+  WHERE prev IS DISTINCT FROM best)
+SELECT w, k, id FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w, k"""
+
+#: The same for long words: where the merged token is safe, every other one of adjoining places of
+#: the best rank is contracted in the same step.
+_LONG_STEP = """
 WITH RECURSIVE s(w, step, k, id) AS (
   SELECT w, 0, k, id FROM bytes
   UNION ALL
@@ -56,20 +72,19 @@ WITH RECURSIVE s(w, step, k, id) AS (
     SELECT w, step, k, CASE WHEN take THEN t ELSE id END AS id,
            coalesce(lag(take) OVER (PARTITION BY w ORDER BY k), false) AS gone
     FROM (
-      SELECT w, step, k, id, t, coalesce(t = best // 4294967296 AND CASE WHEN safe AND n > 32
+      SELECT w, step, k, id, t, coalesce(t = best // 4294967296 AND CASE WHEN safe
                THEN row_number() OVER (PARTITION BY w, t = best // 4294967296, k - place ORDER BY k) % 2 = 1
                ELSE k = best % 4294967296 END, false) AS take
       FROM (
         SELECT *, row_number() OVER (PARTITION BY w, t = best // 4294967296 ORDER BY k) AS place
         FROM (
-          SELECT p.w, p.step, p.k, p.id, m.t, m.safe, p.n,
+          SELECT p.w, p.step, p.k, p.id, m.t, m.safe,
                  min(CAST(m.t AS BIGINT) * 4294967296 + p.k) OVER (PARTITION BY p.w) AS best
-          FROM (SELECT w, step, k, id, lead(id) OVER (PARTITION BY w ORDER BY k) AS nxt,
-                       count(*) OVER (PARTITION BY w) AS n FROM s) p
+          FROM (SELECT w, step, k, id, lead(id) OVER (PARTITION BY w ORDER BY k) AS nxt FROM s) p
           LEFT JOIN merges m ON m.l = p.id AND m.r = p.nxt)
         WHERE best IS NOT NULL)))
   WHERE NOT gone)
-SELECT w, k, id FROM s QUALIFY step = max(step) OVER (PARTITION BY w) ORDER BY w, k"""
+SELECT w, k, id FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w, k"""
 
 
 class Engine:
@@ -96,7 +111,8 @@ class Engine:
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def encode_pieces(self, pieces: list[str]) -> None:
-        """Encode unseen pieces into the cache."""
+        """Encode unseen pieces into the cache, short ones first."""
+        pieces = sorted(pieces, key=len)
         raw = [p.encode() for p in pieces]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         at = 0
@@ -107,7 +123,7 @@ class Engine:
             k = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
             rows = pa.table({"w": w, "k": k, "id": self.byte[np.frombuffer(b"".join(raw[at:to]), np.uint8)]})
             self.db.register("bytes", rows)
-            got = self.db.execute(_STEP).to_arrow_table()
+            got = self.db.sql(_STEP if n.max() <= LONG_BYTES else _LONG_STEP).to_arrow_table()
             counts = np.bincount(got.column("w").to_numpy(), minlength=to - at)
             self.ids = np.concatenate([self.ids, got.column("id").to_numpy().astype(np.int32)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
@@ -134,8 +150,8 @@ class Engine:
     def decode(self, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> pa.Table:
         """``(doc, bytes list in position order)`` of token rows."""
         self.db.register("tokens", pa.table({"doc": doc, "pos": pos, "id": ids}))
-        return self.db.execute("SELECT doc, list(tok ORDER BY pos) AS toks FROM tokens JOIN vocab USING (id) "
-                               "GROUP BY doc ORDER BY doc").to_arrow_table()
+        return self.db.sql("SELECT doc, list(tok ORDER BY pos) AS toks FROM tokens JOIN vocab USING (id) "
+                           "GROUP BY doc ORDER BY doc").to_arrow_table()
 
 
 @functools.lru_cache(maxsize=2)

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsig.llm.registry import register
-from procsig.llm.text import SPACE_WORD, ascii_lower, sql_ascii_lower, sql_words, words
+from procsig.llm.text import SPACE_WORD, ascii_lower, space_words, sql_ascii_lower, sql_words
 from procsig.sources.tables import table
 
 #: Fixed value: the characters that count as symbols.
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 
 #: Common function words of the corpus languages (en, fr, de, es).
 STOP_WORDS = ("the of and to in is that it on for as with was be by at are this have from or "
@@ -70,7 +70,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     a repeated hash sorts its (hash, position) pairs to find which windows repeat.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("q_words", words(F.col(text), SPACE_WORD))
+    df = docs.withColumn("q_words", space_words(F.col(text)))
     df = df.withColumn("n_words", F.size("q_words").cast("long"))
     df = df.withColumn("q_tri", F.slice(
         F.transform("q_words", lambda w, i: F.xxhash64(w, F.get("q_words", i + 1), F.get("q_words", i + 2))),
@@ -85,7 +85,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("q_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = (df
           .withColumn("word_chars", F.char_length(F.array_join("q_words", "")).cast("long"))
-          .withColumn("n_symbols", (F.char_length(t) - F.char_length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"))
+          .withColumn("n_symbols", (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"))
           .withColumn("n_lines", F.size("q_lines").cast("long"))
           .withColumn("n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
           .withColumn("n_stop_words", F.size(F.filter(
@@ -117,7 +117,7 @@ def _sql() -> str:
               SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w0, w1, w2) AS c FROM tri), (SELECT unnest([0, 1, 2]) AS k)
             WHERE c > 1 GROUP BY doc_id),
     m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
-                 length(x) - length(regexp_replace(x, '{SYMBOLS}', '', 'g')) AS n_symbols,
+                 length(x) - length(regexp_replace(x, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
                  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
                  coalesce(rep.n, 0) AS n_repeat_words,
                  len(list_filter(w, lambda v: {sql_ascii_lower('v')} IN ({stop}))) AS n_stop
