@@ -17,16 +17,15 @@ from pyspark.sql import functions as F
 from procsig.llm.bpe import VOCABULARY, decode, encode
 from procsig.llm.decontam import decontaminate
 from procsig.llm.dedup import drop_near_duplicates
-from procsig.llm.quality import quality_rules
+from procsig.llm.quality import keep_good
 from procsig.llm.secrets import redact
-from procsig.llm.text import packed
 from procsig.session import ensure_checkpoint_dir
 from procsig.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(packed(docs)).where("kept").select("row_of.*")
+    return keep_good(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

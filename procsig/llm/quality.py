@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsig.llm.registry import register
-from procsig.llm.text import SPACE_WORD, ascii_lower, space_words, sql_ascii_lower, sql_words
+from procsig.llm.text import SPACE_WORD, ascii_lower, packed, space_words, sql_ascii_lower, sql_words
 from procsig.sources.tables import table
 
 #: Fixed value: the characters that count as symbols.
@@ -104,6 +104,16 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     return df.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (all columns) that the rules keep.
+
+    The row number in the condition keeps the optimizer from moving the verdict below the metrics,
+    where each of them would be computed many times over.
+    """
+    judged = quality_rules(packed(docs)).withColumn("q_row", F.monotonically_increasing_id())
+    return judged.where("kept AND q_row >= 0").select("row_of.*")
+
+
 def _sql() -> str:
     stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
     checks = " AND ".join(f"{r.metric} {op} {v}" for r in RULES for op, v in ((">=", r.low), ("<=", r.high)) if v is not None)
