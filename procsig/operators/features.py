@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from procsig.functions.scalar import with_count_below
+from procsig.plans.guard import bounded_broadcast
+from procsig.session import cut_lineage
 from procsig.spec import SeriesSpec
 
 ROLLING_STATS = ("mean", "std", "min", "max")
@@ -145,13 +147,14 @@ def feature_catalog(spark, columns: Sequence[str], lags: Sequence[int] = (1, 2),
     return spark.createDataFrame(rows, schema)
 
 
-def series_chunks(df: DataFrame, spec: SeriesSpec, target_rows: int = 5_000_000, max_chunks: int = 256) -> int:
+def series_chunks(df: DataFrame, spec: SeriesSpec, target_rows: int = 5_000_000) -> int:
     """Checked size for the hot-series paths: rows of the largest series (one aggregate with
     map-side partial counts) divided by ``target_rows``, so a series holding a large share
-    of all rows is cut into ranges of about ``target_rows``; 1 when every series is small."""
+    of all rows is cut into ranges of about ``target_rows``, however many that takes; 1 when
+    every series is small."""
     g = df.groupBy(*spec.keys) if spec.keys else df.groupBy()
     largest = g.agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    return int(min(max_chunks, max(1, -(-largest // target_rows))))
+    return int(max(1, -(-largest // target_rows)))
 
 
 def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample", chunks: int = 1) -> DataFrame:
@@ -169,65 +172,78 @@ def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample", ch
 # --------------------------------------------------------------------------------------
 
 def chunk_tags(df: DataFrame, spec: SeriesSpec, n_chunks: int, halo: int = 1,
-               relative_error: float = 1e-3) -> DataFrame:
+               max_hot_series: int = 10_000) -> DataFrame:
     """Add ``_chunk``: the range of the first order column a row falls in, per series.
 
-    Boundaries come from ``percentile_approx`` per series (one aggregation, joined back on
-    the series key, so no list passes through the driver for keyed series). Ties on the
-    first order column always share a chunk, so chunks of one series are ordered ranges.
-    Series too small to be worth splitting keep one chunk.
+    Boundaries come from ``percentile_approx`` per series, as accurate as ``n_chunks`` asks for.
+    Ties on the first order column always share a chunk, so chunks of one series are ordered
+    ranges. Only series worth splitting (8 rows per chunk and halo row) have boundaries; that
+    table is broadcast under its checked size, so rows of a hot series are tagged where they lie
+    and are never gathered on the series key first. Other series keep one chunk.
     """
     first = spec.order[0]
     keys = list(spec.keys)
     probs = [i / n_chunks for i in range(1, n_chunks)]
-    accuracy = int(1 / relative_error)
-    if n_chunks * 4 > accuracy:
-        raise ValueError("n_chunks too large for the requested percentile accuracy")
+    accuracy = max(1_000, 8 * n_chunks)
     g = df.groupBy(*keys) if keys else df.groupBy()
     bounds = g.agg(F.count(F.lit(1)).alias("_n"),
                    F.array_distinct(F.percentile_approx(F.col(first), probs, accuracy)).alias("_b"))
-    bounds = bounds.select(*keys, F.when(F.col("_n") >= F.lit(8 * n_chunks * max(halo, 1)), F.col("_b"))
-                           .otherwise(F.array().cast(bounds.schema["_b"].dataType)).alias("_bounds"))
+    bounds = bounds.filter(F.col("_n") >= F.lit(8 * n_chunks * max(halo, 1))).select(*keys, F.col("_b").alias("_bounds"))
+    none = F.array().cast(bounds.schema["_bounds"].dataType)
     if keys:
-        # one row per series: a shuffle join on the series key (AQE splits a hot key)
-        joined = df.join(bounds, keys, "inner")
+        bounds = bounded_broadcast(cut_lineage(bounds), max_hot_series)
+        joined = df.join(bounds, keys, "left").withColumn("_bounds", F.coalesce("_bounds", none))
         return with_count_below(joined, F.col("_bounds"), F.col(first), n_chunks, "_chunk", inclusive=True).select(
             *df.columns, "_chunk")
     # one global series: its n_chunks - 1 boundaries become a literal array
-    lits = bounds.first()["_bounds"] or []
-    arr = F.array(*[F.lit(v) for v in lits]) if lits else F.array().cast(f"array<{df.schema[first].dataType.simpleString()}>")
+    row = bounds.first()
+    lits = (row["_bounds"] if row else None) or []
+    arr = F.array(*[F.lit(v) for v in lits]) if lits else none
     return with_count_below(df, arr, F.col(first), n_chunks, "_chunk", inclusive=True).select(*df.columns, "_chunk")
 
 
 def windowed_chunks(tagged: DataFrame, spec: SeriesSpec, halo: int, build) -> DataFrame:
-    """Evaluate trailing-window expressions chunk by chunk: the last ``halo`` rows of each
-    chunk are copied into the next one, every chunk is windowed independently under
-    ``spec.with_extra('_chunk')`` and the copies are dropped again."""
+    """Evaluate trailing-window expressions chunk by chunk: the last ``halo`` rows before each
+    chunk are copied into it, every chunk is windowed independently under
+    ``spec.with_extra('_chunk')`` and the copies are dropped again.
+
+    The rows before a chunk may lie in several earlier chunks when some of them are shorter than
+    the halo: each chunk's last rows are tagged with their place in the series (chunk sizes, a
+    small table, give the places) and go to every later chunk that starts within ``halo`` rows.
+    """
     if halo < 0:
         raise ValueError("halo must be >= 0")
+    keys = list(spec.keys)
     cols = [c for c in tagged.columns if c != "_chunk"]
     chunk_spec = spec.with_extra("_chunk")
-    ranked = tagged.select("*", F.row_number().over(_desc_window(chunk_spec)).alias("_rdesc"))
-    own = ranked.select(*cols, "_chunk", F.lit(False).alias("_halo"))
-    copies = ranked.filter(F.col("_rdesc") <= halo).select(
-        *cols, (F.col("_chunk") + 1).alias("_chunk"), F.lit(True).alias("_halo"))
-    out = own.unionByName(copies).select("*", *build(chunk_spec))
+    own = tagged.select(*cols, "_chunk", F.lit(False).alias("_halo"))
+    if halo:
+        sizes = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
+        w = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk")  # one row per chunk
+        ends = sizes.select(*keys, "_chunk", F.sum("_cn").over(w).alias("_end"))
+        # chunks that follow, with the rows between this chunk's end and their start
+        starts = ends.select(*keys, "_chunk", "_end", F.coalesce(F.lag("_end").over(w), F.lit(0)).alias("_before"))
+        later = starts.select(*keys, "_chunk", "_end", F.collect_list(
+            F.struct(F.col("_chunk").alias("to"), F.col("_before").alias("before"))).over(w.rowsBetween(1, halo)).alias("_later"))
+        tails = tagged.select("*", F.row_number().over(_desc_window(chunk_spec)).alias("_rdesc")).filter(F.col("_rdesc") <= halo)
+        moved = tails.join(later, [*keys, "_chunk"]).select(*cols, "_rdesc", F.explode("_later").alias("_to"), "_end")
+        copies = moved.filter(F.col("_rdesc") + F.col("_to.before") - F.col("_end") <= halo).select(
+            *cols, F.col("_to.to").alias("_chunk"), F.lit(True).alias("_halo"))
+        own = own.unionByName(copies)
+    out = own.select("*", *build(chunk_spec))
     return out.filter(~F.col("_halo")).drop("_halo")
 
 
-def chunked_window(df: DataFrame, spec: SeriesSpec, halo: int, build, n_chunks: int,
-                   relative_error: float = 1e-3) -> DataFrame:
+def chunked_window(df: DataFrame, spec: SeriesSpec, halo: int, build, n_chunks: int) -> DataFrame:
     """Trailing-window expressions over big (or global) series in parallel chunks.
 
     ``halo`` must be at least the largest look-back (``max(lag, window - 1)``) and
     ``build(spec)`` returns the window expressions to add. Equal to the unchunked window.
     """
-    tagged = chunk_tags(df, spec, n_chunks, halo, relative_error)
-    return windowed_chunks(tagged, spec, halo, build).drop("_chunk")
+    return windowed_chunks(chunk_tags(df, spec, n_chunks, halo), spec, halo, build).drop("_chunk")
 
 
-def chunked_row_number(tagged: DataFrame, spec: SeriesSpec, name: str = "sample",
-                       max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def chunked_row_number(tagged: DataFrame, spec: SeriesSpec, name: str = "sample") -> DataFrame:
     """Exact 1..n row numbers per series computed chunk by chunk: chunk sizes (a small
     table) give each chunk's offset, and a row number inside the chunk finishes it."""
     keys = list(spec.keys)

@@ -182,4 +182,40 @@ def test_series_chunks_checks_largest_series(spark):
     spec = SeriesSpec(("k",), ("t",))
     assert fe.series_chunks(df, spec, target_rows=5000) == 1
     assert fe.series_chunks(df, spec, target_rows=100) == 10
-    assert fe.series_chunks(df, spec, target_rows=1, max_chunks=64) == 64
+    assert fe.series_chunks(df, spec, target_rows=1) == 1000
+
+
+def test_lonely_row_between_two_busy_time_stamps(spark):
+    """Chunks shorter than the halo: the look-back reaches over several earlier chunks."""
+    rows = [(1, 0 if i < 500 else 2, i, float(i)) for i in range(1000) if i != 500] + [(1, 1, 500, 500.0)]
+    rows += [(2, i, i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, t int, id int, x double")
+    spec = SeriesSpec(("k",), ("t", "id"))
+
+    def build(s):
+        return fe.lag_exprs(s, ["x"], (1, 2, 3)) + fe.rolling_exprs(s, ["x"], (3,))
+
+    plain = {(r.k, r.id): tuple(r) for r in df.select("*", *build(spec)).collect()}
+    for n in (2, 8):
+        got = {(r.k, r.id): tuple(r) for r in fe.chunked_window(df, spec, 3, build, n).collect()}
+        assert got == plain
+
+
+def test_random_short_chunks_equal_the_plain_window(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(1, rnd.choice([1, 1, 1, 5, 9, rnd.randrange(40)]), i, rnd.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k int, t int, id int, x double")
+    spec = SeriesSpec(("k",), ("t", "id"))
+    build = lambda s: fe.lag_exprs(s, ["x"], (1, 4)) + fe.diff_exprs(s, ["x"])
+    plain = {r.id: tuple(r) for r in df.select("*", *build(spec)).collect()}
+    for halo, n in ((4, 16), (4, 28), (7, 9)):
+        assert {r.id: tuple(r) for r in fe.chunked_window(df, spec, halo, build, n).collect()} == plain
+
+
+def test_three_hundred_chunks(spark):
+    df = spark.range(6000).selectExpr("1 AS k", "id AS t", "cast(id * 3 % 17 AS double) AS x")
+    spec = SeriesSpec(("k",), ("t",))
+    build = lambda s: fe.lag_exprs(s, ["x"], (1, 2))
+    plain = {r.t: tuple(r) for r in df.select("*", *build(spec)).collect()}
+    assert {r.t: tuple(r) for r in fe.chunked_window(df, spec, 2, build, 300).collect()} == plain
