@@ -22,44 +22,22 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def clean(x: str | Column) -> Column:
+    """A double without NaN: NaN becomes NULL, so that aggregates skip it as pandas does."""
+    x = col_(x).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def safe_div(num: str | Column, den: str | Column) -> Column:
     """num / den, NULL when den is 0 (ANSI mode would throw)."""
     return F.try_divide(col_(num), col_(den))
 
 
-def abs_z(x: str | Column, mean: str | Column, std: str | Column) -> Column:
-    """|(x - mean) / std|."""
-    return F.abs((col_(x) - col_(mean)) / col_(std))
-
-
-def row_max(cols: Iterable[str | Column]) -> Column:
-    """largest value across columns of one row."""
-    cols = [col_(c) for c in cols]
-    return cols[0] if len(cols) == 1 else F.greatest(*cols)
-
-
-def any_true(preds: Iterable[Column]) -> Column:
-    """OR over columns."""
-    return reduce(lambda a, b: a | b, list(preds))
-
-
 def logistic(x: str | Column) -> Column:
     """1 / (1 + exp(-x))."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col_(x)))
 
 
-def guard_std(s: str | Column, eps: float = ZERO_STD_GUARD) -> Column:
-    """replace a zero standard deviation by eps."""
-    s = col_(s)
-    return F.when(s == 0, F.lit(eps)).otherwise(s)
-
-
-def unit_if_zero(s: str | Column) -> Column:
-    """Scaler divisor: a zero (or NULL) spread becomes 1 so the column passes through centred."""
-    s = col_(s)
-    return F.when(s.isNull() | (s == 0), F.lit(1.0)).otherwise(s)
-
-
 def safe_sqrt(x: str | Column) -> Column:
     """sqrt, NULL for negative input."""
     x = col_(x)
@@ -78,13 +56,14 @@ def normal_pdf(x: str | Column, mu: str | Column, sigma: str | Column) -> Column
     return F.exp(-F.pow((x - mu) / sigma, 2) / 2) / (sigma * F.lit((2 * 3.141592653589793) ** 0.5))
 
 
-def round_half_up(x: str | Column, digits: int) -> Column:
-    """Round the binary value half up with plain double arithmetic: floor(x * 10^d + 0.5) / 10^d.
+def round_half_even(x: str | Column, digits: int) -> Column:
+    """F8: round half to even in plain double arithmetic: rint(x * 10^d) / 10^d.
 
-    Deterministic across engines (``round`` in Spark rounds the printed decimal instead).
+    NaN and infinities stay as they are and no value is too large (``round`` in Spark rounds the
+    printed decimal, and a cast to BIGINT would saturate).
     """
     scale = F.lit(10.0 ** digits)
-    return F.floor(col_(x) * scale + F.lit(0.5)) / scale
+    return F.rint(col_(x).cast("double") * scale) / scale
 
 
 def tenths_half_even(v: Column) -> Column:
@@ -180,7 +159,7 @@ def cache_key(conf: str | Column, descriptions: str | Column) -> Column:
     """md5 of ``"{round(conf,2)}_{sorted descriptions as a list literal}"``."""
     listed = F.concat(F.lit("['"), F.array_join(F.array_sort(col_(descriptions)), "', '"), F.lit("']"))
     listed = F.when(F.size(col_(descriptions)) == 0, F.lit("[]")).otherwise(listed)
-    return F.md5(F.concat_ws("_", round_half_up(col_(conf), 2).cast("string"), listed))
+    return F.md5(F.concat_ws("_", round_half_even(col_(conf), 2).cast("string"), listed))
 
 
 def clock_text(ts: str | Column) -> Column:

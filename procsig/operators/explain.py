@@ -16,7 +16,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procsig.functions.scalar import round_half_up
+from procsig.functions.scalar import round_half_even
 from procsig.operators.detect import Moments, z_exprs
 from procsig.plans.guard import bounded_broadcast, collect_bounded
 
@@ -95,7 +95,7 @@ def format_attribution(top: DataFrame, row_cols: Sequence[str], digits: int = 4)
     Each group holds at most n rows, so the collected list is bounded.
     """
     item = F.struct(F.col("rank"), F.col("base").alias("variable_name"), F.col("description"),
-                    round_half_up(F.col("total"), digits).alias("importance_score"))
+                    round_half_even(F.col("total"), digits).alias("importance_score"))
     agg = top.groupBy(*row_cols).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     return agg.select(*row_cols, F.transform("_items", lambda x: F.struct(
         x["variable_name"].alias("variable_name"), x["description"].alias("description"),
@@ -143,7 +143,7 @@ def top_bases_expr(total_cols: Mapping[str, str], n: int, descriptions: Mapping[
     return F.transform(top, lambda x: F.struct(
         x["variable_name"].alias("variable_name"),
         (desc_map[x["variable_name"]] if desc_map is not None else F.lit(None).cast("string")).alias("description"),
-        (round_half_up(-x["neg_total"], digits) if digits is not None else -x["neg_total"]).alias("importance_score")))
+        (round_half_even(-x["neg_total"], digits) if digits is not None else -x["neg_total"]).alias("importance_score")))
 
 
 def explode_top(df: DataFrame, keep: Sequence[str], top: Column) -> DataFrame:

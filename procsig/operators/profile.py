@@ -13,7 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procsig.functions.scalar import round_half_up
+from procsig.functions.scalar import clean, round_half_even
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -33,7 +33,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     cols = list(columns) if columns is not None else _numeric(df)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = clean(c)
         extra = []
         if not exact:
             q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
@@ -81,7 +81,7 @@ def duplicate_stats(df: DataFrame, digits: int = 3) -> DataFrame:
     return agg.select(
         F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
         (F.coalesce(F.col("n_rows"), F.lit(0)) - F.col("n_distinct")).cast("long").alias("n_duplicates"),
-        F.coalesce(round_half_up(F.try_divide((F.col("n_rows") - F.col("n_distinct")) * 100.0, F.col("n_rows")), digits),
+        F.coalesce(round_half_even(F.try_divide((F.col("n_rows") - F.col("n_distinct")) * 100.0, F.col("n_rows")), digits),
                    F.lit(0.0)).alias("duplicate_pct"))
 
 

@@ -14,14 +14,15 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procsig.functions.scalar import with_count_below
+from procsig.functions.scalar import clean, normal_pdf, safe_ln, safe_sqrt, with_count_below
 from procsig.plans.guard import bounded_broadcast, collect_bounded
+from procsig.session import cut_lineage
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "variable",
             value: str = "value") -> DataFrame:
-    """Wide -> long: one (keep..., variable, value) row per column (a generator, no shuffle)."""
-    items = [F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns]
+    """Wide -> long: one (keep..., variable, value) row per column, NaN as NULL (a generator, no shuffle)."""
+    items = [F.struct(F.lit(c).alias(name), clean(c).alias(value)) for c in columns]
     return df.select(*keep, F.inline(F.array(*items)))
 
 
@@ -89,7 +90,8 @@ def normalise_by_max(long: DataFrame, value: str, within: str, name: str | None
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str] | None = None, buckets: int = 64, accuracy: int = 1_000,
-                    sample_every: int = 16, max_in_memory_distinct: int | None = 2_000_000) -> DataFrame:
+                    sample_every: int = 16, max_in_memory_distinct: int | None = 2_000_000,
+                    max_groups_broadcast: int = 100_000) -> DataFrame:
     """Exact linear-interpolation quantiles (same definition as Spark ``percentile`` and
     DuckDB ``quantile_cont``) per group, without holding a group's values in memory.
 
@@ -99,10 +101,8 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
        ranked inside themselves (each holds about n / buckets rows);
     4. the rows at the target ranks (at most 2 per quantile) are interpolated.
 
-    The per-group tables are joined back without a hint: adaptive execution turns those
-    joins into broadcasts at run time when the tables are small (one row per group, or
-    per group and bucket), and keeps shuffle joins when there are very many groups.
-    The boundaries only balance the buckets, so a coarse sketch (``accuracy``) suffices.
+    The per-group boundaries are materialised and broadcast up to ``max_groups_broadcast``
+    groups; beyond that they are joined by a shuffle. The boundaries only balance the buckets, so a coarse sketch (``accuracy``) suffices.
 
     Strategy by checked size: one HyperLogLog pass measures the largest number of distinct
     values in any group; at or below ``max_in_memory_distinct`` Spark's exact ``percentile``
@@ -128,8 +128,12 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
     st = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                  F.array_distinct(F.percentile_approx(sampled, bprobs, accuracy)).alias("_b"))
     st = st.select(*keys, "_n", F.coalesce(F.col("_b"), F.array().cast("array<double>")).alias("_b"))
-    tagged = with_count_below(data.join(st, keys), F.col("_b"), F.col("_x"), buckets, "_k").select(
-        *keys, "_x", "_n", "_k")
+    # one row per group, broadcast under its counted size: raw rows are not gathered by group.
+    # Equal values of a bucket are one row from here on, so a value that fills a third of the
+    # rows costs one partial count per task.
+    st = bounded_broadcast(cut_lineage(st), max_groups_broadcast)
+    tagged = (with_count_below(data.join(st, keys), F.col("_b"), F.col("_x"), buckets, "_k")
+              .groupBy(*keys, "_k", "_x").agg(F.count(F.lit(1)).alias("_w"), F.first("_n").alias("_n")))
 
     def targets(n: Column) -> Column:
         out = []
@@ -138,15 +142,16 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, probs: Seq
             out += [F.floor(pos), F.ceil(pos)]
         return F.array(*out)
 
-    cnt = tagged.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    cnt = tagged.groupBy(*keys, "_k").agg(F.sum("_w").alias("_c"), F.first("_n").alias("_n"))
     wk = Window.partitionBy(*keys).orderBy("_k")  # at most `buckets` rows per group
     cnt = cnt.select("*", F.coalesce(F.sum("_c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
                                      F.lit(0)).alias("_off"))
     need = cnt.filter(F.exists(targets(F.col("_n")), lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_c"))))
     sel = tagged.join(need.select(*keys, "_k", "_off"), [*keys, "_k"])
     wr = Window.partitionBy(*keys, "_k").orderBy("_x")
-    ranked = sel.select(*keys, "_x", "_n", (F.col("_off") + F.row_number().over(wr) - 1).alias("_r"))
-    hit = ranked.filter(F.exists(targets(F.col("_n")), lambda r: r == F.col("_r")))
+    ranked = sel.select(*keys, "_x", "_n", (F.col("_off") + F.sum("_w").over(wr)).alias("_end"), "_w")
+    hit = ranked.select(*keys, "_x", "_n", F.explode(F.filter(
+        F.array_distinct(targets(F.col("_n"))), lambda r: (r >= F.col("_end") - F.col("_w")) & (r < F.col("_end")))).alias("_r"))
     picked = hit.groupBy(*keys).agg(F.first("_n").alias("_n"),
                                     F.map_from_entries(F.collect_list(F.struct("_r", "_x"))).alias("_m"))
     out = []
@@ -178,9 +183,11 @@ def box_stats(df: DataFrame, columns: Sequence[str], category: str, exact: bool
     qs = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     qs = qs.select("*", (F.col("q1") - 1.5 * F.col("iqr")).alias("lower_fence"),
                    (F.col("q3") + 1.5 * F.col("iqr")).alias("upper_fence"))
-    # one row per group: adaptive execution broadcasts it at run time when small (a pre-count
-    # would recompute the quartiles)
-    j = long.join(qs, ["variable", "category"])
+    # one row per group: materialised once and broadcast under its counted size, so that the raw
+    # rows are never shuffled on the category
+    qs = cut_lineage(qs.withColumnsRenamed({"variable": "_v", "category": "_c"}))
+    j = long.join(bounded_broadcast(qs, max_groups_broadcast),
+                  (F.col("variable") == F.col("_v")) & F.col("category").eqNullSafe(F.col("_c")))
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
     return j.groupBy("variable", "category", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -192,8 +199,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], category: str, exact: bool
 # ----------------------------------------------------------------- A15 histogram
 
 def value_bounds(df: DataFrame, column: str) -> tuple[float | None, float | None]:
-    r = collect_bounded(df.agg(F.min(F.col(column).cast("double")).alias("lo"),
-                               F.max(F.col(column).cast("double")).alias("hi")), 1)[0]
+    r = collect_bounded(df.agg(F.min(clean(column)).alias("lo"), F.max(clean(column)).alias("hi")), 1)[0]
     return r["lo"], r["hi"]
 
 
@@ -209,18 +215,29 @@ def histogram(df: DataFrame, column: str, bins: int = 25, hue: str | None = None
     """Equal-width histogram over the global range (shared across hue), stat one of
     count / probability / percent / density / frequency, normalised over all rows."""
     lo, hi = bounds if bounds is not None else value_bounds(df, column)
-    x = F.col(column).cast("double")
-    keep = df.filter(x.isNotNull() & ~F.isnan(x))
+    x = clean(column)
+    keep = df.filter(x.isNotNull() & x.between(lo, hi)) if lo is not None else df.limit(0)
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
     width = (hi - lo) / bins if hi != lo else 1.0
-    b = bin_index(x, lo, hi, bins).alias("bin")
-    grp = [F.col(hue).alias("category")] if hue else []
-    counts = keep.groupBy(*grp, b).agg(F.count(F.lit(1)).alias("count"))
+    n_bins = bins if hi != lo else 1
+    grp = ["category"] if hue else []
+    hit = keep.select(*([F.col(hue).alias("category")] if hue else []), bin_index(x, lo, hi, bins).alias("bin"))
+    counts = hit.groupBy(*grp, "bin").agg(F.count(F.lit(1)).alias("count"))
+    # Every bin is a row, empty ones with count 0; the table has bins x categories rows.
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin")
+    slots = (counts.select("category").distinct().select("category", every) if hue
+             else df.sparkSession.range(1).select(every))
+    slots = slots.select(*[F.col(g).alias(f"_{g}") for g in grp], F.col("bin").alias("_bin"))
+    same = F.col("bin") == F.col("_bin")
+    for g in grp:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    counts = slots.join(counts, same, "left").select(*[F.col(f"_{g}").alias(g) for g in grp], F.col("_bin").alias("bin"),
+                                                     F.coalesce("count", F.lit(0)).alias("count"))
     total = F.sum("count").over(Window.partitionBy())  # bins x hue rows: bounded
-    val = {"count": F.col("count").cast("double"), "probability": F.col("count") / total,
-           "percent": F.col("count") * 100.0 / total, "density": F.col("count") / (total * F.lit(width)),
-           "frequency": F.col("count") / F.lit(width)}[stat]
-    return counts.select(*(["category"] if hue else []), "bin",
-                         (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_left"),
+    share = F.try_divide(F.col("count"), total)
+    val = {"count": F.col("count").cast("double"), "probability": share, "percent": share * 100.0,
+           "density": share / F.lit(width), "frequency": F.col("count") / F.lit(width)}[stat]
+    return counts.select(*grp, "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_left"),
                          (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_right"),
                          F.col("count").cast("long").alias("count"), val.alias(stat))
 
@@ -230,13 +247,12 @@ def histogram(df: DataFrame, column: str, bins: int = 25, hue: str | None = None
 def normal_fit(df: DataFrame, column: str, points: int = 500) -> DataFrame:
     """Maximum-likelihood mu, sigma (ddof 0) and the normal pdf on ``points`` grid points
     spanning [min, max]. The grid is generated from the one-row stats (no join)."""
-    x = F.col(column).cast("double")
+    x = clean(column)
     st = df.agg(F.avg(x).alias("mu"), F.stddev_pop(x).alias("sigma"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     g = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     gx = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / F.lit(points - 1)
     g = g.select("i", "mu", "sigma", gx.alias("x"))
-    pdf = F.exp(-F.pow((F.col("x") - F.col("mu")) / F.col("sigma"), 2) / 2) / (F.col("sigma") * F.lit(math.sqrt(2 * math.pi)))
-    return g.select("i", "x", "mu", "sigma", pdf.alias("pdf"))
+    return g.select("i", "x", "mu", "sigma", normal_pdf("x", "mu", F.nullif("sigma", F.lit(0.0))).alias("pdf"))
 
 
 def kde_curve(df: DataFrame, column: str, points: int = 200, fine_bins: int = 512) -> DataFrame:
@@ -265,8 +281,8 @@ def kde_curve(df: DataFrame, column: str, points: int = 200, fine_bins: int = 51
 
 def transform_moments(df: DataFrame, column: str) -> DataFrame:
     """N, mean, population std of the raw, sqrt and log transforms (NULL outside domain)."""
-    x = F.col(column).cast("double")
-    forms = {"raw": x, "sqrt": F.when(x >= 0, F.sqrt(x)), "log": F.when(x > 0, F.log(x))}
+    x = clean(column)
+    forms = {"raw": x, "sqrt": safe_sqrt(x), "log": safe_ln(x)}
     aggs = [F.struct(F.lit(k).alias("transform"), F.count(v).cast("long").alias("n"), F.avg(v).alias("mean"),
                      F.stddev_pop(v).alias("std")).alias(f"_t{i}") for i, (k, v) in enumerate(forms.items())]
     return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_t{i}") for i in range(len(forms))])))
@@ -281,15 +297,14 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
     grouped count of (feature, bin, target) cells; marginals come from windows over that
     small cell table.
     """
-    rng = collect_bounded(df.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"),
-                                            F.max(F.col(c).cast("double")).alias("hi")).alias(f"_r{i}")
+    rng = collect_bounded(df.agg(*[F.struct(F.min(clean(c)).alias("lo"), F.max(clean(c)).alias("hi")).alias(f"_r{i}")
                                    for i, c in enumerate(columns)]), 1)[0]
     items = []
     for i, c in enumerate(columns):
         lo, hi = rng[f"_r{i}"]["lo"], rng[f"_r{i}"]["hi"]
-        x = F.col(c).cast("double")
+        x = clean(c)
         b = bin_index(x, lo, hi, bins) if lo is not None else F.lit(None).cast("int")
-        items.append(F.struct(F.lit(c).alias("feature"), F.when(x.isNotNull() & ~F.isnan(x), b).alias("bin")))
+        items.append(F.struct(F.lit(c).alias("feature"), F.when(x.isNotNull(), b).alias("bin")))
     long = df.select(F.col(target).alias("_y"), F.inline(F.array(*items))).filter(
         F.col("bin").isNotNull() & F.col("_y").isNotNull())
     cells = long.groupBy("feature", "bin", "_y").agg(F.count(F.lit(1)).cast("double").alias("n_xy"))

@@ -20,15 +20,18 @@ def _describe_sql(cols):
     for c in cols:
         parts.append(
             f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, "
-            f"round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, "
+            f"round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, "
             f"round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50, "
-            f"round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM lineitem")
+            f"round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, round(max({c})::DOUBLE, 6) AS max FROM lineitem")
     return "\nUNION ALL\n".join(parts)
 
 
-@register("describe", _describe_sql(LV))
+NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *LV]
+
+
+@register("describe", _describe_sql(NUMERIC))
 def describe(spark, sf):
-    return rounded(pf.describe(table(spark, sf, "lineitem"), LV), 6)
+    return rounded(pf.describe(table(spark, sf, "lineitem")), 6)
 
 
 _E_FEATS = fe.feature_names(["value"])
@@ -58,19 +61,26 @@ def missing_counts(spark, sf):
     return pf.missing_counts(feats.select(*_MISS_COLS))
 
 
+def _events_twice(spark, sf):
+    """Whole event rows, those of errors twice."""
+    ev = table(spark, sf, "events")
+    return ev.unionByName(ev.filter(EVENTS.label))
+
+
 @register("duplicate_pct", """
-WITH g AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY user_id, event_type)
+WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'error'),
+g AS (SELECT *, count(*) AS c FROM e GROUP BY ALL)
 SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c) - count(*) AS BIGINT) AS n_duplicates,
        round(CAST(sum(c) - count(*) AS DOUBLE) * 100.0 / CAST(sum(c) AS DOUBLE), 3) AS duplicate_pct
 FROM g
 """)
 def duplicate_pct(spark, sf):
-    return pf.duplicate_stats(table(spark, sf, "events").select("user_id", "event_type"))
+    return pf.duplicate_stats(_events_twice(spark, sf))
 
 
-@register("drop_duplicates", "SELECT DISTINCT user_id, event_type FROM events")
+@register("drop_duplicates", "SELECT DISTINCT * FROM events")
 def drop_duplicates(spark, sf):
-    return pf.drop_duplicates(table(spark, sf, "events").select("user_id", "event_type"))
+    return pf.drop_duplicates(_events_twice(spark, sf))
 
 
 @register("distinct_counts", "\nUNION ALL\n".join(

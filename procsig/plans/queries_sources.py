@@ -24,20 +24,20 @@ LI_SCHEMA = T.StructType([
 ])
 
 
-@register("csv_roundtrip", "SELECT event_id, user_id, event_type, value, NULL::VARCHAR AS _corrupt_record FROM events")
+@register("csv_roundtrip", "SELECT event_id, ts, user_id, event_type, value, props, NULL::VARCHAR AS _corrupt_record FROM events")
 def csv_roundtrip(spark, sf):
     path = io.scratch_path(spark, "events-csv")
     io.write_csv(table(spark, sf, "events"), path)
     back = io.read_csv(spark, path, EVENT_SCHEMA)
-    return back.select("event_id", "user_id", "event_type", "value", io.CORRUPT)
+    return back.select(*EVENT_SCHEMA.names, io.CORRUPT)
 
 
 @register("uploaded_csv_scan", "SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
 def uploaded_csv_scan(spark, sf):
     folder = io.scratch_path(spark, "uploads")
     ev = table(spark, sf, "events")
-    for et in ("error", "click", "view", "purchase", "signup"):
-        io.write_csv(ev.filter(F.col("event_type") == et).coalesce(1), f"{folder}/{et}")
+    # one folder of files per event type, whatever types the table holds
+    io.write_csv(ev.select(*EVENT_SCHEMA.names, F.coalesce("event_type", F.lit("none")).alias("upload")), f"{folder}/csv", ["upload"])
     # a file with another suffix in the same folder must be ignored by the scan
     ev.groupBy("event_type").count().write.mode("overwrite").json(f"{folder}/not_csv")
     up = io.read_uploaded_csv(spark, folder, EVENT_SCHEMA)
@@ -47,14 +47,14 @@ def uploaded_csv_scan(spark, sf):
 @register("batch_convert", """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 'training' ELSE 'testing' END AS split,
        CASE WHEN l_returnflag = 'R' THEN 'faulty' ELSE 'fault_free' END AS condition
-FROM lineitem WHERE l_linestatus IN ('F', 'O')""")
+FROM lineitem""")
 def batch_convert(spark, sf):
     folder = io.scratch_path(spark, "convert")
     li = table(spark, sf, "lineitem").select(*[f.name for f in LI_SCHEMA.fields])
     sources = {}
-    for status, split in (("F", "training"), ("O", "testing")):
+    for training, split in ((True, "training"), (False, "testing")):
         for faulty, cond in ((True, "faulty"), (False, "fault_free")):
-            part = li.filter((F.col("l_linestatus") == status) & ((F.col("l_returnflag") == "R") == F.lit(faulty)))
+            part = li.filter((F.col("l_linestatus").eqNullSafe("F") == F.lit(training)) & (F.col("l_returnflag").eqNullSafe("R") == F.lit(faulty)))
             path = f"{folder}/src_{split}_{cond}"
             io.write_csv(part, path)
             sources[(split, cond)] = path

@@ -11,7 +11,6 @@ from procsig.plans.sqlgen import win
 from procsig.sources.tables import EVENTS, LINEITEM, table
 
 LV = list(LINEITEM.variables)
-CATS = ["A", "N", "R"]
 
 
 def _li(spark, sf):
@@ -58,11 +57,10 @@ def variability_cv(spark, sf):
 
 
 @register("variability_pivot", f"""{_VAR_CTE}
-SELECT variable, {', '.join(f"round(max(CASE WHEN category = '{c}' THEN cv END), 6) AS {c}" for c in CATS)}
-FROM cv GROUP BY variable""")
+SELECT * FROM (PIVOT (SELECT variable, category, round(cv, 6) AS cv FROM cv) ON category USING max(cv) GROUP BY variable)""")
 def variability_pivot(spark, sf):
     v = st.variability(_li(spark, sf), LV, "l_returnflag")
-    return rounded(st.pivot_wide(v, "variable", "category", "cv", CATS), 6)
+    return rounded(st.pivot_wide(v, "variable", "category", "cv"), 6)
 
 
 @register("variability_normalised", f"""{_VAR_CTE}
@@ -96,13 +94,16 @@ def box_stats(spark, sf):
 def _hist_sql(col: str, bins: int, hue: str | None):
     g = f"{hue} AS category, " if hue else ""
     gb = "category, " if hue else ""
-    return f"""WITH r AS (SELECT min({col}::DOUBLE) AS lo, max({col}::DOUBLE) AS hi FROM lineitem),
+    cats = "(SELECT DISTINCT category FROM k)" if hue else "(SELECT 1 AS one)"
+    return f"""WITH r AS (SELECT min({col}::DOUBLE) AS lo, max({col}::DOUBLE) AS hi FROM lineitem WHERE NOT isnan({col})),
 k AS (SELECT {g}{col}::DOUBLE AS x FROM lineitem WHERE {col} IS NOT NULL AND NOT isnan({col})),
-c AS (SELECT {gb}least(CAST(floor((x - lo) / (hi - lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, count(*) AS count
-      FROM k, r GROUP BY ALL)
+c AS (SELECT {gb}least(CAST(floor((x - lo) / (hi - lo) * {bins}) AS INTEGER), {bins - 1}) AS bin, count(*) AS n
+      FROM k, r GROUP BY ALL),
+s AS (SELECT {gb}CAST(b AS INTEGER) AS bin FROM {cats}, range({bins}) t(b)),
+h AS (SELECT {gb}bin, coalesce(n, 0) AS count FROM s LEFT JOIN c USING ({gb}bin))
 SELECT {gb}bin, round(lo + bin * ((hi - lo) / {bins}), 6) AS bin_left, round(lo + (bin + 1) * ((hi - lo) / {bins}), 6) AS bin_right,
        count, round(count / sum(count) OVER (), 8) AS probability
-FROM c, r"""
+FROM h, r"""
 
 
 @register("histogram", _hist_sql("l_extendedprice", 25, None))

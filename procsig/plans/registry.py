@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procsig.functions.scalar import round_half_up
+from procsig.functions.scalar import round_half_even
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,10 @@ def register(name: str, sql: str | None = None):
 
 
 def tie_safe_round_sql(sql: str) -> str:
-    """Rewrite every ``round(expr, d)`` into ``floor(expr * 1e{d} + 0.5) / 1e{d}``.
+    """For display only: write every ``round(expr, d)`` as ``round_even(expr * 1e{d}, 0) / 1e{d}``.
 
-    Same IEEE arithmetic as ``round_half_up`` on the Spark side, so both engines round the
-    same binary value the same way (their built-in ``round`` functions differ on values
-    that print as exact ties).
+    DuckDB's own half-to-even rounding; its ``round`` breaks ties away from zero, against the rule
+    of F8 (half to even).
     """
     out, i, low = [], 0, sql.lower()
     while True:
@@ -60,7 +59,7 @@ def tie_safe_round_sql(sql: str) -> str:
             expr, d = sql[j + 6:comma], sql[comma + 1:k - 1].strip()
         expr = tie_safe_round_sql(expr)
         out.append(sql[i:j])
-        out.append(f"(floor(({expr}) * 1e{d} + 0.5) / 1e{d})")
+        out.append(f"(round_even(CAST(({expr}) AS DOUBLE) * 1e{d}, 0) / 1e{d})")
         i = k
 
 
@@ -69,7 +68,7 @@ def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
     out = []
     for c, t in df.dtypes:
         d = digits.get(c, digits.get("*", 6)) if isinstance(digits, dict) else digits
-        out.append(round_half_up(F.col(c), d).alias(c) if t in ("double", "float") else F.col(c))
+        out.append(round_half_even(F.col(c), d).alias(c) if t in ("double", "float") else F.col(c))
     return df.select(*out)
 
 
