@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from procsig.plans.bound import THRESHOLD, events_scored, events_scored_sql
 from procsig.plans.registry import register, rounded
+from procsig.sources.tables import table
 from procsig.streaming.scorer import run_to_table
 
 
@@ -13,4 +14,4 @@ SELECT user_id, event_id, round(max_z, 6) AS max_z, prediction, round(confidence
 FROM scored""")
 def stream_scores(spark, sf):
     s = events_scored(spark, sf)
-    return rounded(run_to_table(spark, sf, s.scaler, s.zmodel, THRESHOLD), 6)
+    return rounded(run_to_table(spark, table(spark, sf, "events"), s.scaler, s.zmodel, THRESHOLD), 6)

@@ -1,12 +1,15 @@
 """Streaming form of the serving chain + z-score scoring.
 
-Per series the state keeps the last two samples (order key and value) and the number of
-samples seen; each micro-batch's rows of one series are ordered, joined to that state and
-scored once three consecutive samples exist — the same features as the batch serving
-chain (lag 1/2, rolling mean/std/min/max over 3, first difference). Rows that are not
-newer than the series' state are late and dropped; the watermark bounds state for idle
-series. Implemented with ``groupBy(series).applyInPandasWithState``: the per-group
-state is constant-size, so a hot series costs O(rows) with no buffering.
+Rows of one series may come in any order and in any number of files as long as they are not older
+than the watermark. The state of a series holds its last two scored samples, the number of samples
+and the rows that the watermark has not passed yet; once it has, those rows are scored in order
+(lag 1/2, rolling mean/std/min/max over 3, first difference: the batch serving chain) and leave the
+state. A row older than the watermark on arrival is late and dropped, as Structured Streaming does.
+
+The state of an idle series ends when the watermark has passed its last row by ``idle``: its next row,
+if any, starts a new series. Without ``idle`` the two samples and the counter stay. Memory per series
+is the rows inside the watermark. Implemented with ``groupBy(series).applyInPandasWithState``; the
+features of all rows that leave the buffer are computed at once with NumPy.
 """
 
 from __future__ import annotations
@@ -21,81 +24,106 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from procsig.functions.scalar import tier
 from procsig.operators.detect import Moments
 from procsig.operators.features import feature_names
 from procsig.session import ensure_checkpoint_dir
+from procsig.sources.io import scratch_path
 
 OUT_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()),
     T.StructField("max_z", T.DoubleType()), T.StructField("prediction", T.IntegerType()),
-    T.StructField("confidence", T.DoubleType()), T.StructField("tier", T.StringType()),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("last_ts", T.TimestampNTZType()), T.StructField("last_id", T.LongType()),
-    T.StructField("v1", T.DoubleType()), T.StructField("v2", T.DoubleType()), T.StructField("n", T.LongType()),
+    T.StructField("confidence", T.DoubleType()),
 ])
+#: ``tail``: the last two scored values; ``n``: samples so far; ``waiting``: packed rows.
+STATE_SCHEMA = T.StructType([T.StructField("tail", T.BinaryType()), T.StructField("n", T.LongType()),
+                             T.StructField("waiting", T.BinaryType())])
+_ROW = np.dtype([("ts", "<i8"), ("id", "<i8"), ("value", "<f8")])  # ts in microseconds
+
 
+def serving_matrix(seq: np.ndarray) -> np.ndarray:
+    """Features (``feature_names`` order) of every value from the third on."""
+    x, l1, l2 = seq[2:], seq[1:-1], seq[:-2]
+    w = np.stack([l2, l1, x])
+    return np.stack([x, l1, l2, w.mean(axis=0), w.std(axis=0, ddof=1), w.min(axis=0), w.max(axis=0), x - l1], axis=1)
 
-def _scorer(scaler: Moments, zmodel: Moments, threshold: float, variable: str = "value"):
+
+def _scorer(scaler: Moments, zmodel: Moments, threshold: float, idle_ms: int | None, variable: str = "value"):
     names = feature_names([variable])
-    sm = np.array([scaler.mean[f] for f in names]); ss = np.array([scaler.std[f] for f in names])
-    zm = np.array([zmodel.mean[f] for f in names]); zs = np.array([zmodel.std[f] for f in names])
+    sm, ss = (np.array([m[f] for f in names]) for m in (scaler.mean, scaler.std))
+    zm, zs = (np.array([m[f] for f in names]) for m in (zmodel.mean, zmodel.std))
+    columns = [f.name for f in OUT_SCHEMA.fields]
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
-        last_ts, last_id, v1, v2, n = state.get if state.exists else (None, None, np.nan, np.nan, 0)
-        if last_ts is not None:  # late rows: not newer than what the state has seen
-            newer = (pdf["ts"] > pd.Timestamp(last_ts)) | ((pdf["ts"] == pd.Timestamp(last_ts)) & (pdf["event_id"] > last_id))
-            pdf = pdf[newer]
-        vals = pdf["value"].to_numpy(dtype=float)
-        hist = np.array([v2, v1], dtype=float)[2 - min(int(n), 2):] if n else np.zeros(0)
-        seq = np.concatenate([hist, vals])
-        off = len(hist)
-        out_rows = []
-        for i in range(len(vals)):
-            j = off + i
-            if n + i + 1 < 3 or j < 2:
-                continue
-            w = seq[j - 2:j + 1]
-            x = np.array([seq[j], seq[j - 1], seq[j - 2], w.mean(), w.std(ddof=1), w.min(), w.max(), seq[j] - seq[j - 1]])
-            if np.isnan(x).any():
-                continue
-            z = np.abs(((x - sm) / ss - zm) / zs)
-            mz = float(z.max())
-            conf = 1.0 / (1.0 + np.exp(-(mz - threshold)))
-            tier = "ALERT" if conf >= 0.75 else ("CAUTION" if conf >= 0.5 else "NORMAL")
-            out_rows.append((key[0], int(pdf["event_id"].iloc[i]), mz, int(mz > threshold), float(conf), tier))
-        if len(vals):
-            tail = seq[-2:]
-            nv1 = float(tail[-1])
-            nv2 = float(tail[-2]) if len(tail) > 1 else np.nan
-            state.update((pdf["ts"].iloc[-1].to_pydatetime(), int(pdf["event_id"].iloc[-1]), nv1, nv2, int(n) + len(vals)))
-        yield pd.DataFrame(out_rows, columns=[f.name for f in OUT_SCHEMA.fields])
+        tail, n, waiting = state.get if state.exists else (b"", 0, b"")
+        tail, rows = np.frombuffer(tail, dtype="<f8"), [np.frombuffer(waiting, dtype=_ROW)]
+        mark = state.getCurrentWatermarkMs() * 1000
+        for pdf in batches:
+            new = np.empty(len(pdf), dtype=_ROW)
+            new["ts"] = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            new["id"], new["value"] = pdf["event_id"].to_numpy(), pdf["value"].to_numpy(dtype=float)
+            rows.append(new[new["ts"] >= mark])
+        rows = np.concatenate(rows)
+        ready = rows["ts"] < mark
+        done, rest = np.sort(rows[ready], order=["ts", "id"]), rows[~ready]
+        seq = np.concatenate([tail, done["value"]])
+        if len(done) and len(seq) > 2:
+            x = serving_matrix(seq)
+            ids = done["id"][len(done) - len(x):]
+            full = ~np.isnan(x).any(axis=1)
+            z = np.abs(((x[full] - sm) / ss - zm) / zs).max(axis=1)
+            yield pd.DataFrame({"user_id": key[0], "event_id": ids[full], "max_z": z,
+                                "prediction": (z > threshold).astype(np.int32), "confidence": 1 / (1 + np.exp(threshold - z))},
+                               columns=columns)
+        if len(rest):
+            state.update((seq[-2:].tobytes(), int(n) + len(done), rest.tobytes()))
+            state.setTimeoutTimestamp(max(int(rest["ts"].min() // 1000) + 1, mark // 1000 + 1))
+        elif idle_ms is not None and state.hasTimedOut and not len(done):
+            state.remove()
+        else:
+            state.update((seq[-2:].tobytes(), int(n) + len(done), b""))
+            if idle_ms is not None:
+                state.setTimeoutTimestamp(mark // 1000 + idle_ms)
 
     return step
 
 
 def score_stream(events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float,
-                 watermark: str = "1 day") -> DataFrame:
-    """Streaming DataFrame of scored rows (append mode)."""
-    step = _scorer(scaler, zmodel, threshold)
+                 watermark: str = "1 day", idle_days: int | None = None) -> DataFrame:
+    """Streaming DataFrame of scored rows (append mode), each once its watermark has passed."""
+    step = _scorer(scaler, zmodel, threshold, None if idle_days is None else idle_days * 86_400_000)
     # watermarks need TIMESTAMP (with time zone); the order key itself stays as given
     timed = events.select("*", F.col("ts").cast("timestamp").alias("event_time"))
-    return (timed.withWatermark("event_time", watermark)
-            .groupBy("user_id")
-            .applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
-
-
-def run_to_table(spark: SparkSession, sf_dir: str, scaler: Moments, zmodel: Moments, threshold: float) -> DataFrame:
-    """Drive the stream over the events files until caught up (availableNow) into a table
-    under the shared checkpoint folder, and return that table."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
-    scored = score_stream(src.select("user_id", "ts", "event_id", "value"), scaler, zmodel, threshold)
-    base = ensure_checkpoint_dir(spark)
-    run = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    scored = (timed.withWatermark("event_time", watermark)
+              .groupBy("user_id")
+              .applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    return scored.select("*", tier("confidence").alias("tier"))
+
+
+def closing_row(events: DataFrame, days: int = 3650) -> DataFrame:
+    """One row without a series, far behind the last event: it moves the watermark past all others."""
+    end = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    return end.select(F.lit(None).cast("bigint").alias("user_id"), (F.col("ts") + F.expr(f"INTERVAL '{days}' DAY")).alias("ts"),
+                      F.lit(-1).cast("bigint").alias("event_id"), F.lit(0.0).alias("value"))
+
+
+def run_to_table(spark: SparkSession, events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float,
+                 files: int = 4, watermark: str = "3650 days") -> DataFrame:
+    """Drive the stream over ``events`` split into ``files`` files, one per trigger, until every
+    row is scored, into a table under the shared checkpoint folder; returns that table.
+
+    The rows are dealt to the files by hash, so a series comes out of order; the watermark must be as
+    long as the span of the events. A closing row behind the last file ends the stream.
+    """
+    ensure_checkpoint_dir(spark)
+    run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    rows = events.where("user_id IS NOT NULL").select("user_id", "ts", "event_id", "value")
+    source = f"{run}/in"
+    rows.repartition(files, F.xxhash64("event_id")).write.parquet(source)
+    closing_row(rows, 36_500).coalesce(1).write.mode("append").parquet(source)
+    src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    scored = score_stream(src, scaler, zmodel, threshold, watermark).where("user_id IS NOT NULL")
     q = (scored.writeStream.format("parquet").option("checkpointLocation", f"{run}/_checkpoint")
          .option("path", f"{run}/out").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(f"{run}/out")
+    return spark.read.schema(scored.schema).parquet(f"{run}/out")

@@ -1,43 +1,57 @@
 import datetime as dt
-import math
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from procsig.operators.detect import Moments
+from procsig.operators import features as fe
+from procsig.operators.detect import Moments, zscore_score
 from procsig.operators.features import feature_names
 from procsig.sources.io import scratch_path
-from procsig.streaming.scorer import run_to_table
+from procsig.spec import SeriesSpec
+from procsig.streaming.scorer import run_to_table, score_stream, serving_matrix
 
 NAMES = feature_names(["value"])
+UNIT = Moments({f: 0.0 for f in NAMES}, {f: 1.0 for f in NAMES})
+SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, value double"
+T0 = dt.datetime(2024, 1, 1)
 
 
-def _write(folder, name, rows):
-    import os
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    cols = list(zip(*rows))
-    table = pa.table({"event_id": pa.array(cols[0], pa.int64()), "ts": pa.array(cols[1], pa.timestamp("us")),
-                      "user_id": pa.array(cols[2], pa.int64()), "event_type": pa.array(cols[3], pa.string()),
-                      "value": pa.array(cols[4], pa.float64()), "props": pa.array(cols[5], pa.string())})
-    os.makedirs(folder, exist_ok=True)
-    pq.write_table(table, f"{folder}/{name}.parquet")
-
-
-def test_stream_scores_match_batch_and_drop_late_rows(spark):
-    folder = scratch_path(spark, "stream-test").replace("file:", "", 1)
-    t0 = dt.datetime(2024, 1, 1)
-    first = [(i, t0 + dt.timedelta(minutes=i), 1, "view", float(i % 5), "") for i in range(6)]
-    _write(folder, "events", first)
-    late = [(100, t0 + dt.timedelta(minutes=2), 1, "view", 99.0, ""),      # older than state: dropped
-            (6, t0 + dt.timedelta(minutes=6), 1, "view", 1.0, "")]          # newer: scored
-    _write(folder, "events_2", late)
-    unit = Moments({f: 0.0 for f in NAMES}, {f: 1.0 for f in NAMES})
-    out = {r.event_id: r for r in run_to_table(spark, folder, unit, unit, 3.0).collect()}
-    assert 100 not in out and set(out) == {2, 3, 4, 5, 6}
-    # event 6 uses the last two samples kept in state (values 4.0 and 0.0 of events 4, 5)
-    v = [4.0, 0.0, 1.0]
-    mean = sum(v) / 3
-    std = math.sqrt(sum((x - mean) ** 2 for x in v) / 2)
-    want = max(abs(x) for x in [1.0, 0.0, 4.0, mean, std, min(v), max(v), 1.0 - 0.0])
-    assert math.isclose(out[6].max_z, want, rel_tol=1e-12)
-    assert out[6].prediction == int(want > 3.0)
+def _batch(df):
+    feats = fe.feature_chain_serving(df, SeriesSpec(("user_id",), ("ts", "event_id")), ["value"])
+    scored = zscore_score(feats, UNIT, 3.0)
+    return {(r["user_id"], r["event_id"]): r["max_z"] for r in scored.collect()}
+
+
+def test_files_in_any_order_equal_the_batch_chain(spark):
+    rnd = random.Random(6)
+    rows = [(i, T0 + dt.timedelta(minutes=rnd.randrange(900)), rnd.choice([1, 1, 1, 2, 3]), float(rnd.randrange(9))) for i in range(120)]
+    rows += [(900, T0, 7, 1.0), (901, T0 + dt.timedelta(days=30), 8, 1.0), (902, T0, None, 5.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for files in (1, 2, 5):
+        got = {(r["user_id"], r["event_id"]): r["max_z"] for r in run_to_table(spark, df, UNIT, UNIT, 3.0, files=files).collect()}
+        want = _batch(df.where("user_id IS NOT NULL"))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_rows_older_than_the_watermark_are_late(spark):
+    folder = scratch_path(spark, "late-test")
+    batches = [[(i, T0 + dt.timedelta(minutes=i), 1, float(i % 5)) for i in range(6)],
+               [(50, T0 + dt.timedelta(days=2), 2, 0.0)],               # moves the watermark by two days less one hour
+               [(100, T0 + dt.timedelta(minutes=2), 1, 99.0)],          # late
+               [(51, T0 + dt.timedelta(days=9), 2, 0.0)]]
+    for b in batches:
+        spark.createDataFrame(b, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = (score_stream(src, UNIT, UNIT, 3.0, "1 hour", idle_days=1).writeStream.format("parquet").option("path", f"{folder}/out")
+         .option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    assert sorted(r["event_id"] for r in out.collect()) == [2, 3, 4, 5]
+    assert out.where(F.col("tier").isNull()).count() == 0
+
+
+def test_serving_matrix_is_the_feature_chain():
+    x = np.array([4.0, 0.0, 1.0])
+    got = serving_matrix(x)[0]
+    assert np.allclose(got, [1, 0, 4, x.mean(), x.std(ddof=1), 0, 4, 1])
