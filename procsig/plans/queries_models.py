@@ -36,7 +36,7 @@ def _frames(spark, sf):
 def _score(spark, sf, kind, **params):
     train, val = _frames(spark, sf)
     model = md.fit_for(kind, train, FEATS, **params)
-    return rounded(md.score_classifier(model, val, KEEP), 6)
+    return rounded(md.score_classifier(model, train.unionByName(val), KEEP), 6)
 
 
 @register("logistic_score")
@@ -56,10 +56,11 @@ def boosted_score(spark, sf):
 
 def _iforest(spark, sf):
     train, val = _frames(spark, sf)
-    forest = md.fit_for("isolation_forest", train, FEATS, n_trees=50, max_samples=256, max_features=0.66, seed=42)
+    forest = md.fit_for("isolation_forest", train, FEATS, n_trees=100, max_samples=256, max_features=0.66, seed=42,
+                        row_id=["l_suppkey", "sample"])
     fitted = forest.score(train.filter(~F.col("label")), KEEP)
     forest.with_threshold(fitted, contamination=0.322)
-    return forest.predict(forest.score(val, KEEP))
+    return forest.predict(forest.score(train.unionByName(val), KEEP))
 
 
 @register("isolation_forest_score")
