@@ -66,7 +66,8 @@ def roc_auc(spark, sf):
 
 @register("roc_curve", _VAL + _CUM.format(by="", pby="1", src="v") + """
 SELECT round(score, 6) AS threshold, round((neg_above + neg)::DOUBLE / N, 8) AS fpr, round((pos_above + pos)::DOUBLE / P, 8) AS tpr
-FROM cum""")
+FROM cum
+UNION ALL SELECT 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM cum HAVING count(*) > 0""")
 def roc_curve(spark, sf):
     return rounded(ev.roc_curve(_validation(spark, sf)), {"threshold": 6, "*": 8})
 

@@ -198,18 +198,16 @@ def normal_subset(spark, sf):
 # ---------------------------------------------------------------- P10 analysis sequence (batch)
 @register("analysis_sequence", f"""
 WITH s AS (SELECT user_id, ts, event_id, event_type,
-                  CAST(row_number() OVER ({EW}) AS INTEGER) AS sample FROM events WHERE user_id IS NOT NULL),
-k AS (SELECT * FROM s WHERE event_type <> 'signup')
+                  CAST(row_number() OVER ({EW}) AS INTEGER) AS sample FROM events WHERE user_id IS NOT NULL)
 SELECT user_id, sample,
        coalesce(sample >= 3 AND lag(sample, 1) OVER ({EW}) = sample - 1
                 AND lag(sample, 2) OVER ({EW}) = sample - 2, false) AS seq_ok
-FROM k
+FROM s
 """)
 def analysis_sequence(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
     s = fe.with_sample_number(E.spec.drop_null_keys(ev), E.spec)
-    kept = s.filter(F.col("event_type") != "signup")  # a filtered source leaves gaps
-    return pr.analysis_sequence_check(kept, E.spec, "sample", 3).select("user_id", "sample", "seq_ok")
+    return pr.analysis_sequence_check(s, E.spec, "sample", 3).select("user_id", "sample", "seq_ok")
 
 
 # ---------------------------------------------------------------- P9 positional slice
@@ -265,12 +263,11 @@ def dimension_lookup(spark, sf):
 
 
 @register("unknown_key_check", """
-SELECT DISTINCT c_nationkey AS unknown_key FROM customer
-WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0 AND n_nationkey IS NOT NULL)
-  AND c_nationkey IS NOT NULL
+SELECT DISTINCT o_orderkey AS unknown_key FROM orders
+WHERE o_orderkey IS NOT NULL AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)
 """)
 def unknown_key_check(spark, sf):
-    """Keys of the facts missing from a (deliberately partial) dimension: anti-join."""
-    cust = table(spark, sf, "customer").select(F.col("c_nationkey").alias("unknown_key"))
-    dim = table(spark, sf, "nation").filter("n_regionkey <> 0").select(F.col("n_nationkey").alias("unknown_key"))
-    return cust.filter(F.col("unknown_key").isNotNull()).join(dim, "unknown_key", "left_anti").distinct()
+    """Keys of one table that another does not name: anti-join over both whole tables."""
+    keys = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unknown_key"))
+    known = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unknown_key"))
+    return keys.filter(F.col("unknown_key").isNotNull()).join(known, "unknown_key", "left_anti").distinct()
