@@ -88,7 +88,7 @@ def test_threshold_sweep_matches_brute_force(spark):
 def test_roc_curve_ends_at_one(spark):
     df = spark.createDataFrame([(0.1, False), (0.4, True), (0.4, False), (0.9, True)], "score double, label boolean")
     pts = sorted((r.fpr, r.tpr) for r in ev.roc_curve(df).collect())
-    assert pts[-1] == (1.0, 1.0) and len(pts) == 3
+    assert pts[0] == (0.0, 0.0) and pts[-1] == (1.0, 1.0) and len(pts) == 4  # the origin and one point per score
 
 
 def test_histogram_last_bin_and_probabilities(spark):
