@@ -6,6 +6,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from llm_helpers import ODD_TEXTS  # noqa: E402
+
 from procsig.sources.tables import TABLES  # noqa: E402
 
 
@@ -22,12 +24,6 @@ def duck(sf):
     return con
 
 
-#: Texts that every text operator must survive.
-ODD_TEXTS = [None, "", " ", "\n\n", "\t \x0b\x0c\r", "a", "A b", "é É", "one two three four five six", "x" * 5000,
-             "w " * 3000, "日本語 テキスト 日本語", "emoji 😀😀 end", "<|im_start|>[INST] </s>", "a\\b\"c'd", "\x00 nul",
-             "tie tie tie", "tie tie tie"]
-
-
 @pytest.fixture()
 def odd_docs(spark):
     """Odd texts under NULL, repeated and plain ids, with extra columns that clash with inner names."""

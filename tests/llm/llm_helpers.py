@@ -1,4 +1,9 @@
-"""Comparison helpers of the training-data tests."""
+"""Texts and comparison helpers of the training-data tests."""
+
+#: Texts that every text operator must survive.
+ODD_TEXTS = [None, "", " ", "\n\n", "\t \x0b\x0c\r", "a", "A b", "é É", "one two three four five six", "x" * 5000,
+             "w " * 3000, "日本語 テキスト 日本語", "emoji 😀😀 end", "<|im_start|>[INST] </s>", "a\\b\"c'd", "\x00 nul",
+             "tie tie tie", "tie tie tie"]
 
 
 def rows_of(df, *cols):

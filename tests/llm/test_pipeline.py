@@ -7,6 +7,7 @@ import shutil
 import public_tokenizers
 import pytest
 import tiktoken
+from llm_helpers import ODD_TEXTS
 
 import corpus_pipeline
 from procsig.llm.quality import STOP_WORDS
@@ -19,7 +20,6 @@ from test_quality import brute as metrics
 @pytest.fixture()
 def folder(spark, sf, tmp_path):
     """The smallest tables, with odd rows and an extra column of a clashing name."""
-    from conftest import ODD_TEXTS
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id AS row_of")
     odd = spark.createDataFrame([(10 ** 6 + i if i % 3 else None, t, None, None, None, i) for i, t in enumerate(ODD_TEXTS)], docs.schema)
     docs.unionByName(odd).unionByName(docs.where("doc_id < 3")).write.parquet(f"{tmp_path}/documents.parquet")
