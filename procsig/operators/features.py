@@ -77,45 +77,57 @@ def _finish(df: DataFrame, dropna: bool) -> DataFrame:
     return df.na.drop("any") if dropna else df
 
 
+def windowed(df: DataFrame, spec: SeriesSpec, halo: int, build, chunks: int | str) -> DataFrame:
+    """One window per series, or ordered chunks of hot series: ``chunks`` ranges per series, or
+    ``"auto"`` for as many as the largest series asks for (``series_chunks``). Same result."""
+    n = series_chunks(df, spec) if chunks == "auto" else chunks
+    return chunked_window(df, spec, halo, build, n) if n > 1 else df.select("*", *build(spec))
+
+
 def lag_features(df: DataFrame, spec: SeriesSpec, lags: Sequence[int] = (1,),
-                 columns: Sequence[str] | None = None, dropna: bool = True) -> DataFrame:
-    """``{c}_lag_{k}``; negative k looks ahead (lead)."""
+                 columns: Sequence[str] | None = None, dropna: bool = True, chunks: int | str = 1) -> DataFrame:
+    """``{c}_lag_{k}``; negative k looks ahead (lead), which chunks only look back for."""
     cols = _columns(df, spec, columns)
     df = spec.drop_null_keys(df)
-    return _finish(df.select("*", *lag_exprs(spec, cols, lags)), dropna)
+    chunks = chunks if min(lags, default=0) >= 0 else 1
+    return _finish(windowed(df, spec, max(lags, default=0), lambda s: lag_exprs(s, cols, lags), chunks), dropna)
 
 
 def rolling_features(df: DataFrame, spec: SeriesSpec, windows: Sequence[int] = (3,),
                      columns: Sequence[str] | None = None, dropna: bool = True,
-                     stats: Sequence[str] = ROLLING_STATS) -> DataFrame:
+                     stats: Sequence[str] = ROLLING_STATS, chunks: int | str = 1) -> DataFrame:
     """Trailing ``w``-row mean / sample std / min / max, at least one row per frame."""
     cols = _columns(df, spec, columns)
     df = spec.drop_null_keys(df)
-    return _finish(df.select("*", *rolling_exprs(spec, cols, windows, stats)), dropna)
+    return _finish(windowed(df, spec, max(windows) - 1, lambda s: rolling_exprs(s, cols, windows, stats), chunks), dropna)
 
 
 def diff_features(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None = None,
-                  dropna: bool = True) -> DataFrame:
+                  dropna: bool = True, chunks: int | str = 1) -> DataFrame:
     """First difference ``{c}_diff``."""
     cols = _columns(df, spec, columns)
     df = spec.drop_null_keys(df)
-    return _finish(df.select("*", *diff_exprs(spec, cols)), dropna)
+    return _finish(windowed(df, spec, 1, lambda s: diff_exprs(s, cols), chunks), dropna)
 
 
 def feature_chain_train(df: DataFrame, spec: SeriesSpec, columns: Sequence[str],
-                        lags: Sequence[int] = (1, 2), windows: Sequence[int] = (3,)) -> DataFrame:
+                        lags: Sequence[int] = (1, 2), windows: Sequence[int] = (3,), chunks: int | str = 1) -> DataFrame:
     """Lag -> drop -> rolling -> drop -> diff -> drop (later stages see fewer rows)."""
-    out = lag_features(df, spec, lags, columns, dropna=True)
-    out = rolling_features(out, spec, windows, columns, dropna=True)
-    return diff_features(out, spec, columns, dropna=True)
+    n = series_chunks(df, spec) if chunks == "auto" else chunks
+    out = lag_features(df, spec, lags, columns, dropna=True, chunks=n)
+    out = rolling_features(out, spec, windows, columns, dropna=True, chunks=n)
+    return diff_features(out, spec, columns, dropna=True, chunks=n)
 
 
 def feature_chain_serving(df: DataFrame, spec: SeriesSpec, columns: Sequence[str],
-                          lags: Sequence[int] = (1, 2), windows: Sequence[int] = (3,)) -> DataFrame:
+                          lags: Sequence[int] = (1, 2), windows: Sequence[int] = (3,), chunks: int | str = 1) -> DataFrame:
     """All features from the same input rows in one select, one drop at the end."""
     df = spec.drop_null_keys(df)
-    exprs = lag_exprs(spec, columns, lags) + rolling_exprs(spec, columns, windows) + diff_exprs(spec, columns)
-    return df.select("*", *exprs).na.drop("any")
+
+    def build(s: SeriesSpec):
+        return lag_exprs(s, columns, lags) + rolling_exprs(s, columns, windows) + diff_exprs(s, columns)
+
+    return windowed(df, spec, max(*lags, *(w - 1 for w in windows), 1), build, chunks).na.drop("any")
 
 
 def feature_names(columns: Sequence[str], lags: Sequence[int] = (1, 2), windows: Sequence[int] = (3,),
@@ -157,11 +169,13 @@ def series_chunks(df: DataFrame, spec: SeriesSpec, target_rows: int = 5_000_000)
     return int(max(1, -(-largest // target_rows)))
 
 
-def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample", chunks: int = 1) -> DataFrame:
+def with_sample_number(df: DataFrame, spec: SeriesSpec, name: str = "sample", chunks: int | str = 1) -> DataFrame:
     """Integer time step 1..n inside each series, from the explicit order key.
 
-    ``chunks > 1`` numbers big series in parallel ranges (exact; see ``chunked_row_number``).
+    ``chunks > 1`` (or ``"auto"``, by measured size) numbers big series in parallel ranges
+    (exact; see ``chunked_row_number``).
     """
+    chunks = series_chunks(df, spec) if chunks == "auto" else chunks
     if chunks > 1:
         return chunked_row_number(chunk_tags(df, spec, chunks), spec, name).drop("_chunk")
     return df.select("*", F.row_number().over(spec.window()).alias(name))

@@ -82,7 +82,7 @@ def normal_subset(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def positional_slice(df: DataFrame, spec: SeriesSpec, start: int, stop: int, name: str = "pos",
-                     chunks: int = 1) -> DataFrame:
+                     chunks: int | str = 1) -> DataFrame:
     """``iloc[start:stop]`` inside each series by explicit order (0-based, stop exclusive).
 
     ``chunks > 1`` numbers big series in parallel ranges (exact offsets)."""
@@ -93,14 +93,14 @@ def positional_slice(df: DataFrame, spec: SeriesSpec, start: int, stop: int, nam
 
 
 def analysis_sequence_check(df: DataFrame, spec: SeriesSpec, sample: str = "sample", length: int = 3,
-                            chunks: int = 1) -> DataFrame:
+                            chunks: int | str = 1) -> DataFrame:
     """P10 batch form: for every row t, are samples t-1 .. t-(length-1) the previous rows?
 
     Adds ``seq_ok``: True when the ``length`` consecutive samples ending at this row exist,
-    so every (series, t) gets a status instead of an assertion. ``chunks > 1`` spreads big
+    so every (series, t) gets a status instead of an assertion. ``chunks > 1`` (or ``"auto"``) spreads big
     series over ordered ranges with ``length - 1`` halo rows (same result).
     """
-    from procsig.operators.features import chunked_window
+    from procsig.operators.features import windowed
 
     def build(s: SeriesSpec):
         w = s.window()
@@ -109,9 +109,7 @@ def analysis_sequence_check(df: DataFrame, spec: SeriesSpec, sample: str = "samp
             ok = ok & (F.lag(F.col(sample), k).over(w) == F.col(sample) - k)
         return [F.coalesce(ok, F.lit(False)).alias("seq_ok")]
 
-    if chunks > 1:
-        return chunked_window(df, spec, length - 1, build, chunks)
-    return df.select("*", *build(spec))
+    return windowed(df, spec, length - 1, build, chunks)
 
 
 def analysis_window(df: DataFrame, keys: dict[str, object], target: int, sample: str = "sample",

@@ -113,21 +113,19 @@ def worklist(analyses: DataFrame, responses: DataFrame | None, order: str | Colu
 
 
 def history_window(df: DataFrame, series: list[str], order: str, item: Column, k: int = 3,
-                   chunks: int = 1) -> DataFrame:
+                   chunks: int | str = 1) -> DataFrame:
     """The previous k items of the same series (bounded frame, at most k per row).
 
     ``chunks > 1`` spreads big series over ordered ranges with k halo rows (same result).
     """
-    from procsig.operators.features import chunked_window
+    from procsig.operators.features import windowed
     from procsig.spec import SeriesSpec
 
     def build(s: SeriesSpec):
         return [F.collect_list(item).over(s.frame(-k, -1)).alias("history")]
 
     spec = SeriesSpec(tuple(series), (order,))
-    if chunks > 1:
-        return chunked_window(df, spec, k, build, chunks)
-    return df.select("*", *build(spec))
+    return windowed(df, spec, k, build, chunks)
 
 
 def history_line(ts: Column, conf: Column, features: Column, action: Column) -> Column:

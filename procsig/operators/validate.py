@@ -16,20 +16,19 @@ _NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
 
 def order_breaks(df: DataFrame, source: str, ingest_order: Sequence[str], sample: str,
-                 chunks: int = 1) -> DataFrame:
+                 chunks: int | str = 1) -> DataFrame:
     """Per source, how often ``sample`` decreases along the ingest order.
 
     ``chunks > 1`` splits big sources into ordered ranges with one halo row (same result).
     """
-    from procsig.operators.features import chunked_window
+    from procsig.operators.features import windowed
     from procsig.spec import SeriesSpec
     spec = SeriesSpec((source,), tuple(ingest_order))
 
     def build(s: SeriesSpec):
         return [F.coalesce(F.lag(F.col(sample)).over(s.window()) > F.col(sample), F.lit(False)).alias("_dec")]
 
-    marked = (chunked_window(df.select(source, *ingest_order, sample), spec, 1, build, chunks) if chunks > 1
-              else df.select(source, *build(spec)))
+    marked = windowed(df.select(*dict.fromkeys([source, *ingest_order, sample])), spec, 1, build, chunks)
     return marked.groupBy(source).agg(F.count_if("_dec").cast("long").alias("n_decreases")).select(
         source, (F.col("n_decreases") == 0).alias("is_monotonic"), "n_decreases")
 
@@ -39,7 +38,7 @@ def _msg(prefix: str, items: Sequence[str]) -> str:
 
 
 def validate(df: DataFrame, source: str, run: str, sample: str, features: Sequence[str],
-             ingest_order: Sequence[str], min_rows: int = 3) -> DataFrame:
+             ingest_order: Sequence[str], min_rows: int = 3, chunks: int | str = 1) -> DataFrame:
     """V1 + V2: errors, warnings, validity, shape, series count and sample range per source."""
     cols = df.columns
     types = dict(df.dtypes)
@@ -65,7 +64,7 @@ def validate(df: DataFrame, source: str, run: str, sample: str, features: Sequen
         (F.min(sample) if sample in cols else F.lit(None)).alias("sample_min"),
         (F.max(sample) if sample in cols else F.lit(None)).alias("sample_max"))
     if sample in cols:
-        order = order_breaks(df, source, ingest_order, sample).select(source, "n_decreases")
+        order = order_breaks(df, source, ingest_order, sample, chunks).select(source, "n_decreases")
         stats = stats.join(order, source, "left")
     else:
         stats = stats.select("*", F.lit(0).cast("long").alias("n_decreases"))

@@ -35,8 +35,8 @@ class Scored:
 
 def events_features(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", EVENTS.label.alias("label"))
-    s = fe.with_sample_number(EVENTS.spec.drop_null_keys(ev), EVENTS.spec)
-    feats = fe.feature_chain_serving(s, EVENTS.spec, E_VARS)
+    s = fe.with_sample_number(EVENTS.spec.drop_null_keys(ev), EVENTS.spec, chunks="auto")
+    feats = fe.feature_chain_serving(s, EVENTS.spec, E_VARS, chunks="auto")
     return holdout_split(feats, "user_id", TRAIN_FRACTION,
                          cut=holdout_cut(table(spark, sf, "events"), "user_id", TRAIN_FRACTION))
 

@@ -35,7 +35,7 @@ WHERE {complete(['user_id', 'ts', 'event_id', 'value', 'value_lag_1', 'value_lag
                 ['value', 'value_lag_1', 'value_lag_2'])}
 """)
 def lag_features(spark, sf):
-    out = fe.lag_features(_events(spark, sf), E.spec, (1, 2), ["value"], dropna=True)
+    out = fe.lag_features(_events(spark, sf), E.spec, (1, 2), ["value"], dropna=True, chunks="auto")
     return out.select("user_id", "event_id", "value", "value_lag_1", "value_lag_2")
 
 
@@ -60,7 +60,7 @@ SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(_ROLL, 6)} FROM (
   FROM lineitem WHERE l_suppkey IS NOT NULL)
 """)
 def rolling_features(spark, sf):
-    out = fe.rolling_features(_lineitem(spark, sf), L.spec, (3,), LV, dropna=False)
+    out = fe.rolling_features(_lineitem(spark, sf), L.spec, (3,), LV, dropna=False, chunks="auto")
     return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *_ROLL), 6)
 
 
@@ -76,7 +76,7 @@ SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(_DIFF, 6)} FROM (
 WHERE {complete(['l_suppkey', 'l_shipdate', 'l_orderkey', 'l_linenumber'] + LV + _DIFF, LV + _DIFF)}
 """)
 def diff_features(spark, sf):
-    out = fe.diff_features(_lineitem(spark, sf), L.spec, LV, dropna=True)
+    out = fe.diff_features(_lineitem(spark, sf), L.spec, LV, dropna=True, chunks="auto")
     return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *_DIFF), 6)
 
 
@@ -100,7 +100,7 @@ s3 AS (
 SELECT user_id, event_id, {rnd(E_FEATS, 6)} FROM s3
 """)
 def feature_chain_train(spark, sf):
-    out = fe.feature_chain_train(_events(spark, sf), E.spec, ["value"])
+    out = fe.feature_chain_train(_events(spark, sf), E.spec, ["value"], chunks="auto")
     return rounded(out.select("user_id", "event_id", *E_FEATS), 6)
 
 
@@ -112,7 +112,7 @@ SELECT l_suppkey, l_orderkey, l_linenumber, {rnd(L_FEATS, 6)} FROM (
 WHERE {complete(['l_suppkey', 'l_shipdate', 'l_orderkey', 'l_linenumber'] + L_FEATS, L_FEATS)}
 """)
 def feature_chain_serving(spark, sf):
-    out = fe.feature_chain_serving(_lineitem(spark, sf), L.spec, LV)
+    out = fe.feature_chain_serving(_lineitem(spark, sf), L.spec, LV, chunks="auto")
     return rounded(out.select("l_suppkey", "l_orderkey", "l_linenumber", *L_FEATS), 6)
 
 
@@ -144,7 +144,7 @@ SELECT user_id, event_id, sample, (event_type = 'error' AND sample > 20) AS faul
 """)
 def onset_label(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    s = fe.with_sample_number(E.spec.drop_null_keys(ev), E.spec)
+    s = fe.with_sample_number(E.spec.drop_null_keys(ev), E.spec, chunks="auto")
     fault = F.when(F.col("event_type") == "error", 1).otherwise(0)
     return pr.onset_label(s, fault, "sample", 20).select("user_id", "event_id", "sample", "faulty")
 
@@ -160,7 +160,7 @@ SELECT user_id, event_id, {rnd(_VPREF, 6)} FROM (
 WHERE {complete(['user_id', 'ts', 'event_id'] + _VPREF, _VPREF)}
 """)
 def prefix_projection(spark, sf):
-    feats = fe.feature_chain_serving(_events(spark, sf), E.spec, ["value"])
+    feats = fe.feature_chain_serving(_events(spark, sf), E.spec, ["value"], chunks="auto")
     return rounded(pr.select_prefixed(feats, ["value"], keep=["user_id", "event_id"]), 6)
 
 
@@ -206,8 +206,8 @@ FROM s
 """)
 def analysis_sequence(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    s = fe.with_sample_number(E.spec.drop_null_keys(ev), E.spec)
-    return pr.analysis_sequence_check(s, E.spec, "sample", 3).select("user_id", "sample", "seq_ok")
+    s = fe.with_sample_number(E.spec.drop_null_keys(ev), E.spec, chunks="auto")
+    return pr.analysis_sequence_check(s, E.spec, "sample", 3, chunks="auto").select("user_id", "sample", "seq_ok")
 
 
 # ---------------------------------------------------------------- P9 positional slice
@@ -219,7 +219,7 @@ WHERE pos >= 10 AND pos < 13
 """)
 def positional_slice(spark, sf):
     ev = table(spark, sf, "events").filter(E.label).select("user_id", "ts", "event_id")
-    out = pr.positional_slice(E.spec.drop_null_keys(ev), E.spec, 10, 13)
+    out = pr.positional_slice(E.spec.drop_null_keys(ev), E.spec, 10, 13, chunks="auto")
     return out.select("user_id", "event_id", "pos")
 
 

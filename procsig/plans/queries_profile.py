@@ -55,9 +55,9 @@ def _missing_sql():
 @register("missing_counts", _missing_sql())
 def missing_counts(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    feats = fe.lag_features(ev, EVENTS.spec, (1, 2), ["value"], dropna=False)
-    feats = fe.rolling_features(feats, EVENTS.spec, (3,), ["value"], dropna=False)
-    feats = fe.diff_features(feats, EVENTS.spec, ["value"], dropna=False)
+    feats = fe.lag_features(ev, EVENTS.spec, (1, 2), ["value"], dropna=False, chunks="auto")
+    feats = fe.rolling_features(feats, EVENTS.spec, (3,), ["value"], dropna=False, chunks="auto")
+    feats = fe.diff_features(feats, EVENTS.spec, ["value"], dropna=False, chunks="auto")
     return pf.missing_counts(feats.select(*_MISS_COLS))
 
 

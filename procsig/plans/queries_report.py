@@ -142,7 +142,7 @@ def _lineitem_contrib(spark, sf):
     from procsig.plans.analysis import serving_features
     from procsig.plans.bound import TRAIN_FRACTION
     b = LINEITEM
-    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec)
+    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec, chunks="auto")
     feats = serving_features(samples, b.spec, LV)
     feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(feats, "l_suppkey", TRAIN_FRACTION))
     ok = feats.filter("ok")
@@ -158,7 +158,7 @@ def _lineitem_ok_contrib_wide(spark, sf):
     from procsig.plans.analysis import serving_features
     from procsig.plans.bound import TRAIN_FRACTION
     b = LINEITEM
-    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec)
+    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec, chunks="auto")
     feats = serving_features(samples, b.spec, LV)
     feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(feats, "l_suppkey", TRAIN_FRACTION))
     ok = feats.filter("ok")
@@ -285,7 +285,7 @@ SELECT l_suppkey, sample,
 FROM ok""")
 def history_window(spark, sf):
     ok = _ok(spark, sf)
-    h = rp.history_window(ok, ["l_suppkey"], "sample", F.struct("sample", "tier"), 3)
+    h = rp.history_window(ok, ["l_suppkey"], "sample", F.struct("sample", "tier"), 3, chunks="auto")
     n = F.size("history")
     return h.select("l_suppkey", "sample", n.cast("int").alias("n_history"),
                     *[F.when(n >= k, F.element_at("history", -k)["tier"]).alias(f"prev{k}_tier") for k in (1, 2, 3)])

@@ -195,7 +195,7 @@ SELECT user_id, min(CASE WHEN event_type = 'error' THEN sample END) AS period_st
 FROM s GROUP BY user_id HAVING min(CASE WHEN event_type = 'error' THEN sample END) IS NOT NULL""")
 def anomaly_period(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "ts", "event_id", EVENTS.label.alias("label"))
-    s = fe.with_sample_number(EVENTS.spec.drop_null_keys(ev), EVENTS.spec)
+    s = fe.with_sample_number(EVENTS.spec.drop_null_keys(ev), EVENTS.spec, chunks="auto")
     return st.anomaly_period(s, ["user_id"], "sample", "label")
 
 

@@ -24,7 +24,7 @@ _ORDER = """SELECT l_linestatus, CAST(count(*) FILTER (WHERE dec) AS BIGINT) AS
 @register("monotonic_check", f"""
 SELECT l_linestatus, n_decreases = 0 AS is_monotonic, n_decreases FROM ({_ORDER})""")
 def monotonic_check(spark, sf):
-    return va.order_breaks(_frame(spark, sf), "l_linestatus", ["l_orderkey", "l_linenumber"], "l_linenumber")
+    return va.order_breaks(_frame(spark, sf), "l_linestatus", ["l_orderkey", "l_linenumber"], "l_linenumber", chunks="auto")
 
 
 @register("validate_dataset", f"""
@@ -43,7 +43,7 @@ r AS (SELECT s.*, o.n_decreases,
 SELECT l_linestatus, n_rows, {len(_COLS)} AS n_cols, CAST(n_runs AS BIGINT) AS n_runs, sample_min, sample_max,
        errors, warnings, errors = '' AS is_valid FROM r""")
 def validate_dataset(spark, sf):
-    v = va.validate(_frame(spark, sf), "l_linestatus", "l_suppkey", "l_linenumber", LV, ["l_orderkey", "l_linenumber"])
+    v = va.validate(_frame(spark, sf), "l_linestatus", "l_suppkey", "l_linenumber", LV, ["l_orderkey", "l_linenumber"], chunks="auto")
     return v.select("l_linestatus", "n_rows", "n_cols", "n_runs", "sample_min", "sample_max",
                     F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"),
                     "is_valid")

@@ -219,3 +219,26 @@ def test_three_hundred_chunks(spark):
     build = lambda s: fe.lag_exprs(s, ["x"], (1, 2))
     plain = {r.t: tuple(r) for r in df.select("*", *build(spec)).collect()}
     assert {r.t: tuple(r) for r in fe.chunked_window(df, spec, 2, build, 300).collect()} == plain
+
+
+def test_every_window_operator_in_chunks_equals_the_plain_form(spark):
+    import random
+
+    from procsig.operators import prepare as pr
+    from procsig.operators import report as rp
+    from procsig.operators import validate as va
+    rnd = random.Random(9)
+    rows = [(1 if i % 3 else 2, rnd.randrange(300), i, rnd.random() if i % 17 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, t int, id int, x double")
+    spec = SeriesSpec(("k",), ("t", "id"))
+    s = fe.with_sample_number(df, spec)
+    forms = [
+        lambda c: fe.with_sample_number(df, spec, chunks=c), lambda c: fe.lag_features(df, spec, (1, 2), ["x"], chunks=c),
+        lambda c: fe.lag_features(df, spec, (-1,), ["x"], chunks=c), lambda c: fe.rolling_features(df, spec, (3,), ["x"], chunks=c),
+        lambda c: fe.diff_features(df, spec, ["x"], chunks=c), lambda c: fe.feature_chain_train(df, spec, ["x"], chunks=c),
+        lambda c: fe.feature_chain_serving(df, spec, ["x"], chunks=c), lambda c: pr.analysis_sequence_check(s, spec, chunks=c),
+        lambda c: pr.positional_slice(df, spec, 5, 40, chunks=c), lambda c: rp.history_window(s, ["k"], "sample", F.col("id"), 3, chunks=c),
+        lambda c: va.order_breaks(df, "k", ["t", "id"], "id", chunks=c)]
+    for f in forms:
+        plain = sorted(map(repr, f(1).collect()))
+        assert sorted(map(repr, f(5).collect())) == plain and sorted(map(repr, f("auto").collect())) == plain
