@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procsig.llm.bpe import VOCABULARY, decode, encode
+from procsig.llm.bpe import VOCABULARY, encode_decode
 from procsig.llm.decontam import decontaminate
 from procsig.llm.dedup import drop_near_duplicates
 from procsig.llm.quality import keep_good
@@ -47,8 +47,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of what they decode to."""
     import public_tokenizers
-    path = public_tokenizers.path(VOCABULARY)
-    return decode(encode(docs, path, public_tokenizers.PATTERN), path).select(
+    return encode_decode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

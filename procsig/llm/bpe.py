@@ -3,9 +3,9 @@
 Each task cuts its texts into pieces with the tokenizer's pattern and encodes the distinct ones that
 it has not seen. A piece starts as one row per byte (word, position, token); a recursive query joins
 neighbouring rows with the merge table and contracts, in every word and step, the leftmost pair of
-the smallest rank, until no pair is left. In long words, where the merged token cannot be part of a token of lower
-rank, all places of that pair are contracted in the same step, which gives the same result and
-keeps very long pieces (a run of one letter) from taking a step per place.
+the smallest rank, until no pair is left. In long words, where the merged token cannot be part of a
+token of lower rank, all places of that pair are contracted in the same step, which gives the same
+result and keeps very long pieces (a run of one letter) from taking a step per place.
 
 Decoding joins token rows with the vocabulary and concatenates the bytes in position order.
 
@@ -25,16 +25,16 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsig.llm.registry import register
-from procsig.llm.wordhash import text_chunks
 from procsig.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES, ENCODE_ROWS, DECODE_TOKENS, LONG_BYTES = 500_000, 300_000, 1_000_000, 32
+CACHE_PIECES, ENCODE_ROWS, DECODE_TOKENS, CHUNK_CHARS, LONG_BYTES = 350_000, 500_000, 500_000, 2_500_000, 32
 
 #: Every split of a token into two tokens; the token's id is its rank. ``safe``: no token of lower
 #: rank has the merged token as one of its two parts.
@@ -87,13 +87,19 @@ WITH RECURSIVE s(w, step, k, id) AS (
 SELECT w, k, id FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w, k"""
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pieces ``code`` one after the other, and how many each has."""
+    n = starts[code + 1] - starts[code]
+    return ids[np.repeat(starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
 class Engine:
     """An in-process DuckDB database with the vocabulary and merge tables of one rank file."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "500MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
         toks = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "tok": pa.array(list(ranks), pa.binary()),
                          "hex": pa.array([t.hex() for t in ranks], pa.string())})
         self.db.register("toks", toks)
@@ -104,31 +110,42 @@ class Engine:
             if len(t) == 1:
                 self.byte[t[0]] = i
         self.codes: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.codes.clear()
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self._turn()
+
+    def _turn(self) -> None:
+        """Start a new generation of the cache; pieces of the last one are taken over when met again."""
+        self.old = self.codes, self.ids, self.starts
+        self.codes, self.ids, self.starts = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.codes.update(zip(pieces, range(len(self.codes), len(self.codes) + len(pieces))))
+
+    def _take_over(self, pieces: list[str]) -> None:
+        codes, ids, starts = self.old
+        code = np.array([codes[p] for p in pieces], dtype=np.int64)
+        self._add(pieces, *_gather(ids, starts, code))
 
     def encode_pieces(self, pieces: list[str]) -> None:
         """Encode unseen pieces into the cache, short ones first."""
-        pieces = sorted(pieces, key=len)
-        raw = [p.encode() for p in pieces]
+        raw = sorted((p.encode() for p in pieces), key=len)
+        pieces = [r.decode() for r in raw]
         size = np.array([len(r) for r in raw], dtype=np.int64)
+        short = int(np.searchsorted(size, LONG_BYTES, "right"))
         at = 0
         while at < len(raw):
             to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), ENCODE_ROWS)) + at)
+            to = min(to, short) if at < short else to
             n = size[at:to]
             w = np.repeat(np.arange(to - at, dtype=np.int32), n)
             k = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
             rows = pa.table({"w": w, "k": k, "id": self.byte[np.frombuffer(b"".join(raw[at:to]), np.uint8)]})
             self.db.register("bytes", rows)
-            got = self.db.sql(_STEP if n.max() <= LONG_BYTES else _LONG_STEP).to_arrow_table()
+            got = self.db.sql(_STEP if at < short else _LONG_STEP).to_arrow_table()
             counts = np.bincount(got.column("w").to_numpy(), minlength=to - at)
-            self.ids = np.concatenate([self.ids, got.column("id").to_numpy().astype(np.int32)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-            for p in pieces[at:to]:
-                self.codes[p] = len(self.codes)
+            self._add(pieces[at:to], got.column("id").to_numpy().astype(np.int32), counts)
             at = to
 
     def encode(self, texts: list[str | None], pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
@@ -137,21 +154,35 @@ class Engine:
         every = [p for ps in pieces for p in ps]
         fresh = [p for p in dict.fromkeys(every) if p not in self.codes]
         if len(self.codes) + len(fresh) > CACHE_PIECES and self.codes:
-            self._reset()
+            self._turn()
             fresh = list(dict.fromkeys(every))
-        self.encode_pieces(fresh)
+        self._take_over([p for p in fresh if p in self.old[0]])
+        self.encode_pieces([p for p in fresh if p not in self.old[0]])
         code = np.fromiter(map(self.codes.__getitem__, every), dtype=np.int64, count=len(every))
-        n = self.starts[code + 1] - self.starts[code]
-        flat = self.ids[np.repeat(self.starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        flat, n = _gather(self.ids, self.starts, code)
         ends = np.cumsum([len(ps) for ps in pieces])
         per = np.diff(np.r_[0, np.r_[0, np.cumsum(n)][ends]])
         return flat, per
 
-    def decode(self, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> pa.Table:
-        """``(doc, bytes list in position order)`` of token rows."""
-        self.db.register("tokens", pa.table({"doc": doc, "pos": pos, "id": ids}))
-        return self.db.sql("SELECT doc, list(tok ORDER BY pos) AS toks FROM tokens JOIN vocab USING (id) "
-                           "GROUP BY doc ORDER BY doc").to_arrow_table()
+    def decode_texts(self, flat: np.ndarray, per: np.ndarray) -> list[bytes]:
+        """The bytes of every text: token rows joined with the vocabulary, aggregated in position order."""
+        out = [b""] * len(per)
+        ends = np.cumsum(per)
+        lo = 0
+        while lo < len(per):
+            start = ends[lo] - per[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, start + DECODE_TOKENS, "right")))
+            part = flat[start:ends[hi - 1]]
+            if len(part):
+                self.db.register("tokens", pa.table({"doc": np.repeat(np.arange(lo, hi, dtype=np.int32), per[lo:hi]),
+                                                     "pos": np.arange(len(part), dtype=np.int32), "id": part}))
+                got = self.db.sql("SELECT doc, list(tok ORDER BY pos) AS toks FROM tokens JOIN vocab USING (id) "
+                                  "GROUP BY doc ORDER BY doc").to_arrow_table()
+                for docs, toks in zip(got.column("doc").chunks, got.column("toks").chunks):
+                    for i, d in enumerate(docs.to_pylist()):
+                        out[d] = _joined(toks, i)
+            lo = hi
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,9 +191,18 @@ def engine(path: str) -> Engine:
     return Engine(path)
 
 
-def _chunked(ids: list, texts: list) -> Iterator[tuple[list, list]]:
-    for lo, hi in text_chunks(texts, max_chars=4_000_000, max_texts=4096):
-        yield ids[lo:hi], texts[lo:hi]
+def _chunked(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
+    """(ids, texts) of parts of a batch; only one part's texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(sizes[lo:]), CHUNK_CHARS)))
+        yield b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
+def _id_lists(flat: np.ndarray, per: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -170,10 +210,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         eng, pat = engine(path), regex.compile(pattern)
         for b in it:
-            for doc_ids, texts in _chunked(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                flat, per = eng.encode(texts, pat)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
+            for doc_ids, texts in _chunked(b):
+                yield pa.RecordBatch.from_arrays([doc_ids, _id_lists(*eng.encode(texts, pat))], names=["doc_id", "ids"])
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, ids array<int>")
 
 
@@ -190,32 +228,34 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         eng = engine(path)
         for b in it:
-            lists = b.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            size[lists.is_null().to_numpy(zero_copy_only=False)] = 0
-            lo = 0
-            while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), DECODE_TOKENS, "right")) + lo)
-                n = size[lo:hi]
-                flat = lists.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                doc = np.repeat(np.arange(hi - lo, dtype=np.int32), n)
-                pos = np.arange(len(flat), dtype=np.int32)
-                out = [b""] * (hi - lo)
-                if len(flat):
-                    got = eng.decode(doc, pos, flat)
-                    for chunk_doc, chunk in zip(got.column("doc").chunks, got.column("toks").chunks):
-                        for i, d in enumerate(chunk_doc.to_pylist()):
-                            out[d] = _joined(chunk, i)
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())],
-                                                 names=["doc_id", "ids", "decoded"])
-                lo = hi
+            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy().astype(np.int64)
+            flat = b.column(1).flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False)  # a NULL id stands for no bytes
+            per = np.bincount(np.repeat(np.arange(len(size)), size)[known], minlength=len(size))
+            ids = flat.drop_null().to_numpy().astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(eng.decode_texts(ids, per), pa.binary())],
+                                             names=["doc_id", "ids", "decoded"])
     return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id bigint, ids array<int>, decoded binary")
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, ids, decoded``: both directions in one task, whose worker
+    holds one engine and gives the memory of its last texts back when the task ends."""
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        eng, pat = engine(path), regex.compile(pattern)
+        for b in it:
+            for doc_ids, texts in _chunked(b):
+                flat, per = eng.encode(texts, pat)
+                del texts
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids, _id_lists(flat, per), pa.array(eng.decode_texts(flat, per), pa.binary())], names=["doc_id", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(batches, "doc_id bigint, ids array<int>, decoded binary")
+
+
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of tokens, digest of the ids and digest of the decoded bytes."""
-    return decode(encode(docs, path, pattern), path).select(
+    return encode_decode(docs, path, pattern).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
