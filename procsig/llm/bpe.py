@@ -7,6 +7,12 @@ the smallest rank, until no pair is left. In long words, where the merged token
 token of lower rank, all places of that pair are contracted in the same step, which gives the same
 result and keeps very long pieces (a run of one letter) from taking a step per place.
 
+A recursive query keeps the rows of all its steps, so a call is sized by bytes times steps: short words
+by the steps they can take at most, long words by a bounded number of steps, whose last rows are fed to
+the next call. Between calls long words are cut where no token of the vocabulary holds the bytes of the
+two neighbouring tokens: nothing can be merged across, so the parts are words of their own and are
+contracted side by side.
+
 Decoding joins token rows with the vocabulary and concatenates the bytes in position order.
 
 The rank file is a parameter; tasks read it by path, as an installed vocabulary. Memory is bounded
@@ -35,6 +41,10 @@ from procsig.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_PIECES, ENCODE_ROWS, DECODE_TOKENS, CHUNK_CHARS, LONG_BYTES = 350_000, 500_000, 500_000, 2_500_000, 32
+#: Rows that a recursive query may keep over all its steps; steps of one query over long words.
+STEP_ROWS, LONG_STEPS = 3_000_000, 48
+#: Memory of the database, and what each byte of a word needs that is larger than ``ENCODE_ROWS`` alone.
+MEMORY_MB, BYTES_A_ROW = 300, 600
 
 #: Every split of a token into two tokens; the token's id is its rank. ``safe``: no token of lower
 #: rank has the merged token as one of its two parts.
@@ -82,9 +92,9 @@ WITH RECURSIVE s(w, step, k, id) AS (
                  min(CAST(m.t AS BIGINT) * 4294967296 + p.k) OVER (PARTITION BY p.w) AS best
           FROM (SELECT w, step, k, id, lead(id) OVER (PARTITION BY w ORDER BY k) AS nxt FROM s) p
           LEFT JOIN merges m ON m.l = p.id AND m.r = p.nxt)
-        WHERE best IS NOT NULL)))
+        WHERE best IS NOT NULL AND step < {steps})))
   WHERE NOT gone)
-SELECT w, k, id FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w, k"""
+SELECT w, k, id, step FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w, k"""
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +109,7 @@ class Engine:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         toks = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "tok": pa.array(list(ranks), pa.binary()),
                          "hex": pa.array([t.hex() for t in ranks], pa.string())})
         self.db.register("toks", toks)
@@ -109,6 +119,8 @@ class Engine:
         for t, i in ranks.items():
             if len(t) == 1:
                 self.byte[t[0]] = i
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.inside: np.ndarray | None = None
         self.codes: dict[str, int] = {}
         self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
         self._turn()
@@ -134,20 +146,80 @@ class Engine:
         pieces = [r.decode() for r in raw]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         short = int(np.searchsorted(size, LONG_BYTES, "right"))
+        # A word of n bytes takes n - 1 steps at most, with a row less in each.
+        rows = np.cumsum(size * (size + 1) // 2)
         at = 0
         while at < len(raw):
-            to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), ENCODE_ROWS)) + at)
-            to = min(to, short) if at < short else to
+            to = int(np.searchsorted(np.cumsum(size[at:]), ENCODE_ROWS)) + at
+            if at < short:
+                to = min(to, short, int(np.searchsorted(rows, rows[at] + STEP_ROWS)))
+            to = max(at + 1, to)
             n = size[at:to]
             w = np.repeat(np.arange(to - at, dtype=np.int32), n)
-            k = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
-            rows = pa.table({"w": w, "k": k, "id": self.byte[np.frombuffer(b"".join(raw[at:to]), np.uint8)]})
-            self.db.register("bytes", rows)
-            got = self.db.sql(_STEP if at < short else _LONG_STEP).to_arrow_table()
-            counts = np.bincount(got.column("w").to_numpy(), minlength=to - at)
-            self._add(pieces[at:to], got.column("id").to_numpy().astype(np.int32), counts)
+            ids = self.byte[np.frombuffer(b"".join(raw[at:to]), np.uint8)]
+            if at < short:
+                k = (np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(np.int32)
+                self.db.register("bytes", pa.table({"w": w, "k": k, "id": ids}))
+                got = self.db.sql(_STEP).to_arrow_table()
+                w, ids = got.column("w").to_numpy(), got.column("id").to_numpy()
+            else:
+                w, ids = self._contract_long(w, ids)
+            self._add(pieces[at:to], ids.astype(np.int32), np.bincount(w, minlength=to - at))
             at = to
 
+    def _contract_long(self, w: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, id) rows of long words -> those of their tokens, by calls of a bounded number of steps."""
+        done_w, done_at, done_id = [], [], []
+        at = np.arange(len(w))  # the place of each row's first byte, for the order of the result
+        while len(w):
+            joined = self._may_join(ids[:-1], ids[1:])
+            apart = (w[1:] != w[:-1]) | (at[1:] != at[:-1] + self.length[ids[:-1]])  # another word, or done rows between
+            part = np.cumsum(np.r_[True, apart | ~joined]) - 1
+            n = np.bincount(part)
+            alone = n[part] == 1  # one token that nothing can be merged with
+            for to, x in ((done_w, w), (done_at, at), (done_id, ids)):
+                to.append(x[alone])
+            w, at, ids, part = w[~alone], at[~alone], ids[~alone], part[~alone]
+            if not len(w):
+                break
+            n = n[n > 1]
+            begin = np.cumsum(n) - n
+            part = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            k = (np.arange(len(w)) - np.repeat(begin, n) + 1).astype(np.int32)
+            steps = int(min(LONG_STEPS, max(1, STEP_ROWS // len(w))))
+            if len(w) > 2 * ENCODE_ROWS:  # one very long word
+                self.db.execute(f"SET memory_limit = '{max(MEMORY_MB, len(w) * BYTES_A_ROW // 1_000_000)}MB'")
+            self.db.register("bytes", pa.table({"w": part, "k": k, "id": ids.astype(np.int32)}))
+            got = self.db.sql(_LONG_STEP.format(steps=steps)).to_arrow_table()
+            if len(w) > 2 * ENCODE_ROWS:
+                self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
+            part, ids, step = (got.column(c).to_numpy() for c in ("w", "id", "step"))
+            long = self.length[ids]
+            left = np.cumsum(long) - long
+            first = np.r_[True, part[1:] != part[:-1]]
+            at = at[begin][part] + left - left[first][part]
+            w = w[begin][part]
+            over = step < steps  # no pair was left before the last step
+            for to, x in ((done_w, w), (done_at, at), (done_id, ids)):
+                to.append(x[over])
+            w, at, ids = w[~over], at[~over], ids[~over]
+        w, at, ids = (np.concatenate(x) for x in (done_w, done_at, done_id))
+        order = np.argsort(at)
+        return w[order], ids[order]
+
+    def _may_join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether a token of the vocabulary holds the bytes of two neighbours (told by hashes: may be true for more)."""
+        if self.inside is None:
+            self.inside = np.unique(np.fromiter((hash(t[i:j]) for t in self.tokens.values() for i in range(len(t) - 1)
+                                                 for j in range(i + 2, len(t) + 1)), dtype=np.int64))
+            self.length = np.zeros(max(self.tokens) + 1, dtype=np.int64)
+            for i, t in self.tokens.items():
+                self.length[i] = len(t)
+        pairs, place = np.unique(left.astype(np.int64) << 32 | right, return_inverse=True)
+        keys = np.fromiter((hash(self.tokens[x >> 32] + self.tokens[x & 0xFFFFFFFF]) for x in pairs.tolist()), dtype=np.int64, count=len(pairs))
+        found = np.searchsorted(self.inside, keys)
+        return (self.inside[np.minimum(found, len(self.inside) - 1)] == keys)[place]
+
     def encode(self, texts: list[str | None], pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of every text)."""
         pieces = [pattern.findall(t) if t else [] for t in texts]

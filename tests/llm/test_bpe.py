@@ -47,3 +47,16 @@ def test_query_against_library(spark, sf, enc):
         want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                      hashlib.sha256((r["text"] or "").encode()).hexdigest()))
     assert got == sorted(want, key=repr)
+
+
+def test_long_varied_runs_within_the_memory_limit(enc):
+    import regex
+
+    from procsig.llm.bpe import Engine
+    rnd = random.Random(4)
+    run = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    texts = [run(abc, 100_000), run("acgt", 50_000), *(run(abc, 1000) for _ in range(300)), *(run(abc, 32) for _ in range(8000))]
+    flat, per = Engine(PATH).encode(texts, regex.compile(public_tokenizers.PATTERN))
+    want = [enc.encode_ordinary(t) for t in texts]
+    assert per.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
