@@ -37,7 +37,7 @@ from procsig.llm.components import components
 from procsig.llm.registry import register
 from procsig.llm.runs import groups
 from procsig.llm.superminhash import SLOTS, band_keys, sketch, superminhash
-from procsig.llm.text import SPACE_WORD, packed
+from procsig.llm.text import packed
 from procsig.llm.wordhash import shingle_sets, text_chunks
 from procsig.session import cut_lineage
 from procsig.sources.tables import table
@@ -273,7 +273,10 @@ def block_spanning_links(docs: DataFrame, nodes: DataFrame, bands: DataFrame, pl
 
 
 def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, text_key, n_shingles, component_id, kept`` per row."""
+    """``docs(doc_id, text)`` -> ``doc_id, text_key, n_shingles, component_id, root, kept`` per row.
+
+    ``root`` tells components apart (NULL without shingles); ``component_id`` need not, where ids are NULL or repeated.
+    """
     sig = cut_lineage(signatures(docs))
     shingled = sig.where("n_shingles > 0")
     nodes = cut_lineage(shingled.groupBy("fp").agg(
@@ -292,11 +295,11 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     root = components(links)
     rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of = rooted.join(ids, "root").select(F.col("fp").alias("fp_of"), "component")
+    of = rooted.join(ids, "root").select(F.col("fp").alias("fp_of"), "component", "root")
     out = sig.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
     out = out.join(of, F.col("fp") == F.col("fp_of"), "left").select(
         "doc_id", "text_key", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "root")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -306,15 +309,15 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = packed(docs)
     gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left_anti")
-    again = (found.where("kept AND n_shingles > 0").groupBy(F.col("component_id").alias("again_id")).count()
-             .where("count > 1").select("again_id", F.lit(True).alias("again")))
+    kept = found.where("kept AND n_shingles > 0")
+    again = kept.groupBy("root").count().where("count > 1").select("root")
     if again.isEmpty():
         return left.select("row_of.*")
-    # Rows that repeat the kept id of their group: one of them stays.
-    marked = left.join(again, F.col("doc_id").eqNullSafe(F.col("again_id")), "left")
-    repeated = F.col("again").isNotNull() & F.coalesce("text", F.lit("")).rlike(SPACE_WORD)
-    one = marked.where(repeated).dropDuplicates(["again_id"])
-    return marked.where(~repeated).select("row_of").unionByName(one.select("row_of")).select("row_of.*")
+    # Several rows of one component hold its smallest id (or it has none): one of them stays.
+    keys = (kept.join(again, "root").select(F.col("doc_id").alias("again_id"), F.col("text_key").alias("again_key"), "root").distinct())
+    marked = left.join(keys, F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("text_key") == F.col("again_key")), "left")
+    one = marked.where("root IS NOT NULL").dropDuplicates(["root"])
+    return marked.where("root IS NULL").select("row_of").unionByName(one.select("row_of")).select("row_of.*")
 
 
 SQL = r"""

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from llm_helpers import against_sql, rows_of
+from pyspark.sql import functions as F
 
 from procsig.llm import dedup
 from procsig.llm.components import components
@@ -109,3 +110,12 @@ def test_components_over_many_tasks(spark):
     many = components(spark.createDataFrame(edges, "a bigint, b bigint"), task_edges=20)
     assert rows_of(few, "node", "root") == rows_of(many, "node", "root")
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_drop_keeps_unlinked_texts_of_null_and_reused_ids(spark):
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (3, text("c")), (3, text("d")), (3, text("d") + " end"),
+            (4, text("d")), (5, text("e")), (5, text("e")), (None, text("f")), (6, text("f")), (None, ""), (7, None)]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("root", F.lit("x")))
+    got = [(r["doc_id"], (r["text"] or " ")[0]) for r in left.collect()]
+    assert sorted(got, key=repr) == sorted([(None, "a"), (None, "b"), (3, "c"), (3, "d"), (5, "e"), (6, "f"), (None, " "), (7, " ")], key=repr)
