@@ -57,7 +57,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1)), lambda x: x != "")
     tokens = F.concat(
         F.array(F.concat(F.lit("scheme:"), F.substring_index(F.col("url"), "://", 1)), F.concat(F.lit("host:"), host),
-                F.concat(F.lit("tld:"), F.element_at(labels, -1))),
+                F.concat(F.lit("domain:"), F.substring_index(host, ".", -2)), F.concat(F.lit("tld:"), F.element_at(labels, -1))),
         F.transform(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), lambda x: F.concat(F.lit("sub:"), x)),
         F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("path:0")).otherwise(F.concat(F.lit("path:"), x))),
         F.transform(keys, lambda x: F.concat(F.lit("key:"), x)))

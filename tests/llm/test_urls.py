@@ -63,3 +63,12 @@ def test_inverted_index_against_brute_force(spark):
 
 def test_query_judges_every_page(spark, sf):
     assert op10_url_filters(spark, sf).count() == table(spark, sf, "pages").count()
+
+
+def test_domain_of_many_subdomains_is_mined(spark):
+    domain = lambda i: ("bad.example", "good.example", "bad.com", "fine.com")[i % 4]
+    pages = [(i, f"http://{domain(i)}/{i}" if i < 4 else f"http://s{i}.{domain(i)}/{i}") for i in range(1000)]
+    labels = [(i, domain(i).startswith("bad")) for i in range(800)]
+    got = url_filter(spark.createDataFrame(pages, "page_id bigint, url string"),
+                     spark.createDataFrame(labels, "page_id bigint, bad boolean"), rules=())
+    assert rows_of(got.where("verdict = 'block'"), "page_id") == sorted([(i,) for i in range(1000) if domain(i).startswith("bad")], key=repr)
