@@ -108,19 +108,22 @@ def closing_row(events: DataFrame, days: int = 3650) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float,
-                 files: int = 4, watermark: str = "3650 days") -> DataFrame:
+                 files: int = 4, watermark: str | None = None) -> DataFrame:
     """Drive the stream over ``events`` split into ``files`` files, one per trigger, until every
     row is scored, into a table under the shared checkpoint folder; returns that table.
 
-    The rows are dealt to the files by hash, so a series comes out of order; the watermark must be as
-    long as the span of the events. A closing row behind the last file ends the stream.
+    The rows are dealt to the files by hash, so a series comes out of order; the watermark is by default
+    the span of the events and a day, so that no row is late. A closing row behind the last file ends the stream.
     """
     ensure_checkpoint_dir(spark)
     run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     rows = events.where("user_id IS NOT NULL").select("user_id", "ts", "event_id", "value")
     source = f"{run}/in"
     rows.repartition(files, F.xxhash64("event_id")).write.parquet(source)
-    closing_row(rows, 36_500).coalesce(1).write.mode("append").parquet(source)
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    span = (ends["hi"] - ends["lo"]).days + 1 if ends["hi"] is not None else 0
+    watermark = watermark or f"{span + 1} days"
+    closing_row(rows, max(36_500, span + 2)).coalesce(1).write.mode("append").parquet(source)
     src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     scored = score_stream(src, scaler, zmodel, threshold, watermark).where("user_id IS NOT NULL")
     q = (scored.writeStream.format("parquet").option("checkpointLocation", f"{run}/_checkpoint")

@@ -55,3 +55,11 @@ def test_serving_matrix_is_the_feature_chain():
     x = np.array([4.0, 0.0, 1.0])
     got = serving_matrix(x)[0]
     assert np.allclose(got, [1, 0, 4, x.mean(), x.std(ddof=1), 0, 4, 1])
+
+
+def test_events_over_more_than_ten_years_are_all_scored(spark):
+    rows = [(i, T0 + dt.timedelta(days=i * 150), i % 2, float(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["user_id"], r["event_id"]): r["max_z"] for r in run_to_table(spark, df, UNIT, UNIT, 3.0).collect()}
+    want = _batch(df)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
