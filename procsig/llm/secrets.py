@@ -1,6 +1,7 @@
 """Secret scans: a random forest removes false positives among secret-like candidates.
 
-Candidates are runs of 16 or more token characters that hold a digit or change case. Features:
+Candidates are runs of 16 or more token characters that hold a digit or change case, and whole values
+assigned to a secret-like name (quoted, or up to white space), of any length and signs. Features:
 length, character classes and transitions between them, entropy, dictionary coverage (the most
 frequent words of all documents), the path of the document and the neighbouring words and signs.
 
@@ -41,6 +42,10 @@ MASK = "[SECRET]"
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/\-]{16,}={0,2}")
 _NAME = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential|auth|bearer)\w*"
                    r"[\"']?\s*(?:[:=]|=>|\s)\s*[\"']?$")
+#: A value assigned to a secret-like name; the repeats are bounded, so that no text takes quadratic time.
+_VALUE = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|private[_\-]?key|credential|auth(?!or)|bearer)\w{0,32}"
+                    r"[\"']?\s{0,4}(?:=>|[:=])\s{0,4}"
+                    r"(?:\"((?:\\.|[^\"\\\n])+)\"|'((?:\\.|[^'\\\n])+)'|[\"']?([^\s\"']\S*))")
 _PATH = re.compile(r"(?i)test|example|sample|doc|fixture|mock")
 _WORDS = re.compile(r"[a-z]{3,12}")
 FEATURES = ("length", "digits", "lower", "upper", "signs", "transitions", "entropy", "distinct", "hex", "coverage",
@@ -48,10 +53,25 @@ FEATURES = ("length", "digits", "lower", "upper", "signs", "transitions", "entro
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans in order, none over another: assigned values, and runs outside of them."""
+    values = [m.span(m.lastindex) for m in _VALUE.finditer(text)]
+    at = 0
     for m in _CANDIDATE.finditer(text):
         s = m.group()
-        if any(c.isdigit() for c in s) or not (s[1:].islower() or s[1:].isupper()):
-            yield m.start(), m.end()
+        if not any(c.isdigit() for c in s) and (s[1:].islower() or s[1:].isupper()):
+            continue
+        lo, hi = m.span()
+        while at < len(values) and values[at][0] < hi:
+            if lo < values[at][0] and values[at][0] - lo >= MIN_CHARS:
+                yield lo, values[at][0]
+            yield values[at]
+            lo = max(lo, values[at][1])
+            at += 1
+        if at and lo < values[at - 1][1]:
+            lo = values[at - 1][1]
+        if hi - lo >= MIN_CHARS:
+            yield lo, hi
+    yield from values[at:]
 
 
 def dictionary_automaton(words: list[str]) -> ahocorasick.Automaton | None:
@@ -99,8 +119,10 @@ def label_findings(f: np.ndarray) -> np.ndarray:
     col = {name: f[:, i] for i, name in enumerate(FEATURES)}
     letters = col["lower"] + col["upper"]
     secret = (col["secret_name"] > 0) & (col["digits"] >= 0.1) & (letters >= 0.1) & (col["coverage"] < 0.5)
+    # An assigned value of nothing but dictionary words is prose, whatever its name.
+    prose = (col["secret_name"] > 0) & (col["coverage"] >= 0.9) & (col["digits"] == 0) & (letters >= 0.9)
     clean = (letters == 0) | (col["coverage"] >= 0.7) | ((col["address"] > 0) & (col["secret_name"] == 0)) | (col["digits"] == 0)
-    return np.where(secret, 1, np.where(clean & (col["secret_name"] == 0), 0, -1))
+    return np.where(secret, 1, np.where(prose | clean & (col["secret_name"] == 0), 0, -1))
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:

@@ -79,3 +79,20 @@ def test_query_returns_every_document(spark):
     planted = table(spark, sf, "documents").where("lower(text) rlike 'token = \"[0-9a-f]{40}\"'").select("doc_id")
     found = got.where("n_secrets > 0").select("doc_id")
     assert planted.count() > 0 and planted.exceptAll(found).count() == 0
+
+
+def test_short_and_signed_values_of_secret_names(spark):
+    text = 'x password = "Tr0ub4dor&3!x" y PWD=p4$$w0rd#9 z api_key: \'k9#Zq!aaaabbbbccccdddd1111\' token = "' + "0a" * 20 + '" end'
+    values = ["Tr0ub4dor&3!x", "p4$$w0rd#9", "k9#Zq!aaaabbbbccccdddd1111", "0a" * 20]
+    assert [text[lo:hi] for lo, hi in candidates(text)] == values
+    rnd = random.Random(8)
+    rows = [(i, t, "src") for i, t, _ in corpus(rnd, 300)]
+    short = lambda: "".join(rnd.choice("abcdefgh123456789#$!&XYZ") for _ in range(rnd.randrange(8, 16)))
+    rows += [(i, f"the house walks over {rnd.choice(['password = ', 'pwd: ', 'PWD='])}{q}{short()}{q} green river", "src")
+             for i in range(300) for q in ('"' if i % 2 else "",)]
+    rows += [(i, f"under the tree password: {w} green river", "src") for i, w in enumerate(["house", "morning", "light"] * 5)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, path string")
+    got = scan(frame([(1, text, "src")]), train(frame(rows)), keep=["doc_id"]).first()["redacted"]
+    for v in values:
+        text = text.replace(v, MASK)
+    assert got == text
