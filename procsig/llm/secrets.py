@@ -35,8 +35,6 @@ from procsig.llm.registry import register
 from procsig.sources.tables import table
 
 MIN_CHARS, MAX_LABELLED, DICTIONARY, THRESHOLD = 16, 20_000, 20_000, 0.5
-#: Only this many characters of a candidate are described by the character features; its length is whole.
-DESCRIBED = 4096
 MASK = "[SECRET]"
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/\-]{16,}={0,2}")
@@ -95,7 +93,7 @@ def coverage(s: str, automaton: ahocorasick.Automaton | None) -> float:
 
 
 def features(text: str, lo: int, hi: int, path: str, automaton: ahocorasick.Automaton | None) -> list[float]:
-    s = text[lo:min(hi, lo + DESCRIBED)]
+    s = text[lo:hi]
     n = len(s)
     kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in s]
     count = Counter(kinds)

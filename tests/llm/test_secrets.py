@@ -4,7 +4,7 @@ import numpy as np
 from llm_helpers import rows_of
 
 from procsig.llm.forest import RandomForest
-from procsig.llm.secrets import MASK, candidates, labelled_sample, op8_secret_scans, redact, scan, secret_scan, train
+from procsig.llm.secrets import FEATURES, MASK, candidates, features, labelled_sample, op8_secret_scans, redact, scan, secret_scan, train
 from procsig.sources.tables import table
 
 
@@ -96,3 +96,10 @@ def test_short_and_signed_values_of_secret_names(spark):
     for v in values:
         text = text.replace(v, MASK)
     assert got == text
+
+
+def test_features_describe_the_whole_candidate():
+    text = "a1" * 2048 + "B" * 4096
+    f = dict(zip(FEATURES, features(text, 0, len(text), "src", None)))
+    assert f["digits"] == f["lower"] == 0.25 and f["upper"] == 0.5 and f["hex"] == 1.0 and f["entropy"] == 1.5
+    assert abs(f["transitions"] - 4096 / len(text)) < 1e-9
