@@ -162,6 +162,13 @@ def cache_key(conf: str | Column, descriptions: str | Column) -> Column:
     return F.md5(F.concat_ws("_", round_half_even(col_(conf), 2).cast("string"), listed))
 
 
+def cache_key_sql(conf: str, descriptions: str) -> str:
+    """DuckDB twin of ``cache_key``: ``descriptions`` is a list expression."""
+    listed = (f"CASE WHEN len({descriptions}) = 0 THEN '[]' "
+              f"ELSE '[''' || array_to_string(list_sort({descriptions}), ''', ''') || ''']' END")
+    return f"md5(CAST(round_even(({conf}) * 100.0, 0) / 100.0 AS VARCHAR) || '_' || {listed})"
+
+
 def clock_text(ts: str | Column) -> Column:
     """time of day HH:mm."""
     return F.date_format(col_(ts), "HH:mm")

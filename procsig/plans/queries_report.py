@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procsig.functions.scalar import percent_text_sql
+from procsig.functions.scalar import cache_key_sql, percent_text_sql
 from procsig.functions.text import feature_description_expr, feature_description_sql
 from procsig.operators import explain as ex
 from procsig.operators import report as rp
@@ -31,8 +31,7 @@ _PCT = percent_text_sql("confidence")
 _CONTEXT = (f"CASE WHEN tier = 'NORMAL' THEN 'NORMAL: ' || {_PCT} || ' anomaly probability' "
             f"ELSE tier || ': ' || {_PCT} || ' confidence - key factors: ' || concat_ws(', ', d1, d2, d3) END")
 _TEMPLATE = "CASE tier " + " ".join(f"WHEN '{k}' THEN {_sql_str(v)}" for k, v in rp.DEFAULT_TEMPLATES.items()) + " END"
-_KEY = ("md5(CAST(floor(confidence * 100.0 + 0.5) / 100.0 AS VARCHAR) || '_' || CASE WHEN confidence >= 0.5 THEN "
-        "'[''' || array_to_string(list_sort([d1, d2, d3]), ''', ''') || ''']' ELSE '[]' END)")
+_KEY = cache_key_sql("confidence", "CASE WHEN confidence >= 0.5 THEN [d1, d2, d3] ELSE []::VARCHAR[] END")
 _ERR = _sql_str("STATUS: ERROR - fewer than three consecutive samples end at this sample")
 
 _TEXTS = _LSQL + f""",
@@ -83,8 +82,8 @@ def _with_template(recs):
 # ---------------------------------------------------------------- R11 analysis record (flagship)
 @register("analysis_record", _TEXTS + f"""
 SELECT l_suppkey, sample, label, split, status, round(max_z, 6) AS max_z, prediction, round(confidence, 6) AS confidence,
-       tier, top1_variable, (floor(top1_score * 1e4 + 0.5) / 1e4) AS top1_score, top2_variable,
-       (floor(top2_score * 1e4 + 0.5) / 1e4) AS top2_score, top3_variable, (floor(top3_score * 1e4 + 0.5) / 1e4) AS top3_score,
+       tier, top1_variable, round(top1_score, 4) AS top1_score, top2_variable,
+       round(top2_score, 4) AS top2_score, top3_variable, round(top3_score, 4) AS top3_score,
        context, CASE WHEN status = 'OK' THEN template ELSE {_ERR} END AS explanation, cache_key
 FROM recs""")
 def analysis_record(spark, sf):
@@ -95,8 +94,8 @@ def analysis_record(spark, sf):
 def _record_sql():
     return _TEXTS + f"""
 SELECT l_suppkey, sample, label, split, status, round(max_z, 6) AS max_z, prediction, round(confidence, 6) AS confidence,
-       tier, top1_variable, (floor(top1_score * 1e4 + 0.5) / 1e4) AS top1_score, top2_variable,
-       (floor(top2_score * 1e4 + 0.5) / 1e4) AS top2_score, top3_variable, (floor(top3_score * 1e4 + 0.5) / 1e4) AS top3_score,
+       tier, top1_variable, round(top1_score, 4) AS top1_score, top2_variable,
+       round(top2_score, 4) AS top2_score, top3_variable, round(top3_score, 4) AS top3_score,
        context, CASE WHEN status = 'OK' THEN template ELSE {_ERR} END AS explanation, cache_key
 FROM recs"""
 
@@ -188,9 +187,9 @@ def top_variables(spark, sf):
 
 @register("attribution_format", _LSQL + """
 SELECT l_suppkey, sample,
-       top1_variable, d1 AS top1_description, (floor(top1_score * 1e4 + 0.5) / 1e4) AS top1_score,
-       top2_variable, d2 AS top2_description, (floor(top2_score * 1e4 + 0.5) / 1e4) AS top2_score,
-       top3_variable, d3 AS top3_description, (floor(top3_score * 1e4 + 0.5) / 1e4) AS top3_score
+       top1_variable, d1 AS top1_description, round(top1_score, 4) AS top1_score,
+       top2_variable, d2 AS top2_description, round(top2_score, 4) AS top2_score,
+       top3_variable, d3 AS top3_description, round(top3_score, 4) AS top3_score
 FROM top""")
 def attribution_format(spark, sf):
     contrib = _lineitem_contrib(spark, sf)

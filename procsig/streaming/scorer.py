@@ -1,132 +1,195 @@
-"""Streaming form of the serving chain + z-score scoring.
-
-Rows of one series may come in any order and in any number of files as long as they are not older
-than the watermark. The state of a series holds its last two scored samples, the number of samples
-and the rows that the watermark has not passed yet; once it has, those rows are scored in order
-(lag 1/2, rolling mean/std/min/max over 3, first difference: the batch serving chain) and leave the
-state. A row older than the watermark on arrival is late and dropped, as Structured Streaming does.
-
-The state of an idle series ends when the watermark has passed its last row by ``idle``: its next row,
-if any, starts a new series. Without ``idle`` the two samples and the counter stay. Memory per series
-is the rows inside the watermark. Implemented with ``groupBy(series).applyInPandasWithState``; the
-features of all rows that leave the buffer are computed at once with NumPy.
+"""Streaming form of the serving chain, z-score scoring and the alert text.
+
+``transformWithStateInPandas`` keeps per series a map state of waiting rows by time bucket and a value
+state with the last two samples. Rows may come in any order and in any number of files as long as they
+are not older than the watermark. Each bucket has an event-time timer at its end: once the watermark has
+passed it, the bucket's rows are sorted, scored in order (lags, rolling statistics, first difference: the
+batch serving chain) and leave the state. So rows are emitted as the watermark moves, a call reads one
+bucket, and the state of a series is the rows inside the watermark and a bucket. A row older than the
+watermark on arrival is late and dropped, as Structured Streaming does.
+
+With ``idle`` the state of a series ends that long after its last bucket: its next row starts a new
+series. Without it the two samples and the counter stay. Rows without a time or a series are in no series.
+
+The result has the attribution and text columns of the batch record: ``important_features``, tier,
+context, template and cache key, as projections behind the stateful step.
 """
 
 from __future__ import annotations
 
 import uuid
-from typing import Iterator
+from contextlib import contextmanager
+from typing import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from procsig.functions.scalar import tier
 from procsig.operators.detect import Moments
-from procsig.operators.features import feature_names
+from procsig.operators.explain import top_bases_expr
+from procsig.operators.features import diff_name, feature_names, lag_name, rolling_name
+from procsig.operators.report import with_alert_text
 from procsig.session import ensure_checkpoint_dir
 from procsig.sources.io import scratch_path
+from procsig.spec import SeriesSpec
 
-OUT_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()),
-    T.StructField("max_z", T.DoubleType()), T.StructField("prediction", T.IntegerType()),
-    T.StructField("confidence", T.DoubleType()),
-])
-#: ``tail``: the last two scored values; ``n``: samples so far; ``waiting``: packed rows.
-STATE_SCHEMA = T.StructType([T.StructField("tail", T.BinaryType()), T.StructField("n", T.LongType()),
-                             T.StructField("waiting", T.BinaryType())])
-_ROW = np.dtype([("ts", "<i8"), ("id", "<i8"), ("value", "<f8")])  # ts in microseconds
+EVENTS_SPEC = SeriesSpec(("user_id",), ("ts", "event_id"))
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def serving_matrix(seq: np.ndarray) -> np.ndarray:
-    """Features (``feature_names`` order) of every value from the third on."""
+def serving_matrix(seq: np.ndarray, variables: Sequence[str] = ("value",)) -> np.ndarray:
+    """Features (``feature_names`` order) of every sample from the third on; ``seq``: samples x variables."""
+    seq = seq.reshape(len(seq), len(variables))
     x, l1, l2 = seq[2:], seq[1:-1], seq[:-2]
     w = np.stack([l2, l1, x])
-    return np.stack([x, l1, l2, w.mean(axis=0), w.std(axis=0, ddof=1), w.min(axis=0), w.max(axis=0), x - l1], axis=1)
-
-
-def _scorer(scaler: Moments, zmodel: Moments, threshold: float, idle_ms: int | None, variable: str = "value"):
-    names = feature_names([variable])
-    sm, ss = (np.array([m[f] for f in names]) for m in (scaler.mean, scaler.std))
-    zm, zs = (np.array([m[f] for f in names]) for m in (zmodel.mean, zmodel.std))
-    columns = [f.name for f in OUT_SCHEMA.fields]
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail, n, waiting = state.get if state.exists else (b"", 0, b"")
-        tail, rows = np.frombuffer(tail, dtype="<f8"), [np.frombuffer(waiting, dtype=_ROW)]
-        mark = state.getCurrentWatermarkMs() * 1000
-        for pdf in batches:
-            new = np.empty(len(pdf), dtype=_ROW)
-            new["ts"] = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
-            new["id"], new["value"] = pdf["event_id"].to_numpy(), pdf["value"].to_numpy(dtype=float)
-            rows.append(new[new["ts"] >= mark])
-        rows = np.concatenate(rows)
-        ready = rows["ts"] < mark
-        done, rest = np.sort(rows[ready], order=["ts", "id"]), rows[~ready]
-        seq = np.concatenate([tail, done["value"]])
-        if len(done) and len(seq) > 2:
-            x = serving_matrix(seq)
-            ids = done["id"][len(done) - len(x):]
-            full = ~np.isnan(x).any(axis=1)
-            z = np.abs(((x[full] - sm) / ss - zm) / zs).max(axis=1)
-            yield pd.DataFrame({"user_id": key[0], "event_id": ids[full], "max_z": z,
-                                "prediction": (z > threshold).astype(np.int32), "confidence": 1 / (1 + np.exp(threshold - z))},
-                               columns=columns)
-        if len(rest):
-            state.update((seq[-2:].tobytes(), int(n) + len(done), rest.tobytes()))
-            state.setTimeoutTimestamp(max(int(rest["ts"].min() // 1000) + 1, mark // 1000 + 1))
-        elif idle_ms is not None and state.hasTimedOut and not len(done):
-            state.remove()
-        else:
-            state.update((seq[-2:].tobytes(), int(n) + len(done), b""))
-            if idle_ms is not None:
-                state.setTimeoutTimestamp(mark // 1000 + idle_ms)
-
-    return step
-
-
-def score_stream(events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float,
-                 watermark: str = "1 day", idle_days: int | None = None) -> DataFrame:
-    """Streaming DataFrame of scored rows (append mode), each once its watermark has passed."""
-    step = _scorer(scaler, zmodel, threshold, None if idle_days is None else idle_days * 86_400_000)
-    # watermarks need TIMESTAMP (with time zone); the order key itself stays as given
-    timed = events.select("*", F.col("ts").cast("timestamp").alias("event_time"))
-    scored = (timed.withWatermark("event_time", watermark)
-              .groupBy("user_id")
-              .applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
-    return scored.select("*", tier("confidence").alias("tier"))
-
-
-def closing_row(events: DataFrame, days: int = 3650) -> DataFrame:
-    """One row without a series, far behind the last event: it moves the watermark past all others."""
-    end = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
-    return end.select(F.lit(None).cast("bigint").alias("user_id"), (F.col("ts") + F.expr(f"INTERVAL '{days}' DAY")).alias("ts"),
-                      F.lit(-1).cast("bigint").alias("event_id"), F.lit(0.0).alias("value"))
+    stats = {"mean": w.mean(axis=0), "std": w.std(axis=0, ddof=1), "min": w.min(axis=0), "max": w.max(axis=0)}
+    by_name = {}
+    for j, v in enumerate(variables):
+        by_name[v], by_name[lag_name(v, 1)], by_name[lag_name(v, 2)] = x[:, j], l1[:, j], l2[:, j]
+        by_name |= {rolling_name(v, s, 3): m[:, j] for s, m in stats.items()}
+        by_name[diff_name(v)] = x[:, j] - l1[:, j]
+    return np.stack([by_name[n] for n in feature_names(variables)], axis=1)
+
+
+class SeriesScorer(StatefulProcessor):
+    """Waiting rows by time bucket, emitted in order when the bucket's timer fires."""
+
+    def __init__(self, spec: SeriesSpec, variables: Sequence[str], scaler: Moments, zmodel: Moments, threshold: float,
+                 bucket_ms: int, idle_ms: int | None):
+        names = feature_names(variables)
+        self.key, (self.time, self.row_id) = spec.keys[0], spec.order
+        self.variables, self.threshold, self.bucket_ms, self.idle_ms = list(variables), threshold, bucket_ms, idle_ms
+        self.scaler = [np.array([m[f] for f in names]) for m in (scaler.mean, scaler.std)]
+        self.model = [np.array([m[f] for f in names]) for m in (zmodel.mean, zmodel.std)]
+        self.base = [[i for i, f in enumerate(names) if f == v or f.startswith(v + "_")] for v in self.variables]
+        self.row = np.dtype([("ts", "<i8"), ("id", "<i8"), ("x", "<f8", (len(self.variables),))])  # ts in microseconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket bigint", "rows binary")
+        self.tail = handle.getValueState("tail", "samples binary, n bigint, until bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            new = np.empty(len(pdf), dtype=self.row)
+            new["ts"] = pdf[self.time].to_numpy("datetime64[us]").astype(np.int64)
+            new["id"] = pdf[self.row_id].to_numpy()
+            new["x"] = pdf[self.variables].to_numpy(dtype=float)
+            bucket = new["ts"] // (self.bucket_ms * 1000)
+            for b in np.unique(bucket).tolist():
+                if (b + 1) * self.bucket_ms <= mark:  # its rows have left
+                    continue
+                held = self.waiting.getValue((b,))
+                self.waiting.updateValue((b,), ((bytes(held[0]) if held else b"") + new[bucket == b].tobytes(),))
+                self.handle.registerTimer((b + 1) * self.bucket_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()  # timers fire in the order of their times
+        b = end // self.bucket_ms - 1
+        held = self.waiting.getValue((b,)) if end % self.bucket_ms == 0 else None
+        tail = self.tail.get()
+        if held:
+            rows = np.sort(np.frombuffer(bytes(held[0]), dtype=self.row), order=["ts", "id"])
+            samples, n = (bytes(tail[0]), int(tail[1])) if tail else (b"", 0)
+            seq = np.concatenate([np.frombuffer(samples, dtype="<f8").reshape(-1, len(self.variables)), rows["x"]])
+            self.waiting.removeKey((b,))
+            self.tail.update((seq[-2:].tobytes(), n + len(rows), end))
+            if self.idle_ms is not None:
+                self.handle.registerTimer(end + self.idle_ms)
+            if len(seq) > 2:
+                yield self.scored(key[0], rows[-(len(seq) - 2):], seq)
+        elif self.idle_ms is not None and tail and tail[2] + self.idle_ms <= end and not any(True for _ in self.waiting.keys()):
+            self.tail.clear()
+
+    def scored(self, key, rows: np.ndarray, seq: np.ndarray) -> pd.DataFrame:
+        x = serving_matrix(seq, self.variables)
+        full = ~np.isnan(x).any(axis=1)
+        z = np.abs(((x[full] - self.scaler[0]) / self.scaler[1] - self.model[0]) / self.model[1])
+        most = z.max(axis=1) if len(z) else np.empty(0)
+        out = {self.key: key, self.time: rows["ts"][full].astype("datetime64[us]"), self.row_id: rows["id"][full], "max_z": most,
+               "prediction": (most > self.threshold).astype(np.int32), "confidence": 1 / (1 + np.exp(self.threshold - most))}
+        return pd.DataFrame(out | {f"{v}__total": (z[:, cols] - self.threshold).sum(axis=1) for v, cols in zip(self.variables, self.base)})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The RocksDB state store, which map states and timers need, while a query starts."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+
+
+def score_stream(events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float, watermark: str = "1 day",
+                 idle_days: int | None = None, spec: SeriesSpec = EVENTS_SPEC, variables: Sequence[str] = ("value",),
+                 bucket: str = "1 hour", descriptions: Mapping[str, str] | None = None, top_n: int = 3) -> DataFrame:
+    """Streaming DataFrame of scored rows with their alert texts (append mode), each once the watermark has
+    passed its ``bucket``. The query must start inside ``state_store(spark)``."""
+    bucket_ms = int(pd.Timedelta(bucket).total_seconds() * 1000)
+    processor = SeriesScorer(spec, variables, scaler, zmodel, threshold, bucket_ms, None if idle_days is None else idle_days * 86_400_000)
+    key, (time, row_id) = spec.keys[0], spec.order
+    schema = T.StructType([T.StructField(key, events.schema[key].dataType), T.StructField(time, T.TimestampType()),
+                           T.StructField(row_id, T.LongType()), T.StructField("max_z", T.DoubleType()),
+                           T.StructField("prediction", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
+                           *[T.StructField(f"{v}__total", T.DoubleType()) for v in variables]])
+    # watermarks need TIMESTAMP (with time zone)
+    timed = events.select(key, F.col(time).cast("timestamp").alias(time), row_id, *variables).where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    scored = (timed.withWatermark(time, watermark).groupBy(key)
+              .transformWithStateInPandas(processor, schema, "Append", "EventTime"))
+    top = top_bases_expr({v: f"{v}__total" for v in variables}, top_n, descriptions)
+    return with_alert_text(scored.select(key, time, row_id, "max_z", "prediction", "confidence", top.alias("important_features")))
+
+
+def closing_row(events: DataFrame, key_value: int = -1, days: int = 3650, spec: SeriesSpec = EVENTS_SPEC) -> DataFrame:
+    """One row of a series of its own, far behind the last event: it moves the watermark past all others."""
+    key, (time, _) = spec.keys[0], spec.order
+    end = events.agg(F.max(time).alias("end")).where("end IS NOT NULL")
+    fill = {key: F.lit(key_value), time: F.col("end") + F.expr(f"INTERVAL '{days}' DAY"), spec.order[1]: F.lit(-1)}
+    return end.select(*[(fill.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
 
 
 def run_to_table(spark: SparkSession, events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float,
-                 files: int = 4, watermark: str | None = None) -> DataFrame:
-    """Drive the stream over ``events`` split into ``files`` files, one per trigger, until every
-    row is scored, into a table under the shared checkpoint folder; returns that table.
-
-    The rows are dealt to the files by hash, so a series comes out of order; the watermark is by default
-    the span of the events and a day, so that no row is late. A closing row behind the last file ends the stream.
+                 files: int = 4, watermark: str | None = None, spec: SeriesSpec = EVENTS_SPEC, variables: Sequence[str] = ("value",),
+                 descriptions: Mapping[str, str] | None = None) -> DataFrame:
+    """Replay ``events`` through the stream, one file per trigger, until every row is scored, into a table
+    under the shared checkpoint folder; returns that table.
+
+    The events are cut into ``files`` time slices; by a hash of its id a row comes with its own slice or
+    with the next, so every file mixes rows of two slices in no order. The watermark is by default one slice and a
+    second, which no row is later than; the state holds at most three slices. A closing row ends the stream.
     """
     ensure_checkpoint_dir(spark)
     run = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
-    rows = events.where("user_id IS NOT NULL").select("user_id", "ts", "event_id", "value")
+    key, (time, row_id) = spec.keys[0], spec.order
+    rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, row_id, *variables)
     source = f"{run}/in"
-    rows.repartition(files, F.xxhash64("event_id")).write.parquet(source)
-    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    span = (ends["hi"] - ends["lo"]).days + 1 if ends["hi"] is not None else 0
-    watermark = watermark or f"{span + 1} days"
-    closing_row(rows, max(36_500, span + 2)).coalesce(1).write.mode("append").parquet(source)
+    ends = rows.select(F.unix_micros(F.col(time).cast("timestamp")).alias("t")).agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
+    length = max((hi - lo) // files + 1, 1)
+    slice_ = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - F.lit(lo)) / F.lit(length)) + F.pmod(F.xxhash64(row_id), F.lit(2))
+    staged = f"{run}/staged"
+    rows.withColumn("slice", slice_.cast("int")).repartition("slice").write.partitionBy("slice").parquet(staged)
+    sliced = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(staged)
+    for i in range(files + 1):  # in turn: the stream takes files by their age
+        sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(source)
+    closing_row(rows, days=max(36_500, length // 86_400_000_000 * 4 + 2), spec=spec).coalesce(1).write.mode("append").parquet(source)
+    watermark = watermark or f"{length // 1_000_000 + 2} seconds"
+    bucket = f"{length // 1_000_000 + 1} seconds"
     src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    scored = score_stream(src, scaler, zmodel, threshold, watermark).where("user_id IS NOT NULL")
-    q = (scored.writeStream.format("parquet").option("checkpointLocation", f"{run}/_checkpoint")
-         .option("path", f"{run}/out").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_store(spark):
+        scored = score_stream(src, scaler, zmodel, threshold, watermark, spec=spec, variables=variables, bucket=bucket, descriptions=descriptions)
+        q = (scored.writeStream.format("parquet").option("checkpointLocation", f"{run}/_checkpoint")
+             .option("path", f"{run}/out").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(scored.schema).parquet(f"{run}/out")

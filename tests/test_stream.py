@@ -9,7 +9,7 @@ from procsig.operators.detect import Moments, zscore_score
 from procsig.operators.features import feature_names
 from procsig.sources.io import scratch_path
 from procsig.spec import SeriesSpec
-from procsig.streaming.scorer import run_to_table, score_stream, serving_matrix
+from procsig.streaming.scorer import run_to_table, score_stream, serving_matrix, state_store
 
 NAMES = feature_names(["value"])
 UNIT = Moments({f: 0.0 for f in NAMES}, {f: 1.0 for f in NAMES})
@@ -43,9 +43,10 @@ def test_rows_older_than_the_watermark_are_late(spark):
     for b in batches:
         spark.createDataFrame(b, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     src = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    q = (score_stream(src, UNIT, UNIT, 3.0, "1 hour", idle_days=1).writeStream.format("parquet").option("path", f"{folder}/out")
-         .option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_store(spark):
+        q = (score_stream(src, UNIT, UNIT, 3.0, "1 hour", idle_days=1).writeStream.format("parquet").option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     assert sorted(r["event_id"] for r in out.collect()) == [2, 3, 4, 5]
     assert out.where(F.col("tier").isNull()).count() == 0
