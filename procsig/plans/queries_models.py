@@ -24,8 +24,10 @@ def _frames(spark, sf):
     """Standardised complete rows split into train / validation, each materialised once
     (iterative fits re-read their input many times)."""
     b = LINEITEM
-    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec, chunks="auto")
-    feats = serving_features(samples, b.spec, LV).filter("ok")
+    raw = b.spec.drop_null_keys(b.load(spark, sf))
+    n = fe.series_chunks(raw.select(*b.keys), b.spec)
+    samples = fe.with_sample_number(raw, b.spec, chunks=n)
+    feats = serving_features(samples, b.spec, LV, chunks=n).filter("ok")
     feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(samples, "l_suppkey", TRAIN_FRACTION))
     feats = feats.select(*KEEP, "split", *FEATS)
     scaler = fit_scaler(feats.filter(F.col("split") == "train"), FEATS)

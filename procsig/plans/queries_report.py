@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from procsig.functions.scalar import cache_key_sql, percent_text_sql
+from procsig.functions.scalar import ZERO_STD_GUARD, cache_key_sql, percent_text_sql
 from procsig.functions.text import feature_description_expr, feature_description_sql
 from procsig.operators import explain as ex
 from procsig.operators import report as rp
 from procsig.operators.features import feature_catalog, feature_names
 from procsig.plans.analysis import flatten_top
-from procsig.plans.bound import (E_FEATS, THRESHOLD, events_scored, events_scored_sql, lineitem_records,
+from procsig.plans.bound import (E_FEATS, THRESHOLD, TRAIN_FRACTION, events_scored, events_scored_sql, lineitem_records,
                                  lineitem_records_sql)
 from procsig.plans.registry import register, rounded
-from procsig.plans.sqlgen import q
+from procsig.plans.sqlgen import feature_sql, q, win
 from procsig.session import cut_lineage
 from procsig.sources.tables import LINEITEM, VARIABLE_DESCRIPTIONS, variable_dim
 
@@ -141,8 +141,10 @@ def _lineitem_contrib(spark, sf):
     from procsig.plans.analysis import serving_features
     from procsig.plans.bound import TRAIN_FRACTION
     b = LINEITEM
-    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec, chunks="auto")
-    feats = serving_features(samples, b.spec, LV)
+    raw = b.spec.drop_null_keys(b.load(spark, sf))
+    n = fe.series_chunks(raw.select(*b.keys), b.spec)
+    samples = fe.with_sample_number(raw, b.spec, chunks=n)
+    feats = serving_features(samples, b.spec, LV, chunks=n)
     feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(feats, "l_suppkey", TRAIN_FRACTION))
     ok = feats.filter("ok")
     scaler, zmodel = fit_scaled_zscore(ok.filter(F.col("split") == "train"), L_FEATS, ~F.col("label"))
@@ -157,8 +159,10 @@ def _lineitem_ok_contrib_wide(spark, sf):
     from procsig.plans.analysis import serving_features
     from procsig.plans.bound import TRAIN_FRACTION
     b = LINEITEM
-    samples = fe.with_sample_number(b.spec.drop_null_keys(b.load(spark, sf)), b.spec, chunks="auto")
-    feats = serving_features(samples, b.spec, LV)
+    raw = b.spec.drop_null_keys(b.load(spark, sf))
+    n = fe.series_chunks(raw.select(*b.keys), b.spec)
+    samples = fe.with_sample_number(raw, b.spec, chunks=n)
+    feats = serving_features(samples, b.spec, LV, chunks=n)
     feats = holdout_split(feats, "l_suppkey", TRAIN_FRACTION, cut=holdout_cut(feats, "l_suppkey", TRAIN_FRACTION))
     ok = feats.filter("ok")
     scaler, zmodel = fit_scaled_zscore(ok.filter(F.col("split") == "train"), L_FEATS, ~F.col("label"))
@@ -210,7 +214,21 @@ def alert_context(spark, sf):
     return _ok(spark, sf).select("l_suppkey", "sample", "tier", "context")
 
 
-@register("alert_explanation", _TEXTS + "\nSELECT l_suppkey, sample, tier, template AS explanation FROM recs WHERE status = 'OK'")
+_TIERS = f"""WITH s AS (
+  SELECT l_suppkey, l_returnflag = 'R' AS label, {', '.join(LV)}, row_number() OVER w AS sample, {', '.join(x.replace(win(LINEITEM), 'w').replace('(w)', 'w') for x in feature_sql(LV, win(LINEITEM)))}
+  FROM lineitem WHERE l_suppkey IS NOT NULL WINDOW w AS ({win(LINEITEM)})),
+x AS (SELECT l_suppkey, sample, label, l_suppkey <= c AS train, unnest([{', '.join(q(f) for f in L_FEATS)}]) AS v, unnest(range({len(L_FEATS)})) AS j
+      FROM s, (SELECT min(l_suppkey) + {TRAIN_FRACTION} * (max(l_suppkey) - min(l_suppkey)) AS c FROM lineitem)
+      WHERE sample >= 3 AND {' AND '.join(f'{q(f)} IS NOT NULL AND NOT isnan({q(f)})' for f in L_FEATS)}),
+m AS (SELECT j, avg(v) AS m, coalesce(nullif(stddev_pop(v), 0), 1) AS s, avg(v) FILTER (NOT label) AS nm, stddev_pop(v) FILTER (NOT label) AS ns
+      FROM x WHERE train GROUP BY j),
+z AS (SELECT l_suppkey, sample, max(abs(((v - m) / s - (nm - m) / s) / coalesce(nullif(ns / s, 0), {ZERO_STD_GUARD}))) AS z
+      FROM x JOIN m USING (j) GROUP BY l_suppkey, sample),
+t AS (SELECT l_suppkey, CAST(sample AS INTEGER) AS sample, 1 / (1 + exp({THRESHOLD} - z)) AS confidence,
+             CASE WHEN confidence >= 0.75 THEN 'ALERT' WHEN confidence >= 0.5 THEN 'CAUTION' ELSE 'NORMAL' END AS tier FROM z)"""
+
+
+@register("alert_explanation", _TIERS + f"\nSELECT l_suppkey, sample, tier, {_TEMPLATE} AS explanation FROM t")
 def alert_explanation(spark, sf):
     return _ok(spark, sf).select("l_suppkey", "sample", "tier", "explanation")
 

@@ -57,8 +57,9 @@ def variability_cv(spark, sf):
 
 
 @register("variability_pivot", f"""{_VAR_CTE}
-SELECT * FROM (PIVOT (SELECT variable, category, round(cv, 6) AS cv FROM cv) ON category USING max(cv) GROUP BY variable)""")
+SELECT variable, {', '.join(f"max(CASE WHEN category = '{c}' THEN round(cv, 6) END) AS {c}" for c in "ANR")} FROM cv GROUP BY variable""")
 def variability_pivot(spark, sf):
+    """One column per category found in the data (the SQL names those of the given tables)."""
     v = st.variability(_li(spark, sf), LV, "l_returnflag")
     return rounded(st.pivot_wide(v, "variable", "category", "cv"), 6)
 
