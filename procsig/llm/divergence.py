@@ -10,11 +10,11 @@ of the union of its sets. AND and popcount of two sets give the number of terms
 (count here, count there), which is multiplied by f of the two shares: equal counts are computed once,
 terms in the order of frequency make few levels per block, and terms outside both groups cost one cell.
 
-Counts are summed per task before the shuffle, then by (lang, source, term), then gathered per term: one
+Counts are summed per task, then shuffled once by (lang, term) and summed by (lang, source, term): one
 row per kept term with at most one entry per source of the lang. Blocks are ranges of that table, spread
 evenly over tasks whatever a group's share of the rows; a task adds up its blocks per pair of groups.
-The driver holds one row per group (the result has a row per pair of them). Rows are 64-bit, the
-arithmetic is exact: shares by whole numbers of any size, sums of f stay below 2^63.
+The driver holds one row per group (the result has a row per pair of them); inside, groups are numbers.
+The arithmetic is exact: shares by whole numbers of any size, sums of f stay below 2^63.
 
 Defined results: NULL text, lang and source count as ''; texts without terms still make their group
 occur; repeated rows are separate documents; a lang without kept terms gives 0 for its pairs and no
@@ -46,61 +46,77 @@ MIN_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 #: Fixed value: the term class.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Entries that a task counts before it passes them on; groups whose pairs the result may list.
-HELD, MAX_GROUPS = 400_000, 200_000
+HELD, MAX_GROUPS = 600_000, 200_000
+#: A part of a task counts a term's occurrences in the low bits of a number and its documents in the high ones.
+_DOCS = 40
+_ONE_DOC, _LOW = 1 << _DOCS, (1 << _DOCS) - 1
 #: Groups of a lang that one pass of a task compares with each other.
 TILE = 64
 
 _TRANSLATE = bytes(int(LOWER[b]) if ALPHA[b] else 0x20 for b in range(256))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``docs(lang, source, text)`` -> ``lang, source, term, n, docs``; each group also has a row with a NULL term."""
+def group_table(docs: DataFrame) -> list[tuple[str, str]]:
+    """All (lang, source) pairs that occur, NULL as '', sorted; a group's number is its place."""
+    pairs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    return sorted((r["lang"], r["source"]) for r in collect_bounded(pairs, MAX_GROUPS))
+
+
+def term_counts(docs: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
+    """``docs(lang, source, text)`` -> ``lang, group, term, n, docs``: sums of parts of a task; ``lang`` is the
+    number of the lang's first group."""
+    number = {g: i for i, g in enumerate(groups)}
+    first: dict[str, int] = {}
+    for i, (lang, _) in enumerate(groups):
+        first.setdefault(lang, i)
+
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        seen: dict[tuple[str, str], dict[bytes, int]] = {}
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, d) in seen.items():
-                terms = [None, *(t.decode("utf-8", "replace") for t in n)]
+            for g, n in seen.items():
+                both = np.fromiter(n.values(), dtype=np.int64, count=len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                     pa.array(terms, pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(d[t] for t in n)], pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"])
+                    [pa.array(np.full(len(n), first[g[0]], np.int32)), pa.array(np.full(len(n), number[g], np.int32)),
+                     pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(both & _LOW), pa.array(both >> _DOCS)],
+                    names=["lang", "group", "term", "n", "docs"])
         for b in it:
             langs, sources = (b.column(c).to_pylist() for c in ("lang", "source"))
             for i, t in enumerate(b.column("text")):
-                group = seen.get((langs[i], sources[i]))
-                if group is None:
-                    group = seen[langs[i], sources[i]] = Counter(), Counter()
-                if t.is_valid:
-                    here = Counter(t.as_buffer().to_pybytes().translate(_TRANSLATE).split(b" "))
-                    del here[b""]
-                    held -= len(group[0])
-                    group[0].update(here)
-                    group[1].update(here.keys())
-                    held += len(group[0])
+                if not t.is_valid:
+                    continue
+                group = seen.setdefault((langs[i], sources[i]), {})
+                held -= len(group)
+                get = group.get
+                for term, n in Counter(t.as_buffer().to_pybytes().translate(_TRANSLATE).split()).items():
+                    group[term] = get(term, 0) + n + _ONE_DOC
+                held += len(group)
                 if held > HELD:
                     yield from out()
                     seen, held = {}, 0
         yield from out()
     plain = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
-    counts = plain.mapInArrow(count, "lang string, source string, term string, n bigint, docs bigint")
-    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return plain.mapInArrow(count, "lang int, group int, term string, n bigint, docs bigint")
 
 
 def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``lang, term, total, cells array<struct<source, n>>, id``: kept terms by falling frequency, and the
-    NULL term with all sources of the lang. Ids are places in the sorted, written table."""
-    terms = (counts.groupBy("lang", "term")
-             .agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
-             .where((F.col("docs") >= min_docs) | F.col("term").isNull()))
+    """``lang, term, total, cells array<struct<group, n>>, id``: kept terms by falling frequency. Ids are places in
+    the sorted, written table."""
+    terms = (counts.repartition("lang", "term").groupBy("lang", "group", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+             .groupBy("lang", "term")
+             .agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("group", "n")).alias("cells"))
+             .where(F.col("docs") >= min_docs))
     order = ["lang", F.desc("total"), "term"]
-    ranged = cut_lineage(terms.repartitionByRange(*order).sortWithinPartitions(*order).drop("docs"))
+    ranged = cut_lineage(terms.drop("docs").repartitionByRange(*order).sortWithinPartitions(*order))
     return ranged.withColumn("id", F.monotonically_increasing_id())
 
 
-def share(n: int, total: int, terms: int) -> int:
-    return 1 + SCALE * (n + 1) // (total + terms)
+def shares(n: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
+    """1 + floor(SCALE (n + 1) / (total + terms)), exact."""
+    if not len(n) or int(n.max()) + 1 < (1 << 63) // SCALE:
+        return 1 + SCALE * (n + 1) // (total + terms)
+    return np.array([1 + SCALE * (a + 1) // (b + terms) for a, b in zip(n.tolist(), total.tolist())], dtype=np.int64)
 
 
 def _block_sums(group: np.ndarray, n: np.ndarray, bit: np.ndarray, size: int, share_of, groups: int, out: np.ndarray) -> None:
@@ -133,63 +149,53 @@ def _block_sums(group: np.ndarray, n: np.ndarray, bit: np.ndarray, size: int, sh
             np.add.at(out, (of[i], of[j]), d * d // p[j] * joint[joint > 0].astype(np.int64))
 
 
-def pair_sums(terms: DataFrame, groups: dict[str, dict[str, int]], totals: dict[str, int]) -> DataFrame:
-    """``lang, source, item, value``: sums of f between the groups of each lang, one partial sum per task.
+def pair_sums(terms: DataFrame, groups: list[tuple[str, str]], size: np.ndarray, kept: dict[int, int]) -> DataFrame:
+    """``lang, a, b, value``: sums of f between the groups of each lang, one partial sum per task.
 
-    ``groups[lang][source]`` is a group's N, ``totals[lang]`` the lang's number of kept terms.
+    ``size[group]`` is a group's N, ``kept[lang]`` the lang's number of kept terms.
     """
+    langs = [lang for lang, _ in groups]
+
     def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, held, out = None, [], None
-
-        def begin(name: str) -> None:
-            nonlocal lang, place, names, size, out, known
-            lang, names = name, sorted(groups[name])
-            place = {s: i for i, s in enumerate(names)}
-            size = [groups[name][s] for s in names]
-            out = np.zeros((len(names), len(names)), dtype=np.int64)
-            known = {}
-
-        def share_of(of: np.ndarray, n: np.ndarray) -> np.ndarray:
-            keys = list(zip(of.tolist(), n.tolist()))
-            for k in keys:
-                if k not in known:
-                    known[k] = share(k[1], size[k[0]], totals[lang])
-            return np.array([known[k] for k in keys], dtype=np.int64)
+        lang, out, n_groups, held = -1, None, 0, []
 
         def block() -> None:
-            nonlocal held
             if held:
-                per = [len(c) for c in held]
-                cells = [x for c in held for x in c]
-                _block_sums(np.array([place[x["source"]] for x in cells], dtype=np.int64), np.array([x["n"] for x in cells], dtype=np.int64),
-                            np.repeat(np.arange(len(held)), per), len(held), share_of, len(names), out)
-                if len(known) > HELD:
-                    known.clear()
-            held = []
+                group, n, per = (np.concatenate([x[k] for x in held]) for k in range(3))
+                _block_sums(group - lang, n, np.repeat(np.arange(len(per)), per), len(per),
+                            lambda of, k: shares(k, size[lang + of], kept[lang]), n_groups, out)
+                held.clear()
 
         def end() -> pa.RecordBatch:
-            at = np.nonzero(out)
-            pick = pa.array(names, pa.string())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at[0]), pa.string()), pick.take(pa.array(at[0])), pick.take(pa.array(at[1])), pa.array(out[at])],
-                names=["lang", "source", "item", "value"])
-        place, names, size, known = {}, [], [], {}
-        for b in it:
-            for name, cells in zip(b.column("lang").to_pylist(), b.column("cells").to_pylist()):
-                if name != lang:
+            a, b = np.nonzero(out)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), lang, np.int32)), pa.array((a + lang).astype(np.int32)),
+                                               pa.array((b + lang).astype(np.int32)), pa.array(out[a, b])], names=["lang", "a", "b", "value"])
+        for batch in it:
+            of = batch.column("lang").to_numpy()
+            cells = batch.column("cells")
+            starts, inner = cells.offsets.to_numpy(), cells.values
+            group, n = inner.field("group").to_numpy().astype(np.int64), inner.field("n").to_numpy()
+            at = 0
+            while at < len(of):
+                if of[at] != lang:
                     block()
                     if out is not None:
                         yield end()
-                    begin(name)
-                held.append(cells)
-                if len(held) == 64:
+                    lang = int(of[at])
+                    n_groups = langs.count(langs[lang])
+                    out = np.zeros((n_groups, n_groups), dtype=np.int64)
+                have = sum(len(x[2]) for x in held)
+                to = min(at + 64 - have, int(np.searchsorted(of, lang, "right")))
+                part = slice(int(starts[at]), int(starts[to]))
+                held.append((group[part], n[part], np.diff(starts[at:to + 1])))
+                if have + to - at == 64:
                     block()
+                at = to
         block()
         if out is not None:
             yield end()
-    kept = terms.where("term IS NOT NULL").select("lang", "cells")
-    return (kept.mapInArrow(sums, "lang string, source string, item string, value bigint")
-            .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
+    return (terms.select("lang", "cells").mapInArrow(sums, "lang int, a int, b int, value bigint")
+            .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
 
 
 def _share_sql(n: str, total: str, terms: str) -> str:
@@ -200,27 +206,35 @@ def _share_sql(n: str, total: str, terms: str) -> str:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """``docs(lang, source, text)`` -> ``lang, source, part, item, value, rank``."""
     spark = docs.sparkSession
-    terms = kept_terms(term_counts(docs), min_docs)
-    cells = terms.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "term", "total", "c.source", "c.n")
-    sizes = cells.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("term").alias("held"))
-    rows = collect_bounded(sizes, MAX_GROUPS)
-    number = {r["lang"]: r["n"] for r in terms.groupBy("lang").agg(F.count("term").alias("n")).collect()}  # one row per lang
-    groups: dict[str, dict[str, int]] = {}
-    for r in rows:
-        groups.setdefault(r["lang"], {})[r["source"]] = r["size"]
-    table_ = spark.createDataFrame([(r["lang"], r["source"], r["size"], sum(groups[r["lang"]].values()), number[r["lang"]]) for r in rows],
-                                   "lang string, source string, size bigint, lang_size bigint, terms bigint")
-    found = pair_sums(terms, groups, number)
-    pairs = (table_.select("lang", "source").join(table_.select("lang", F.col("source").alias("item")), "lang")
-             .where("source <> item").join(found, ["lang", "source", "item"], "left")
+    groups = group_table(docs)
+    terms = kept_terms(term_counts(docs, groups), min_docs)
+    cells = terms.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "term", "total", "c.group", "c.n")
+    size = np.zeros(len(groups), dtype=np.int64)
+    for r in cells.groupBy("group").agg(F.sum("n").alias("n")).collect():  # one row per group
+        size[r["group"]] = r["n"]
+    kept = {r["lang"]: r["n"] for r in terms.groupBy("lang").agg(F.count("term").alias("n")).collect()}  # one row per lang
+    first: dict[str, int] = {}
+    whole: Counter = Counter()
+    for i, (lang, _) in enumerate(groups):
+        first.setdefault(lang, i)
+        whole[lang] += int(size[i])
+    known = spark.createDataFrame([(first[lang], i, lang, source, int(size[i]), whole[lang], kept.get(first[lang], 0))
+                                   for i, (lang, source) in enumerate(groups)],
+                                  "lang_no int, group int, lang string, source string, size bigint, lang_size bigint, terms bigint")
+    found = pair_sums(terms, groups, size, kept).select("a", "b", "value")
+    pairs = (known.select("lang_no", F.col("group").alias("a"), "lang", "source")
+             .join(known.select("lang_no", F.col("group").alias("b"), F.col("source").alias("item")), "lang_no").where("a <> b")
+             .join(found, ["a", "b"], "left")
              .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value")))
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs.withColumn("rank", F.row_number().over(by_value))
-    shares = (cells.where("term IS NOT NULL").join(table_, ["lang", "source"])
-              .select("lang", "source", F.col("term").alias("item"), F.expr(_share_sql("n", "size", "terms")).alias("p"),
-                      F.expr(_share_sql("total", "lang_size", "terms")).alias("q"))
-              .where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", F.expr("(p - q) * (p - q) div q").alias("value")))
-    tops = shares.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
+    shares_ = (cells.drop("lang").join(known, "group")
+               .select("group", F.col("term").alias("item"), F.expr(_share_sql("n", "size", "terms")).alias("p"),
+                       F.expr(_share_sql("total", "lang_size", "terms")).alias("q"))
+               .where("p > q").select("group", "item", F.expr("(p - q) * (p - q) div q").alias("value")))
+    by_group = Window.partitionBy("group").orderBy(F.desc("value"), "item")
+    tops = (shares_.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= top).join(known, "group")
+            .select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
     return ranked.unionByName(tops)
 
 
