@@ -1,7 +1,7 @@
 from llm_helpers import rows_of
 from pyspark.sql import functions as F
 
-from procsig.llm.urls import RULES, match_rules, op10_url_filters, url_filter
+from procsig.llm.urls import RULES, match_rules, mine_rules, op10_url_filters, url_filter
 from procsig.sources.tables import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,3 +72,50 @@ def test_domain_of_many_subdomains_is_mined(spark):
     got = url_filter(spark.createDataFrame(pages, "page_id bigint, url string"),
                      spark.createDataFrame(labels, "page_id bigint, bad boolean"), rules=())
     assert rows_of(got.where("verdict = 'block'"), "page_id") == sorted([(i,) for i in range(1000) if domain(i).startswith("bad")], key=repr)
+
+
+def test_repeated_long_urls_end_and_are_mined(spark):
+    """Copies of a URL of 40 path words: as one item, not as 2^40 combinations."""
+    long = "http://ads.example/" + "/".join(f"w{i}" for i in range(40))
+    other = "http://ads.example/" + "/".join(f"w{i}" for i in range(0, 60, 2))
+    rows = [(i, long if i < 10 else other if i < 20 else f"http://site{i % 40}.example/a{i % 7}/{i}") for i in range(220)]
+    labels = [(i, i < 20) for i in range(200)]
+    got = url_filter(spark.createDataFrame(rows + [(500, long), (501, "http://x.example/w1")], "page_id bigint, url string"),
+                     spark.createDataFrame(labels, "page_id bigint, bad boolean"), rules=())
+    assert rows_of(got.where("verdict = 'block'"), "page_id") == sorted([(i,) for i in [*range(20), 500, 501]], key=repr)
+
+
+def test_rules_against_all_subsets(spark):
+    """FP-growth's rules over items, with support, confidence and lift, against counting every token combination."""
+    import itertools
+    import random
+    r = random.Random(8)
+    pages = [(sorted(r.sample("abcdefg", r.randrange(1, 5))), r.random() < 0.2) for _ in range(300)]
+    pages = [(t, bad or ("a" in t and "b" in t and r.random() < 0.9) or "g" in t and r.random() < 0.6) for t, bad in pages]
+    pages = [(t + ["twin"] if "a" in t else t, bad) for t, bad in pages]
+    rules, items = mine_rules(spark.createDataFrame(pages, "tokens array<string>, bad boolean"), 0.02, 0.6, 5, 1.5)
+    of = {x["token"]: x["item"] for x in items.collect()}
+    assert of["twin"] == of["a"] == "a"
+    base, z = sum(b for _, b in pages) / len(pages), 3.0
+    want = {}
+    for k in range(1, 6):
+        for c in itertools.combinations("abcdefg", k):
+            hit = [b for t, b in pages if set(c) <= set(t)]
+            if sum(hit) < max(5, 0.02 * len(pages)):
+                continue
+            p, n = sum(hit) / len(hit), len(hit)
+            low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+            if p >= 0.6 and p >= 1.5 * base and low > base:
+                want[c] = p
+    want = {c: p for c, p in want.items() if not any(want.get(x, 0) >= p for x in itertools.combinations(c, len(c) - 1))}
+    got = {tuple(x["antecedent"]): x["confidence"] for x in rules.collect()}
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want) and want
+
+
+def test_few_labels_make_no_rules(spark):
+    """Bad pages of their own each: one page is no support, whatever the share."""
+    rows = [(i, f"http://host{i}.example/p{i}") for i in range(100)]
+    labels = [(i, i % 4 == 0) for i in range(98)]
+    got = url_filter(spark.createDataFrame(rows, "page_id bigint, url string"),
+                     spark.createDataFrame(labels, "page_id bigint, bad boolean"), rules=())
+    assert got.where("verdict = 'block'").count() == 0
