@@ -9,11 +9,12 @@ The forest is trained from labelled findings. ``label_findings`` labels the clea
 form and place (an assignment to a secret-like name with a mixed value; a plain number; a value
 made of dictionary words; an address); a labelled table of one's own can be passed instead. It is
 fitted on at most ``MAX_LABELLED`` findings, those with the smallest hashes; dictionary counts cover
-all documents and keep the ``DICTIONARY`` most frequent words. All findings of all documents are
-scored. Without findings of both labels, the labels alone decide.
+all documents and keep about the ``DICTIONARY`` most frequent words. Both are cut by a threshold that Spark
+finds from counts first, so the driver gets the rows it keeps and no list of every partition. All findings of
+all documents are scored. Without findings of both labels, the labels alone decide.
 
 Defined results: NULL and empty texts have no candidates; a candidate may be as long as its text;
-repeated rows are scanned row by row; an empty table gives an empty result; columns other than
+repeated rows are scanned row by row; equal values are judged on their own, each by its place; an empty table gives an empty result; columns other than
 ``doc_id``, ``text`` and the path column are ignored. Memory is bounded by one text.
 """
 
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsig.llm.forest import RandomForest
 from procsig.llm.registry import register
+from procsig.session import cut_lineage
 from procsig.sources.tables import table
 
 MIN_CHARS, MAX_LABELLED, DICTIONARY, THRESHOLD = 16, 20_000, 20_000, 0.5
@@ -130,7 +132,11 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of 3 to 12 letters over all documents (ties: the smaller word)."""
+    """About the ``size`` most frequent words of 3 to 12 letters over all documents.
+
+    Words fall into classes of nearly equal counts; whole classes are taken from the top, and of the first one
+    that does not fit the words with the smallest hashes.
+    """
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
         seen: Counter = Counter()
@@ -147,12 +153,29 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
                     yield out()
                     seen.clear()
         yield out()
-    counts = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = cut_lineage(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word")
+                         .agg(F.floor(F.log2(F.sum("n")) * 16).cast("int").alias("class")))
+    left, whole, part, share = size, 1 << 30, -1, 0.0
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):  # a thousand classes at most
+        if r["count"] > left:
+            part, share = r["class"], left / r["count"]
+            break
+        left, whole = left - r["count"], r["class"]
+    some = (F.col("class") == part) & _under(share, "word")
+    return sorted(r["word"] for r in counts.where((F.col("class") >= whole) | some).select("word").collect())
+
+
+def _place(*columns) -> Column:
+    return F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1 << 40))
+
+
+def _under(share: float, *columns) -> Column:
+    """A hash sample of about ``share`` of the distinct values."""
+    return _place(*columns) < F.lit(int(share * (1 << 40)))
 
 
 def labelled_sample(docs: DataFrame, words: list[str], bound: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of at most ``bound`` labelled findings: those with the smallest hashes.
+    """(features, labels) of at most ``bound`` labelled findings, half of each label: those with the smallest hashes.
 
     Equal findings (copies of a document) have equal features and hashes and count once.
     """
@@ -165,11 +188,15 @@ def labelled_sample(docs: DataFrame, words: list[str], bound: int = MAX_LABELLED
                 keep = np.flatnonzero(y >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.list_(pa.float64())),
                                                   pa.array(y[keep].astype(np.int32))], names=["x", "y"])
-    found = docs.mapInArrow(find, "x array<double>, y int").distinct()
-    rows = []
-    for y in (0, 1):
-        rows += found.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(bound // 2).collect()
-    return np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows])
+    found = cut_lineage(docs.mapInArrow(find, "x array<double>, y int").distinct())
+    count = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}  # two rows
+    half = bound // 2
+    keep = F.lit(False)
+    for y, n in count.items():  # a few more than asked for, so that the smallest hashes are among them
+        keep = keep | ((F.col("y") == y) & _under(min(1.0, (half + 4 * math.sqrt(half)) / n), "x"))
+    rows = [(r["k"], tuple(r["x"]), r["y"]) for r in found.where(keep).select(_place("x").alias("k"), "x", "y").collect()]
+    rows = sorted(r[1:] for y in (0, 1) for r in sorted(x for x in rows if x[2] == y)[:half])
+    return np.array([x for x, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for _, y in rows], dtype=np.int64)
 
 
 def train(docs: DataFrame, labelled: tuple[np.ndarray, np.ndarray] | None = None):
