@@ -15,7 +15,11 @@ or more. The steps, none of which holds an unbounded group or emits all pairs of
 4. ``verified_links``: the full sets of provisional groups meet in blocks of bounded size. Every
    pair in a block is decided by its exact intersection unless its two sides are linked already;
    groups of several blocks share pivots;
-5. pairs of one band key in different blocks whose sides are still apart are verified one by one;
+5. where sides of a group of several blocks are still apart, a prefix-filtered join finds the pairs of
+   different blocks that may link: shingles are ordered by rarity in the group, a pair must share one of the
+   rarest seventh of the smaller set and of the rarest quarter of the larger (``spanning_candidates``); a family of
+   texts that share a form but are no duplicates shares its common shingles, not its rare ones, and gives no
+   pairs. Candidates are verified on full sets;
 6. union-find over verified links; the component is the smallest ``doc_id`` reachable.
 
 Defined results: NULL, empty and blank texts have no shingles and link with nothing; a NULL
@@ -32,11 +36,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from procsig.llm.components import components
 from procsig.llm.registry import register
 from procsig.llm.runs import groups
-from procsig.llm.superminhash import SLOTS, band_keys, sketch, superminhash
+from procsig.llm.superminhash import band_keys, sketch, superminhash
 from procsig.llm.text import packed
 from procsig.llm.wordhash import shingle_sets, text_chunks
 from procsig.session import cut_lineage
@@ -242,31 +247,63 @@ def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def block_spanning_links(docs: DataFrame, nodes: DataFrame, bands: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between blocks of one provisional group whose sides are not connected yet.
-
-    Per band key, the most common component is the main one: rows outside it meet all other rows,
-    so that keys held by one component cost nothing.
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, grams in enumerate(b.column("grams")):
+            g = np.frombuffer(grams.as_buffer(), dtype=np.int64)
+            for lo in range(0, len(g), 50_000):
+                part = g[lo:lo + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column("fp")[i].as_py()] * len(part), pa.binary()), pa.array([b.column("comp")[i].as_py()] * len(part), pa.binary()),
+                     pa.array(np.full(len(part), len(g))), pa.array(part)], names=["fp", "comp", "size", "gram"])
+
+
+def spanning_candidates(sets: DataFrame, place: DataFrame) -> DataFrame:
+    """``sets(fp, comp, grams)``, ``place(fp, label, block)`` -> pairs ``(a, b)`` of different blocks and labels of one
+    ``comp`` that may link.
+
+    AllPairs / PPJoin: with the pair ordered by set size, a linked pair shares a shingle among the first
+    size - ceil(6/7 size) + 1 of the smaller set and the first size - ceil(3/4 size) + 1 of the larger, in the order of
+    rarity; sizes and the two places bound what can still be shared. Shingles of one set take places but
+    no join. Of the labels that hold a shingle the most common one meets only the others.
     """
+    rows = sets.select("fp", "comp", "grams").mapInArrow(_gram_rows, "fp binary, comp binary, size bigint, gram bigint")
+    shared = rows.groupBy("comp", "gram").agg(F.count("*").alias("df")).where("df > 1")
+    known = rows.join(shared, ["comp", "gram"])
+    by_rarity = Window.partitionBy("fp").orderBy("df", "gram")
+    placed = (known.withColumn("place", F.row_number().over(by_rarity)).withColumn("several", F.count("*").over(Window.partitionBy("fp")))
+              .withColumn("place", F.col("place") + F.col("size") - F.col("several"))
+              .where("place <= size - (3 * size + 3) div 4 + 1")
+              .select("comp", "gram", "fp", "size", "place", F.expr("place <= size - (6 * size + 6) div 7 + 1").alias("small")))
+    rows = placed.join(place.select("fp", "label", "block"), "fp")
+    per = rows.groupBy("comp", "gram", "label").count()
+    main = (per.groupBy("comp", "gram").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"))
+            .where("labels > 1").select("comp", "gram", F.col("m.label").alias("main")))
+    rows = cut_lineage(rows.join(main, ["comp", "gram"]))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        cond = ((F.col("x.comp") == F.col("y.comp")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label"))
+                & (F.col("x.block") != F.col("y.block"))
+                & ((F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.fp") < F.col("y.fp"))))
+                & (DEN * F.col("x.size") >= NUM * F.col("y.size"))
+                & ((NUM + DEN) * (1 + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")))
+                   >= NUM * (F.col("x.size") + F.col("y.size"))))
+        return x.join(y, cond).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    small, other = rows.where("small"), rows.where("label <> main")
+    return meet(small.where("label <> main"), rows).unionByName(meet(small.where("label = main"), other)).distinct()
+
+
+def block_spanning_links(docs: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between blocks of one provisional group whose sides are not connected yet."""
     label = components(links).withColumnRenamed("root", "label")
-    wide = (placed.where("n_blocks > 1").select("fp", "block").join(nodes.select("fp", "sketch", "n_shingles"), "fp").join(bands, "fp")
-            .join(label.select(F.col("node").alias("fp"), "label"), "fp", "left")
-            .select("fp", "block", "sketch", "n_shingles", F.coalesce("label", "fp").alias("label"), F.explode("bands").alias("key")))
-    per = wide.groupBy("key", "label").count()
-    main = (per.groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"))
-            .where("labels > 1").select("key", F.col("m.label").alias("main")))
-    rows = cut_lineage(wide.join(main, "key"))
-    x, y = rows.where("label <> main").alias("x"), rows.alias("y")
-    different = sum(F.bit_count(F.expr(
-        f"((x.sketch[{i}] ^ y.sketch[{i}]) | shiftrightunsigned(x.sketch[{i}] ^ y.sketch[{i}], 1)) & 6148914691236517205L"))
-        for i in range(SLOTS // 32))
-    cond = ((F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.block") != F.col("y.block"))
-            & (DEN * F.least("x.n_shingles", "y.n_shingles") >= NUM * F.greatest("x.n_shingles", "y.n_shingles"))
-            & (different <= MAX_DIFFERENT))
-    pairs = cut_lineage(x.join(y, cond).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    sets = cut_lineage(_sets_of(docs, placed.join(ends, "fp").select("fp", "rep", "comp", F.array().cast("array<int>").alias("blocks")))
-                       .groupBy("fp").agg(F.first("grams").alias("grams")))
+    wide = (placed.where("n_blocks > 1").join(label.select(F.col("node").alias("fp"), "label"), "fp", "left")
+            .withColumn("label", F.coalesce("label", "fp")))
+    apart = wide.groupBy("comp").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("comp")
+    wide = cut_lineage(wide.join(apart, "comp").select("fp", "rep", "comp", "block", "label"))
+    sets = cut_lineage(_sets_of(docs, wide.select("fp", "rep", "comp", F.array().cast("array<int>").alias("blocks")))
+                       .groupBy("fp").agg(F.first("comp").alias("comp"), F.first("grams").alias("grams")))
+    pairs = cut_lineage(spanning_candidates(sets, wide))
     full = (pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a")
             .join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b"))
     return full.select("a", "b", "ga", "gb").mapInArrow(_pair_links, "a binary, b binary")
@@ -291,7 +328,7 @@ def near_duplicates(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
         "fp", "rep", "comp", "size", "n_blocks", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).alias("block")))
     links = cut_lineage(verified_links(docs, placed))
     if not placed.where("n_blocks > 1").isEmpty():
-        links = cut_lineage(links.unionByName(block_spanning_links(docs, nodes, bands, placed, links)))
+        links = cut_lineage(links.unionByName(block_spanning_links(docs, placed, links)))
     root = components(links)
     rooted = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component"))

@@ -119,3 +119,56 @@ def test_drop_keeps_unlinked_texts_of_null_and_reused_ids(spark):
     left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("root", F.lit("x")))
     got = [(r["doc_id"], (r["text"] or " ")[0]) for r in left.collect()]
     assert sorted(got, key=repr) == sorted([(None, "a"), (None, "b"), (3, "c"), (3, "d"), (5, "e"), (6, "f"), (None, " "), (7, " ")], key=repr)
+
+
+def _form_letters(rnd, n, common, own):
+    """Texts of one form: the same words, each with an insert of its own."""
+    form = [f"f{rnd.randrange(10 ** 9)}" for _ in range(common)]
+    return [" ".join(form[:common // 2] + [f"o{k}_{i}" for i in range(own)] + form[common // 2:]) for k in range(n)]
+
+
+def test_family_of_unlinked_texts_gives_no_pairs(spark, monkeypatch):
+    """A form letter with inserts (similarity about 0.64) spans blocks and links nothing."""
+    found = []
+    plain = dedup.spanning_candidates
+    monkeypatch.setattr(dedup, "spanning_candidates", lambda sets, place: found.append(plain(sets, place)) or found[-1])
+    texts = _form_letters(random.Random(3), 1500, 150, 36)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = near_duplicates(docs, block_docs=60)
+    assert got.where("component_id <> doc_id").count() == 0
+    assert found and found[0].count() < 10 * len(texts)
+
+
+def test_pairs_at_the_threshold_across_blocks_are_linked(spark):
+    """A family under the threshold, and in it pairs just over it: all of these link, in any blocks."""
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for k, t in enumerate(_form_letters(rnd, 120, 150, 40)):
+        w = t.split()
+        rows.append((2 * k, t))
+        n = rnd.choice([6, 12, 15, 18])
+        other = w[:75] + w[75:75 + 40 - n] + [f"z{k}_{i}" for i in range(n)] + w[115:]
+        rows.append((2 * k + 1, " ".join(other)))
+    for doc, n, comp, kept in brute(rows):
+        want[doc] = comp
+    assert 0 < sum(d != c for d, c in want.items()) < len(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block_docs=9)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+
+
+def test_candidates_hold_every_linked_pair(spark):
+    """Prefix, length and place bounds against all pairs, over sets of many sizes."""
+    rnd = random.Random(2)
+    sets = []
+    for f in range(4):
+        base = rnd.sample(range(10_000), 60)
+        for _ in range(25):
+            keep = rnd.sample(base, rnd.randrange(30, 61))
+            sets.append(sorted(set(keep + rnd.sample(range(10_000), rnd.randrange(0, 16)))))
+    rows = [(bytes([i]), b"c", np.array(x, dtype=np.int64).tobytes()) for i, x in enumerate(sets)]
+    place = spark.createDataFrame([(bytes([i]), bytes([i]), i) for i in range(len(sets))], "fp binary, label binary, block int")
+    got = dedup.spanning_candidates(spark.createDataFrame(rows, "fp binary, comp binary, grams binary"), place)
+    pairs = {frozenset((r["a"][0], r["b"][0])) for r in got.collect()}
+    linked = {frozenset((i, j)) for i in range(len(sets)) for j in range(i)
+              if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+    assert linked <= pairs and len(linked) > 20 and len(pairs) < len(sets) * (len(sets) - 1) / 6
