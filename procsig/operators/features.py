@@ -77,20 +77,20 @@ def _finish(df: DataFrame, dropna: bool) -> DataFrame:
     return df.na.drop("any") if dropna else df
 
 
-def windowed(df: DataFrame, spec: SeriesSpec, halo: int, build, chunks: int | str) -> DataFrame:
+def windowed(df: DataFrame, spec: SeriesSpec, halo: int, build, chunks: int | str, ahead: int = 0) -> DataFrame:
     """One window per series, or ordered chunks of hot series: ``chunks`` ranges per series, or
     ``"auto"`` for as many as the largest series asks for (``series_chunks``). Same result."""
     n = series_chunks(df, spec) if chunks == "auto" else chunks
-    return chunked_window(df, spec, halo, build, n) if n > 1 else df.select("*", *build(spec))
+    return chunked_window(df, spec, halo, build, n, ahead) if n > 1 else df.select("*", *build(spec))
 
 
 def lag_features(df: DataFrame, spec: SeriesSpec, lags: Sequence[int] = (1,),
                  columns: Sequence[str] | None = None, dropna: bool = True, chunks: int | str = 1) -> DataFrame:
-    """``{c}_lag_{k}``; negative k looks ahead (lead), which chunks only look back for."""
+    """``{c}_lag_{k}``; negative k looks ahead (lead). ``columns=None``: every numeric column but keys and order."""
     cols = _columns(df, spec, columns)
     df = spec.drop_null_keys(df)
-    chunks = chunks if min(lags, default=0) >= 0 else 1
-    return _finish(windowed(df, spec, max(lags, default=0), lambda s: lag_exprs(s, cols, lags), chunks), dropna)
+    back, ahead = max([0, *lags]), max([0, *(-k for k in lags)])
+    return _finish(windowed(df, spec, back, lambda s: lag_exprs(s, cols, lags), chunks, ahead), dropna)
 
 
 def rolling_features(df: DataFrame, spec: SeriesSpec, windows: Sequence[int] = (3,),
@@ -216,27 +216,28 @@ def chunk_tags(df: DataFrame, spec: SeriesSpec, n_chunks: int, halo: int = 1,
     return with_count_below(df, arr, F.col(first), n_chunks, "_chunk", inclusive=True).select(*df.columns, "_chunk")
 
 
-def windowed_chunks(tagged: DataFrame, spec: SeriesSpec, halo: int, build) -> DataFrame:
-    """Evaluate trailing-window expressions chunk by chunk: the last ``halo`` rows before each
-    chunk are copied into it, every chunk is windowed independently under
+def windowed_chunks(tagged: DataFrame, spec: SeriesSpec, halo: int, build, ahead: int = 0) -> DataFrame:
+    """Evaluate window expressions chunk by chunk: the last ``halo`` rows before each chunk and the
+    first ``ahead`` rows behind it are copied into it, every chunk is windowed independently under
     ``spec.with_extra('_chunk')`` and the copies are dropped again.
 
-    The rows before a chunk may lie in several earlier chunks when some of them are shorter than
-    the halo: each chunk's last rows are tagged with their place in the series (chunk sizes, a
-    small table, give the places) and go to every later chunk that starts within ``halo`` rows.
+    The rows next to a chunk may lie in several chunks when some of them are shorter than the halo: each
+    chunk's last (first) rows are tagged with their place in the series (chunk sizes, a small table, give
+    the places) and go to every later (earlier) chunk that they are within ``halo`` (``ahead``) rows of.
     """
-    if halo < 0:
-        raise ValueError("halo must be >= 0")
+    if halo < 0 or ahead < 0:
+        raise ValueError("halo and ahead must be >= 0")
     keys = list(spec.keys)
     cols = [c for c in tagged.columns if c != "_chunk"]
     chunk_spec = spec.with_extra("_chunk")
     own = tagged.select(*cols, "_chunk", F.lit(False).alias("_halo"))
-    if halo:
+    if halo or ahead:
         sizes = tagged.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
         w = (Window.partitionBy(*keys) if keys else Window).orderBy("_chunk")  # one row per chunk
         ends = sizes.select(*keys, "_chunk", F.sum("_cn").over(w).alias("_end"))
         # chunks that follow, with the rows between this chunk's end and their start
         starts = ends.select(*keys, "_chunk", "_end", F.coalesce(F.lag("_end").over(w), F.lit(0)).alias("_before"))
+    if halo:
         later = starts.select(*keys, "_chunk", "_end", F.collect_list(
             F.struct(F.col("_chunk").alias("to"), F.col("_before").alias("before"))).over(w.rowsBetween(1, halo)).alias("_later"))
         tails = tagged.select("*", F.row_number().over(_desc_window(chunk_spec)).alias("_rdesc")).filter(F.col("_rdesc") <= halo)
@@ -244,17 +245,25 @@ def windowed_chunks(tagged: DataFrame, spec: SeriesSpec, halo: int, build) -> Da
         copies = moved.filter(F.col("_rdesc") + F.col("_to.before") - F.col("_end") <= halo).select(
             *cols, F.col("_to.to").alias("_chunk"), F.lit(True).alias("_halo"))
         own = own.unionByName(copies)
+    if ahead:
+        earlier = starts.select(*keys, "_chunk", "_before", F.collect_list(
+            F.struct(F.col("_chunk").alias("to"), F.col("_end").alias("end"))).over(w.rowsBetween(-ahead, -1)).alias("_earlier"))
+        heads = tagged.select("*", F.row_number().over(chunk_spec.window()).alias("_rasc")).filter(F.col("_rasc") <= ahead)
+        moved = heads.join(earlier, [*keys, "_chunk"]).select(*cols, "_rasc", F.explode("_earlier").alias("_to"), "_before")
+        copies = moved.filter(F.col("_rasc") + F.col("_before") - F.col("_to.end") <= ahead).select(
+            *cols, F.col("_to.to").alias("_chunk"), F.lit(True).alias("_halo"))
+        own = own.unionByName(copies)
     out = own.select("*", *build(chunk_spec))
     return out.filter(~F.col("_halo")).drop("_halo")
 
 
-def chunked_window(df: DataFrame, spec: SeriesSpec, halo: int, build, n_chunks: int) -> DataFrame:
-    """Trailing-window expressions over big (or global) series in parallel chunks.
+def chunked_window(df: DataFrame, spec: SeriesSpec, halo: int, build, n_chunks: int, ahead: int = 0) -> DataFrame:
+    """Window expressions over big (or global) series in parallel chunks.
 
-    ``halo`` must be at least the largest look-back (``max(lag, window - 1)``) and
-    ``build(spec)`` returns the window expressions to add. Equal to the unchunked window.
+    ``halo`` must be at least the largest look-back (``max(lag, window - 1)``), ``ahead`` the largest
+    look-ahead, and ``build(spec)`` returns the window expressions to add. Equal to the unchunked window.
     """
-    return windowed_chunks(chunk_tags(df, spec, n_chunks, halo), spec, halo, build).drop("_chunk")
+    return windowed_chunks(chunk_tags(df, spec, n_chunks, max(halo, ahead)), spec, halo, build, ahead).drop("_chunk")
 
 
 def chunked_row_number(tagged: DataFrame, spec: SeriesSpec, name: str = "sample") -> DataFrame:

@@ -144,6 +144,11 @@ def drop_missing(df: DataFrame, subset: Sequence[str] | None = None) -> DataFram
     return df.na.drop("any", subset=list(subset) if subset else None)
 
 
+def head_after(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """T4: the first ``n`` rows after an explicit order."""
+    return df.orderBy(*order).limit(n)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Ingest rule: NaN becomes NULL in every floating column, so aggregates skip it."""
     out = []

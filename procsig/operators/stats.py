@@ -9,10 +9,15 @@ the driver, and only to become literals of the next expression.
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from procsig.functions.scalar import clean, normal_pdf, safe_ln, safe_sqrt, with_count_below
 from procsig.plans.guard import bounded_broadcast, collect_bounded
@@ -28,34 +33,60 @@ def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: st
 
 # ----------------------------------------------------------------- A10 correlation
 
-def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-
-def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), absolute: bool = False,
-                       pairs_per_pass: int = 200) -> DataFrame:
-    """A10: Pearson r for every pair a <= b over rows where both are non-NULL.
-
-    r = covar_pop / (stddev_pop * stddev_pop) on the pairwise-complete rows, NULL when a
-    spread is zero (plain ``corr`` throws under ANSI mode). Pairs are evaluated in chunks
-    of ``pairs_per_pass`` per aggregate so that generated code stays within limits.
+def _gram_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str], shift: Sequence[float]) -> DataFrame:
+    """``by..., i, v``: for variable i, the sums over the rows where it and each other variable are present:
+    count, x_i, x_j, x_i^2, x_j^2 and x_i x_j (each a block of ``len(columns)`` numbers), less the shifts."""
+    d, centre = len(columns), np.array(shift)
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for b in it:
+            x = np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1) - centre
+            m = (~np.isnan(x)).astype(float)
+            x = np.where(m > 0, x, 0.0)
+            keys = list(zip(*[b.column(f"k{i}").to_pylist() for i in range(len(by))])) if by else [()] * b.num_rows
+            code: dict[tuple, int] = {}
+            of = np.array([code.setdefault(k, len(code)) for k in keys])
+            for k, c in code.items():
+                mk, xk = (m, x) if len(code) == 1 else (m[of == c], x[of == c])
+                one, two = xk.T @ mk, (xk * xk).T @ mk
+                part = np.concatenate([mk.T @ mk, one, one.T, two, two.T, xk.T @ xk], axis=1)
+                total[k] = total[k] + part if k in total else part
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([v] * d, type=kinds[i]) for i, v in enumerate(k)), pa.array(range(d), pa.int32()),
+                                              pa.array(list(t), pa.list_(pa.float64()))], names=[*(f"k{i}" for i in range(len(by))), "i", "v"])
+    given = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    kinds = [to_arrow_type(given.schema[f"k{i}"].dataType) for i in range(len(by))]
+    schema = ", ".join([*(f"k{i} {given.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(by))), "i int", "v array<double>"])
+    keys = [f"k{i}" for i in range(len(by))]
+    return given.mapInArrow(sums, schema).groupBy(*keys, "i").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), absolute: bool = False) -> DataFrame:
+    """A10: Pearson r for every pair a <= b over rows where both are present (neither NULL nor NaN).
+
+    One blocked Gram aggregate, whatever the number of columns: every task multiplies its rows (with masks for
+    missing values) into one matrix of sums per group, Spark adds the matrices up by variable. Values are
+    taken relative to a typical value of their column (its approximate median, a value of the data),
+    so that large offsets do not cancel. NULL where a spread is zero.
     """
-    pairs = _pairs(list(columns))
-    out = None
-    for start in range(0, len(pairs), pairs_per_pass):
-        chunk = pairs[start:start + pairs_per_pass]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            both = F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a)) & ~F.isnan(F.col(b))
-            xa = F.when(both, F.col(a).cast("double"))
-            xb = F.when(both, F.col(b).cast("double"))
-            r = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-            aggs.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                                 (F.abs(r) if absolute else r).alias("corr")).alias(f"_p{i}"))
-        g = df.groupBy(*by) if by else df.groupBy()
-        part = g.agg(*aggs).select(*by, F.inline(F.array(*[F.col(f"_p{i}") for i in range(len(chunk))])))
-        out = part if out is None else out.unionByName(part)
-    return out
+    columns, by = list(columns), list(by)
+    middle = df.agg(*[F.percentile_approx(clean(c), 0.5, 100).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shift = [float(v) if v is not None and math.isfinite(v) else 0.0 for v in middle]
+    sums = _gram_sums(df, columns, by, shift)
+    d = len(columns)
+    part = lambda k: F.get(F.col("v"), F.lit(k * d) + F.col("j"))
+    cells = sums.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(by)], "i", vector_to_array("s").alias("v"),
+                        F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("j")).where("i <= j")
+    n, tiny = part(0), F.lit(1e-13)  # a spread below this share of the second moment is rounding
+    cells = cells.select(*by, "i", "j", n.alias("n"), (part(5) * n - part(1) * part(2)).alias("c"),
+                         (part(3) * n - part(1) * part(1)).alias("a"), (part(4) * n - part(2) * part(2)).alias("b"),
+                         (part(3) * n * tiny).alias("ta"), (part(4) * n * tiny).alias("tb"))
+    spread = F.when((F.col("a") > F.col("ta")) & (F.col("b") > F.col("tb")), F.sqrt("a") * F.sqrt("b"))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("c"), spread)))
+    r = F.when(spread.isNotNull(), r)
+    names = F.array(*[F.lit(c) for c in columns])
+    return cells.select(*by, F.get(names, F.col("i")).alias("var_a"), F.get(names, F.col("j")).alias("var_b"), (F.abs(r) if absolute else r).alias("corr"))
 
 
 # ----------------------------------------------------------------- A11-A13 variability

@@ -72,6 +72,22 @@ def roc_curve(spark, sf):
     return rounded(ev.roc_curve(_validation(spark, sf)), {"threshold": 6, "*": 8})
 
 
+CURVE_POINTS = 200
+
+
+@register("roc_thinned", _VAL + _CUM.format(by="", pby="1", src="v") + f"""
+SELECT round(sum(neg * (pos_above + pos / 2.0)) / nullif(any_value(P) * any_value(N), 0), 8) AS auc, true AS few_points, true AS within_bound,
+       true AS ends_at_one, 0.0::DOUBLE AS whole_gap FROM cum""")
+def roc_thinned(spark, sf):
+    """The thinned curve against the whole one: its number of points and the bound on its area."""
+    val = _validation(spark, sf)
+    thin, whole = ev.roc_curve(val, points=CURVE_POINTS), ev.roc_curve(val)
+    told = thin.agg(F.count("*").alias("n"), F.max("fpr").alias("x"), F.max("tpr").alias("y")).first()
+    auc, thin_area, area = ev.roc_auc(val).first()["auc"], ev.roc_area(thin).first()["area"], ev.roc_area(whole).first()["area"]
+    row = (auc, told["n"] <= CURVE_POINTS, abs(thin_area - auc) <= ev.thinning_bound(CURVE_POINTS), told["x"] == told["y"] == 1, abs(area - auc))
+    return rounded(spark.createDataFrame([row], "auc double, few_points boolean, within_bound boolean, ends_at_one boolean, whole_gap double"), 8)
+
+
 def _sweep_sql():
     vals = ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(THRESHOLDS))
     return _VAL + f"""

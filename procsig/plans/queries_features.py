@@ -45,10 +45,21 @@ FROM (SELECT user_id, event_id, value, {lag_sql('value', -1, EW)}, {lag_sql('val
       FROM events WHERE user_id IS NOT NULL)
 """)
 def lead_features(spark, sf):
-    out = fe.lag_features(_events(spark, sf), E.spec, (-1, -2), ["value"], dropna=False)
+    out = fe.lag_features(_events(spark, sf), E.spec, (-1, -2), ["value"], dropna=False, chunks="auto")
     return out.select("user_id", "event_id", "value", "value_lag_-1", "value_lag_-2")
 
 
+@register("mixed_lags_chunked", f"""
+SELECT user_id, event_id, value, {q('value_lag_2')}, {q('value_lag_-3')}
+FROM (SELECT user_id, event_id, value, {lag_sql('value', 2, EW)}, {lag_sql('value', -3, EW)}
+      FROM events WHERE user_id IS NOT NULL)
+""")
+def mixed_lags_chunked(spark, sf):
+    """Hot-series form of W1 in both directions: four ranges per series, halos before and behind."""
+    out = fe.lag_features(_events(spark, sf), E.spec, (2, -3), ["value"], dropna=False, chunks=4)
+    return out.select("user_id", "event_id", "value", "value_lag_2", "value_lag_-3")
+
+
 # ---------------------------------------------------------------- W2 rolling
 _ROLL = [fe.rolling_name(c, s, 3) for c in LV for s in fe.ROLLING_STATS]
 
@@ -243,7 +254,7 @@ SELECT user_id, event_id, value, {q('value_lag_-3')} FROM (
 WHERE {complete(['user_id', 'ts', 'event_id', 'value', 'value_lag_-3'], ['value', 'value_lag_-3'])}
 """)
 def drop_missing(spark, sf):
-    out = fe.lag_features(_events(spark, sf), E.spec, (-3,), ["value"], dropna=False)
+    out = fe.lag_features(_events(spark, sf), E.spec, (-3,), ["value"], dropna=False, chunks="auto")
     return pr.drop_missing(out).select("user_id", "event_id", "value", "value_lag_-3")
 
 

@@ -76,4 +76,5 @@ def load_all() -> None:
     """Import every query module so that its queries register."""
     from procsig.plans import (queries_features, queries_profile, queries_stats,  # noqa: F401
                                queries_detect, queries_evaluate, queries_report, queries_validate,
-                               queries_models, queries_stream, queries_sources)
+                               queries_models, queries_stream, queries_sources,
+                               queries_prepare, queries_uploads)

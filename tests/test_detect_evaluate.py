@@ -132,3 +132,50 @@ def test_exact_quantiles_match_numpy_with_ties_and_tiny_groups(spark):
             vals = np.array([v for k, v in rows if k == g])
             want = np.quantile(vals, probs, method="linear")
             assert np.allclose(got[g], want, rtol=1e-12, atol=1e-12), (g, got[g], want)
+
+
+def test_correlation_is_pairwise_complete_in_one_aggregate(spark):
+    import random
+    import numpy as np
+    r = random.Random(2)
+    rows = []
+    for i in range(300):
+        a = r.gauss(1e6, 2)
+        rows.append((i % 3, a if i % 7 else None, 3 * a + r.gauss(0, 5) if i % 5 else float("nan"), r.gauss(0, 1), 4.25, 1e9 if i % 2 else None))
+    df = spark.createDataFrame(rows, "g int, a double, b double, c double, same double, half double").repartition(4)
+    cols = ["a", "b", "c", "same", "half"]
+    for by in ([], ["g"]):
+        for r_ in st.correlation_matrix(df, cols, by=by).collect():
+            part = [x[1:] for x in rows if not by or x[0] == r_["g"]]
+            i, j = cols.index(r_["var_a"]), cols.index(r_["var_b"])
+            xy = np.array([(x[i], x[j]) for x in part if x[i] is not None and x[j] is not None and x[i] == x[i] and x[j] == x[j]])
+            if xy.std(axis=0).min() == 0:
+                assert r_["corr"] is None
+            else:
+                assert abs(r_["corr"] - np.corrcoef(xy.T)[0, 1]) < 1e-6
+    one = {(x["var_a"], x["var_b"]): x["corr"] for x in st.correlation_matrix(df, cols).collect()}
+    for x in st.correlation_matrix(df, cols, absolute=True).collect():
+        assert x["corr"] == (None if one[x["var_a"], x["var_b"]] is None else abs(one[x["var_a"], x["var_b"]]))
+    plan = st.correlation_matrix(df, cols)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 2  # one pass (shown as initial and current plan)
+
+
+def test_curve_area_is_the_auc_and_thinning_keeps_its_bound(spark):
+    r = random.Random(7)
+    rows = [(m, r.random() < 0.3, round(r.gauss(0, 1), 2 if m == "ties" else 9)) for m in ("plain", "ties") for _ in range(4000)]
+    rows = [(m, y, s + (0.8 if y else 0)) for m, y, s in rows] + [("one", True, float(i)) for i in range(9)] + [(None, i % 3 == 0, float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "model string, label boolean, score double").repartition(6)
+    auc = {x["model"]: x["auc"] for x in ev.roc_auc(df, by=["model"]).collect()}
+    whole = {x["model"]: x["area"] for x in ev.roc_area(ev.roc_curve(df, by=["model"]), ["model"]).collect()}
+    assert auc["one"] is None and whole["one"] is None and set(auc) == {"plain", "ties", "one", None}
+    for m in ("plain", "ties", None):
+        pos, neg = ([s for k, y, s in rows if k == m and y == want] for want in (True, False))
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert abs(auc[m] - want) < 1e-9 and abs(whole[m] - want) < 1e-9
+    for points in (4, 20, 200):
+        thin = ev.roc_curve(df, by=["model"], points=points)
+        n = {x["model"]: x["count"] for x in thin.groupBy("model").count().collect()}
+        area = {x["model"]: x["area"] for x in ev.roc_area(thin, ["model"]).collect()}
+        for m in ("plain", "ties", None):
+            assert n[m] <= points and abs(area[m] - auc[m]) <= ev.thinning_bound(points)
+    assert ev.roc_curve(df.limit(0), points=20).count() == 0

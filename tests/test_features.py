@@ -242,3 +242,19 @@ def test_every_window_operator_in_chunks_equals_the_plain_form(spark):
     for f in forms:
         plain = sorted(map(repr, f(1).collect()))
         assert sorted(map(repr, f(5).collect())) == plain and sorted(map(repr, f("auto").collect())) == plain
+
+
+def test_look_ahead_over_chunks_of_any_size(spark):
+    """Leads and lags over chunks down to one row equal the plain window; short series stay whole."""
+    rows = [("hot", i, float(i * i % 17)) for i in range(200)] + [("small", i, float(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, t int, x double").repartition(5)
+    spec = SeriesSpec(("k",), ("t",))
+    tagged = {"one row": F.col("t"), "short": F.floor(F.col("t") / 3), "uneven": F.when(F.col("t") < 150, F.floor(F.col("t") / 40)).otherwise(F.col("t"))}
+    for lags in ((-1,), (-4, 2), (3, -1, -7)):
+        build = lambda s: fe.lag_exprs(s, ["x"], lags)  # noqa: E731, B023
+        want = {(r.k, r.t): tuple(r) for r in df.select("*", *build(spec)).collect()}
+        for chunk in tagged.values():
+            out = fe.windowed_chunks(df.withColumn("_chunk", chunk.cast("int")), spec, max(0, *lags), build, max(-k for k in lags))
+            assert {(r.k, r.t): tuple(r)[:len(want[r.k, r.t])] for r in out.drop("_chunk").collect()} == want
+        got = fe.lag_features(df, spec, lags, ["x"], dropna=False, chunks=6)
+        assert {(r.k, r.t): tuple(r) for r in got.collect()} == want
