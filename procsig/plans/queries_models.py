@@ -86,7 +86,7 @@ TUNED = {
 }
 #: The registered queries grow fewer and shallower trees than ``TUNED`` and sample fewer tree trials than ``BUDGETS``.
 QUERY_TREES = {"random_forest": {"numTrees": 20, "maxDepth": 8}, "boosted": {"maxIter": 10, "maxDepth": 5}}
-QUERY_BUDGETS = {"zscore": 50, "logistic": 100, "isolation_forest": 9, "random_forest": 9, "boosted": 9}
+QUERY_BUDGETS = {"zscore": 50, "logistic": 100, "isolation_forest": 6, "random_forest": 6, "boosted": 4}
 QUERY_SPACES = sr.SPACES | {
     "isolation_forest": sr.SPACES["isolation_forest"] | {"n_trees": ("int", 20, 60, 20)},
     "random_forest": sr.SPACES["random_forest"] | {"numTrees": ("int", 10, 30, 10), "maxDepth": ("int", 3, 8)},
@@ -171,5 +171,5 @@ def logistic_optimum(spark, sf):
                      *[F.sum(m).alias(f"g{k}_{n}") for k, m in enumerate(miss)], F.count("*").alias("rows")).first()
     for k, c in enumerate(found.strength):
         g = [sums[f"g{k}_{i}"] + found.weights[k][i] / c for i in range(n)] + [sums[f"g{k}_{n}"]]
-        rows.append((c, n, max(map(abs, g)) / sums["rows"] < 1e-8))
+        rows.append((c, n, bool(max(map(abs, g)) / sums["rows"] < 1e-8)))
     return spark.createDataFrame(rows, "c double, n_weights int, at_optimum boolean")

@@ -57,7 +57,7 @@ def validate_uploads(spark, sf):
 
 @register("default_request", """
 WITH l AS (SELECT *, CASE WHEN l_returnflag = 'R' AND l_orderkey % 5 = 0 THEN NULL ELSE l_suppkey END AS run FROM lineitem),
-d AS (SELECT l_returnflag, arg_min(run, (l_orderkey, l_linenumber)) AS run, max(l_linenumber) AS target FROM l GROUP BY l_returnflag),
+d AS (SELECT l_returnflag, arg_min([run], (l_orderkey, l_linenumber))[1] AS run, max(l_linenumber) AS target FROM l GROUP BY l_returnflag),
 f AS (SELECT l.l_returnflag, count(*) AS n_rows, count(DISTINCT l_linenumber) AS n FROM l JOIN d ON l.l_returnflag = d.l_returnflag AND l.run = d.run
       WHERE l_linenumber BETWEEN target - 2 AND target GROUP BY l.l_returnflag)
 SELECT lower(d.l_returnflag) AS source, run::VARCHAR AS run, target::BIGINT AS target, coalesce(n_rows, 0) AS n_rows, coalesce(n, 0) = 3 AS ok
