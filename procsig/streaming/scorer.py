@@ -37,8 +37,9 @@ from procsig.sources.io import scratch_path
 from procsig.spec import SeriesSpec
 
 EVENTS_SPEC = SeriesSpec(("user_id",), ("ts", "event_id"))
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Map states and timers need the RocksDB store; with change logs a batch writes its changes, not a snapshot.
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def serving_matrix(seq: np.ndarray, variables: Sequence[str] = ("value",)) -> np.ndarray:
@@ -122,13 +123,15 @@ class SeriesScorer(StatefulProcessor):
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """The RocksDB state store, which map states and timers need, while a query starts."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKSDB)
+    """The settings of the state store while a query starts."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def score_stream(events: DataFrame, scaler: Moments, zmodel: Moments, threshold: float, watermark: str = "1 day",
