@@ -123,14 +123,13 @@ def contributions(spark, sf):
     f"AS {q(f + '__w')}, avg({q(f)}) AS {q(f + '__mu')}" for f in E_FEATS) + """ FROM feats WHERE split = 'train')
 """ + "\nUNION ALL\n".join(
     f"SELECT user_id, event_id, '{f}' AS feature, round({q(f + '__w')} * ({q(f)} - {q(f + '__mu')}), 6) AS contribution "
-    f"FROM feats, lw WHERE split = 'validation'" for f in E_FEATS))
+    f"FROM feats, lw" for f in E_FEATS))
 def linear_contributions(spark, sf):
-    """R1 for a linear model (diagonal discriminant fitted on the training series)."""
+    """R1 for a linear model (diagonal discriminant fitted on the training series), for every complete row."""
     from procsig.plans.bound import events_features
     feats = events_features(spark, sf)
     w, m = ex.diagonal_discriminant(feats.filter(F.col("split") == "train"), E_FEATS)
-    val = feats.filter(F.col("split") == "validation")
-    return rounded(ex.linear_contributions(val, w, m, ["user_id", "event_id"]), 6)
+    return rounded(ex.linear_contributions(feats, w, m, ["user_id", "event_id"]), 6)
 
 
 # ---------------------------------------------------------------- A26 attribution by base (long form)
