@@ -61,3 +61,19 @@ def test_validation_reports(spark):
                                  "src string, run int, sample int, x string")
     r = va.validate(text, "src", "run", "sample", ["x"], ["sample"]).first()
     assert r.errors == ["Non-numeric feature columns: x"]
+
+
+def test_wide_attribution_equals_the_long_one_without_a_shuffle(spark):
+    from procsig.operators.detect import Moments
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 2.0, 1.0, -5.0, 0.5), (2, None, 3.0, 3.0, None), (3, 1.0, nan, 4.0, 9.0), (4, None, None, 1.0, 1.0)],
+                               "row int, a double, a_lag_1 double, b double, other double")
+    m = Moments({f: 0.5 for f in df.columns[1:]}, {f: 2.0 for f in df.columns[1:]})
+    cat, dim = feature_catalog(spark, ["a", "b"], lags=(1,)), spark.createDataFrame([("a", "A text")], "base string, description string")
+    out = []
+    for wide in (False, True):
+        tot = ex.attribution_by_base(ex.zscore_contributions(df, m, 1.0, ["row"], wide=wide), cat, ["row"])
+        fmt = ex.format_attribution(ex.top_variables(tot, ["row"], 2, dim), ["row"])
+        out.append((sorted(map(str, (ex.long_totals(tot, ["row"]) if wide else tot).collect())), sorted(map(str, fmt.collect()))))
+    assert out[0] == out[1]
+    assert "Exchange" not in fmt._jdf.queryExecution().executedPlan().toString()
