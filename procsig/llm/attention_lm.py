@@ -10,13 +10,12 @@ The model
   ``p(class | context) * (w * p(word | class) + (1 - w) * p(first id | class) * p(further ids))``.
 
 Training gathers from the whole corpus. Counts of all words and of all subword ids come from all training
-documents (shuffles that grow with the input). Classes and attention are learnt from a stretch of every
-training text, a sixteenth of it and 256 characters at least, wherever a hash of the row puts it, so
-they grow with the corpus and long texts take part: Spark adds up, for every id, the random
-projections of the texts it occurs in (its place), and k-means groups the places; after a warm start on
-some stretches, every task goes on with the attention layer over windows from all its stretches, and
+documents (shuffles that grow with the input). Classes and attention are learnt from every training text,
+whole: Spark adds up, for every id, the random projections of the texts it occurs in (its place), and
+k-means groups the places; every task then trains the attention layer over all windows of all its texts, and
 the layers of all tasks are averaged by their windows. The driver holds one place per id of the tokenizer
-and one layer; the warm start alone takes a bounded number of stretches (``WARM_TEXTS``, ``WARM_CHARS``).
+and one layer. Only the values that training starts from come from a bounded number of texts
+(``WARM_TEXTS``, ``WARM_CHARS``).
 
 Scoring cuts every text into windows of ``WINDOW`` ids that overlap by ``OVERLAP``: each id is scored
 once, in the first window where it has its context; windows are scored in batches under one causal
@@ -53,8 +52,6 @@ from procsig.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FREQUENT = 262_144
-#: A stretch is 1 / STRETCH of its text, MIN_STRETCH characters at least; of its ids every SKIP-th window trains.
-STRETCH, MIN_STRETCH, SKIP = 16, 256, 8
 WARM_TEXTS, WARM_CHARS, PLACE, TUNE_RATE = 3000, 2_000, 8, 0.003
 CLASSES, DIM, WINDOW, OVERLAP, STEPS, BATCH = 64, 16, 32, 8, 600, 64
 WORD_SHARE = 0.8
@@ -142,8 +139,8 @@ def _signs(size: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], dtype=np.float32), (size, PLACE))
 
 
-def id_places(stretches: DataFrame, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """(occurrences of every id, sum over them of their text's projection) over all ``stretches(text)``."""
+def id_places(train: DataFrame, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrences of every id, sum over them of their text's projection) over all of ``train(text)``."""
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
         signs, n, total = _signs(sub.size), np.zeros(sub.size, np.int64), np.zeros((sub.size, PLACE))
@@ -162,7 +159,7 @@ def id_places(stretches: DataFrame, path: str, pattern: str) -> tuple[np.ndarray
                     total[:, j] += np.bincount(flat, weights=mean[:, j], minlength=sub.size)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["id", "n", "v"])
-    rows = (stretches.select("text").mapInArrow(gather, "id bigint, n bigint, v array<double>")
+    rows = (train.select("text").mapInArrow(gather, "id bigint, n bigint, v array<double>")
             .groupBy("id").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("v")).collect())  # one row per id
     size = subwords(path, pattern).size
     n, total = np.zeros(size, np.int64), np.zeros((size, PLACE))
@@ -248,7 +245,7 @@ class Attention:
             g[name] = flat(e).T @ flat(d)
         de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], c, de)
+        g["E"] += (c.ravel()[None] == np.arange(CLASSES)[:, None]).astype(de.dtype) @ flat(de)
         return float(value), g
 
     def fit(self, classes: np.ndarray, steps: int = STEPS, seed: int = 9) -> Attention:
@@ -272,8 +269,10 @@ class Attention:
             self.p[k] -= rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(s[k] / (1 - 0.999 ** t)) + 1e-8)
 
     def tuned(self, parts: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
-        """(parameters in one row, windows) after a pass over every ``SKIP``-th window of class sequences; the rate
-        falls with the steps, so that the mean over tasks settles."""
+        """(parameters in one row, windows) after a pass, in single precision, over all windows of class sequences, one
+        behind the other; the rate falls with the steps, so that the mean over tasks settles. What is left of a
+        sequence goes before the next one; the last window of all reaches back over places already seen."""
+        self.p, self.mask = {k: v.astype(np.float32) for k, v in self.p.items()}, self.mask.astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         held, seen, t = [], 0, 0
@@ -284,14 +283,22 @@ class Attention:
             x = np.stack(held)
             self._step(self.loss(x[:, :-1], x[:, 1:])[1], m, s, t, TUNE_RATE / math.sqrt(1 + t / 50))
             held.clear()
+        rest = last = np.empty(0, dtype=np.int32)
         for c in parts:
-            for at in range(0, len(c) - WINDOW, SKIP * WINDOW):
+            c = np.concatenate([rest, c])
+            n = max(0, (len(c) - 1) // WINDOW)
+            for at in range(0, n * WINDOW, WINDOW):
                 held.append(c[at:at + WINDOW + 1])
                 if len(held) == BATCH:
                     step()
+            if n:
+                last = c[(n - 1) * WINDOW:n * WINDOW]
+            rest = c[n * WINDOW:]
+        if len(rest) > 1 and len(last):
+            held.append(np.concatenate([last, rest])[-WINDOW - 1:])
         if held:
             step()
-        return self.row(), seen
+        return self.row().astype(float), seen
 
     def row(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
@@ -429,21 +436,8 @@ def frequent_words(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarra
     return h[order], rows["c"].to_numpy(dtype=np.int64)[order]
 
 
-def stretches(train: DataFrame) -> DataFrame:
-    """``text``: of every training text a stretch that a hash of the row places, cut at spaces."""
-    n = F.char_length("text")
-    size = F.greatest(F.lit(MIN_STRETCH), F.ceil(n / STRETCH)).cast("int")
-    start = F.when(n > size, F.pmod(F.xxhash64("doc_id", n, F.left(F.col("text"), F.lit(64))), F.greatest(n - size, F.lit(1)).cast("bigint"))).otherwise(0).cast("int")
-    cut = train.select(F.substring(F.col("text"), start + 1, size).alias("part"), (start > 0).alias("inside"), (start + size < n).alias("goes_on")).where("part <> ''")
-    head = F.when(F.col("inside"), F.substring(F.col("part"), F.instr("part", " ") + 1, F.char_length("part"))).otherwise(F.col("part"))
-    cut = cut.select(head.alias("part"), "goes_on")
-    last = F.instr(F.reverse("part"), " ")
-    tail = F.when(F.col("goes_on") & (last > 0), F.left(F.col("part"), F.char_length("part") - last)).otherwise(F.col("part"))
-    return cut.select(tail.alias("text")).where("text <> ''")
-
-
 def warm_texts(parts: DataFrame, size: int) -> list[str]:
-    """The beginnings of about ``size`` stretches, chosen by their hash."""
+    """The beginnings of about ``size`` texts, chosen by their hash."""
     n = parts.count()
     share = min(1.0, size / max(n, 1))
     rows = parts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(F.left(F.col("text"), F.lit(WARM_CHARS)).alias("text"))
@@ -451,7 +445,7 @@ def warm_texts(parts: DataFrame, size: int) -> list[str]:
 
 
 def tune(parts: DataFrame, warm: Attention, classes: np.ndarray, path: str, pattern: str) -> Attention:
-    """The mean of the layers that every task gets from ``warm`` over windows of all its stretches, by their number."""
+    """The mean of the layers that every task gets from ``warm`` over all windows of all its texts, by their number."""
     start = warm.row()
 
     def go_on(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +468,7 @@ def train_model(train: DataFrame, words: DataFrame, id_rows: DataFrame, path: st
                 warm_size: int = WARM_TEXTS, steps: int = STEPS) -> Model:
     """Fit on ``train(doc_id, text)``; ``words(h, c)`` and ``id_rows(id, n)`` are its counts."""
     sub = subwords(path, pattern)
-    parts = cut_lineage(stretches(train))
+    parts = train.select("text").where("text <> ''")
     seen, total = id_places(parts, path, pattern)
     classes = id_classes(seen, total, sub.starts)
     flat = sub.spell(sub.read(warm_texts(parts, warm_size) or [""])[0])[0]

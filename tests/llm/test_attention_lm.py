@@ -114,3 +114,15 @@ def test_score_counts_every_trained_word_at_any_bound(spark, odd_docs, sf, monke
     for other in got[1:]:
         assert [r[:4] for r in other] == [r[:4] for r in got[0]]
         assert np.allclose([r[4] for r in other], [r[4] for r in got[0]], rtol=1e-9)
+
+
+def test_every_window_of_every_text_trains(spark):
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, lm.CLASSES, n).astype(np.int32) for n in (700, 5, 20, 9, 900, 3)]
+    _, seen = Attention().tuned(iter(parts))
+    assert seen == -(-(sum(map(len, parts)) - 1) // lm.WINDOW)  # one window for every WINDOW places to predict
+    texts = [" ".join(f"word{i} tail{i}" for i in range(k, k + 3000)) for k in (0, 5000)]
+    sub = lm.subwords(PATH, PATTERN)
+    n, _ = lm.id_places(spark.createDataFrame([(t,) for t in texts], "text string"), PATH, PATTERN)
+    assert n.sum() == len(sub.spell(sub.read(texts)[0])[0])
+    assert not hasattr(lm, "stretches")
