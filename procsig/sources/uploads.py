@@ -16,10 +16,17 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procsig.plans.guard import bounded_broadcast
+from procsig.session import cut_lineage
+
+#: Files, or sources, up to which their table (a row each) is broadcast.
+MAX_FILES = 100_000
+
 
 def upload_folder() -> Column:
-    """Source id of files that belong together: the folder they lie in."""
-    return F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
+    """Source id of files that belong together: the folder they lie in. Evaluated per line: no pattern, which would
+    try every place of the path."""
+    return F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
 
 
 def read_lines(spark: SparkSession, folder: str, source: Column | None = None) -> DataFrame:
@@ -32,17 +39,23 @@ def read_lines(spark: SparkSession, folder: str, source: Column | None = None) -
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """``file, header_seq, names``: one row per file, from its first line."""
-    first = lines.groupBy("file").agg(F.min("ingest_seq").alias("header_seq"), F.min_by("line", "ingest_seq").alias("first"))
-    names = F.transform(F.split("first", ","), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$|^\ufeff', "")))
-    return first.select("file", "header_seq", names.alias("names"))
+    """``file, header_seq, names``: one row per file, from its first line.
+
+    The least place of every block is a hash aggregate of numbers, so no line is sorted; the table of files is
+    materialised and picks the first lines.
+    """
+    blocks = lines.groupBy("file", F.col("ingest_seq.block").alias("block")).agg(F.min("ingest_seq.place").alias("place"))
+    first = cut_lineage(blocks.groupBy("file").agg(F.min(F.struct("block", "place")).alias("header_seq")))
+    found = lines.join(bounded_broadcast(first, MAX_FILES), "file").where(F.col("ingest_seq") == F.col("header_seq"))
+    names = F.transform(F.split("line", ","), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$|^\ufeff', "")))
+    return cut_lineage(found.select("file", "header_seq", names.alias("names")))
 
 
 def records(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """``source, file, ingest_seq, names, values map<string,string>`` of all lines but the headers."""
     width = max(1, heads.agg(F.max(F.size("names"))).first()[0] or 1)
     schema = ", ".join(f"c{i} string" for i in range(width))
-    joined = lines.join(heads, "file").where(F.col("ingest_seq") > F.col("header_seq"))
+    joined = lines.join(bounded_broadcast(heads, MAX_FILES), "file").where(F.col("ingest_seq") > F.col("header_seq"))
     cells = F.slice(F.array(*[F.col(f"cells.c{i}") for i in range(width)]), F.lit(1), F.size("names"))
     parsed = joined.select("source", "file", "ingest_seq", "names", F.from_csv("line", F.lit(schema), {"escape": '"'}).alias("cells"))
     pairs = F.transform(cells, lambda x: F.nullif(F.trim(x), F.lit("")))
@@ -103,18 +116,25 @@ def in_file_order(rows: DataFrame) -> DataFrame:
 def default_request(rows: DataFrame, run: str, sample: str) -> DataFrame:
     """T5 / P10: per source the run of its first line and its largest sample, which a request without them means.
 
-    ``min_by`` over (file, ingest sequence): one aggregate, whatever the order the rows come in.
+    The first line is that of the least (file, ingest sequence), whatever the order the rows come in: a hash aggregate of
+    numbers per block (no row is sorted), the least of the blocks, and a look-up of these lines, one per source.
     """
     value = lambda c: F.try_element_at("values", F.lit(c))
-    return rows.groupBy("source").agg(
-        F.min_by(value(run), F.struct("file", "ingest_seq")).alias("run"), F.max(value(sample).try_cast("double")).cast("long").alias("target"))
+    blocks = rows.groupBy("source", "file", F.col("ingest_seq.block").alias("block")).agg(
+        F.min("ingest_seq.place").alias("place"), F.max(value(sample).try_cast("double")).alias("target"))
+    per = cut_lineage(blocks.groupBy(F.col("source").alias("_source")).agg(
+        F.min(F.struct("file", "block", "place")).alias("_at"), F.max("target").cast("long").alias("target")))
+    same = (F.col("source").eqNullSafe(F.col("_source")) & (F.col("file") == F.col("_at.file"))
+            & (F.col("ingest_seq.block") == F.col("_at.block")) & (F.col("ingest_seq.place") == F.col("_at.place")))
+    return rows.join(bounded_broadcast(per, MAX_FILES), same).select("source", value(run).alias("run"), "target").dropDuplicates(["source"])
 
 
 def requested_window(rows: DataFrame, requests: DataFrame, run: str, sample: str, length: int = 3) -> DataFrame:
     """The rows ``target - length + 1 .. target`` of each source's requested run (P10), with ``ok``: whether all are there."""
     value = lambda c: F.try_element_at("values", F.lit(c))
-    near = rows.select("source", value(run).alias("run"), value(sample).try_cast("double").alias("sample"), "values")
-    hit = near.join(requests, ["source", "run"]).where(F.col("sample").between(F.col("target") - (length - 1), F.col("target")))
+    requests = cut_lineage(requests)  # one row per source, used twice
+    near = rows.select("source", value(run).alias("run"), value(sample).try_cast("double").alias("sample"))
+    hit = near.join(bounded_broadcast(requests, MAX_FILES), ["source", "run"]).where(F.col("sample").between(F.col("target") - (length - 1), F.col("target")))
     found = hit.groupBy("source").agg(F.count_distinct("sample").alias("n_samples"), F.count("*").alias("n_rows"))
     return requests.join(found, "source", "left").select(
         "source", "run", "target", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),

@@ -67,3 +67,16 @@ def test_window_of_the_default_request(spark, folder):
     got = {r["source"]: r for r in up.requested_window(rows, up.default_request(rows, "run", "sample"), "run", "sample").collect()}
     assert (got["good.csv"]["run"], got["good.csv"]["target"], got["good.csv"]["ok"]) == ("2", 3, True)
     assert got["lacks.CSV"]["run"] == "1" and got["lacks.CSV"]["target"] == 6 and not got["lacks.CSV"]["ok"]
+
+
+def test_lines_are_neither_sorted_nor_gathered_by_file(spark, folder):
+    lines = up.read_lines(spark, folder, up.upload_folder())
+    assert {r["source"] for r in lines.select("source").distinct().collect()} == {os.path.basename(folder), "deep"}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" not in plan(lines)
+    heads = up.headers(lines)
+    rows = up.records(lines, heads)
+    assert not any(x in plan(df) for df in (heads, rows) for x in ("SortAggregate", "SortMergeJoin", "Exchange hashpartitioning"))
+    request = up.default_request(rows, "run", "sample")
+    assert "SortMergeJoin" not in plan(request)
+    assert {r["source"]: r["target"] for r in request.collect()} == {os.path.basename(folder): 6, "deep": 9}
