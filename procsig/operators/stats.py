@@ -367,7 +367,9 @@ def anomaly_period(df: DataFrame, series: Sequence[str], sample: str, label: str
 def series_compare(df: DataFrame, columns: Sequence[str], category: str, series: str, x: str,
                    marker: int) -> DataFrame:
     """Mean value per (variable, category, series, x) — repeated x averaged — and an
-    ``after_marker`` flag for x beyond the event marker."""
-    long = unpivot(df, [category, series, x], columns)
-    g = long.groupBy("variable", F.col(category).alias("category"), series, x).agg(F.avg("value").alias("value"))
-    return g.select("*", (F.col(x) > F.lit(marker)).alias("after_marker"))
+    ``after_marker`` flag for x beyond the event marker. All variables are averaged in one group per
+    (category, series, x); the groups, not the rows, become one row per variable."""
+    g = df.groupBy(F.col(category).alias("category"), series, x).agg(*[F.avg(clean(c)).alias(f"_v{i}") for i, c in enumerate(columns)])
+    items = [F.struct(F.lit(c).alias("variable"), F.col(f"_v{i}").alias("value")) for i, c in enumerate(columns)]
+    long = g.select("category", series, x, F.inline(F.array(*items)))
+    return long.select("variable", "category", series, x, "value", (F.col(x) > F.lit(marker)).alias("after_marker"))

@@ -258,3 +258,29 @@ def test_look_ahead_over_chunks_of_any_size(spark):
             assert {(r.k, r.t): tuple(r)[:len(want[r.k, r.t])] for r in out.drop("_chunk").collect()} == want
         got = fe.lag_features(df, spec, lags, ["x"], dropna=False, chunks=6)
         assert {(r.k, r.t): tuple(r) for r in got.collect()} == want
+
+
+def test_series_are_spread_by_their_rows(spark):
+    from procsig.operators import features as fe
+    from procsig.spec import SeriesSpec
+    spec = SeriesSpec(("s",), ("t",))
+    df = spark.range(1000).selectExpr("id % 50 AS s", "id AS t", "id * 1.0D AS v")
+    spread = fe.spread_series(df, spec, target_rows=100)
+    numbered = fe.with_sample_number(spread, spec)
+    assert spread.rdd.getNumPartitions() == 10
+    assert numbered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, numbered.collect())) == sorted(map(tuple, fe.with_sample_number(df, spec).collect()))
+    assert fe.spread_series(df, spec) is df
+
+
+def test_series_compare_averages_before_it_unpivots(spark):
+    from procsig.operators import stats as st
+    nan = float("nan")
+    df = spark.createDataFrame([("x", 1, 1, 2.0, nan), ("x", 1, 1, 4.0, 5.0), ("x", 1, 4, None, None), (None, 2, 4, 1.0, 2.0)],
+                               "cat string, s int, x int, a double, b double")
+    out = st.series_compare(df, ["a", "b"], "cat", "s", "x", 3)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([
+        ("a", "x", 1, 1, 3.0, False), ("b", "x", 1, 1, 5.0, False), ("a", "x", 1, 4, None, True), ("b", "x", 1, 4, None, True),
+        ("a", None, 2, 4, 1.0, True), ("b", None, 2, 4, 2.0, True)], key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("HashAggregate")  # the plan prints its last step first
