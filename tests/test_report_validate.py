@@ -77,3 +77,14 @@ def test_wide_attribution_equals_the_long_one_without_a_shuffle(spark):
         out.append((sorted(map(str, (ex.long_totals(tot, ["row"]) if wide else tot).collect())), sorted(map(str, fmt.collect()))))
     assert out[0] == out[1]
     assert "Exchange" not in fmt._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_bound_of_the_training_series_is_read_from_the_table(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    from procsig.plans import analysis, bound
+    cuts, split = [], analysis.holdout_split
+    monkeypatch.setattr(analysis, "holdout_split", lambda *a, cut=None, **k: (cuts.append(cut), split(*a, cut=cut, **k))[1])
+    rec = bound.lineitem_records(spark, sf, chunks=2)
+    top = rec.where("split = 'train'").agg({"l_suppkey": "max"}).first()[0]
+    rest = rec.where("split <> 'train'").agg({"l_suppkey": "min"}).first()[0]
+    assert len(cuts) == 1 and top <= cuts[0] < rest
