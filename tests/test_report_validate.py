@@ -79,12 +79,14 @@ def test_wide_attribution_equals_the_long_one_without_a_shuffle(spark):
     assert "Exchange" not in fmt._jdf.queryExecution().executedPlan().toString()
 
 
-def test_the_bound_of_the_training_series_is_read_from_the_table(spark, monkeypatch):
-    sf = "/root/testdata/sf0.001"
+def test_the_bound_of_the_training_series_is_read_from_the_table(spark, tmp_path, monkeypatch):
     from procsig.plans import analysis, bound
+    rows = [(i // 20, f"1995-01-{i % 20 + 1:02d}", i, 1, float(i % 7), float(i % 11), 0.1 * (i % 3), 0.01 * (i % 5), "R" if i % 6 == 0 else "N", "F")
+            for i in range(200)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate string, l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     cuts, split = [], analysis.holdout_split
     monkeypatch.setattr(analysis, "holdout_split", lambda *a, cut=None, **k: (cuts.append(cut), split(*a, cut=cut, **k))[1])
-    rec = bound.lineitem_records(spark, sf, chunks=2)
-    top = rec.where("split = 'train'").agg({"l_suppkey": "max"}).first()[0]
-    rest = rec.where("split <> 'train'").agg({"l_suppkey": "min"}).first()[0]
-    assert len(cuts) == 1 and top <= cuts[0] < rest
+    rec = bound.lineitem_records(spark, str(tmp_path), chunks=2)
+    assert len(cuts) == 1 and abs(cuts[0] - 7.2) < 1e-9
+    assert {(r["l_suppkey"], r["split"]) for r in rec.collect()} == {(k, "train" if k < 8 else "validation") for k in range(10)}
