@@ -84,7 +84,8 @@ def test_the_bound_of_the_training_series_is_read_from_the_table(spark, tmp_path
     rows = [(i // 20, f"1995-01-{i % 20 + 1:02d}", i, 1, float(i % 7), float(i % 11), 0.1 * (i % 3), 0.01 * (i % 5), "R" if i % 6 == 0 else "N", "F")
             for i in range(200)]
     spark.createDataFrame(rows, "l_suppkey long, l_shipdate string, l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
-                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+                          "l_discount double, l_tax double, l_returnflag string, l_linestatus string") \
+        .selectExpr("* EXCEPT (l_shipdate)", "cast(l_shipdate AS timestamp_ntz) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
     cuts, split = [], analysis.holdout_split
     monkeypatch.setattr(analysis, "holdout_split", lambda *a, cut=None, **k: (cuts.append(cut), split(*a, cut=cut, **k))[1])
     rec = bound.lineitem_records(spark, str(tmp_path), chunks=2)
