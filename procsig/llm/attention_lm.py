@@ -141,30 +141,14 @@ def _signs(size: int, seed: int = 11) -> np.ndarray:
 
 def id_places(train: DataFrame, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """(occurrences of every id, sum over them of their text's projection) over all of ``train(text)``."""
-    def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = subwords(path, pattern)
-        signs, n, total = _signs(sub.size), np.zeros(sub.size, np.int64), np.zeros((sub.size, PLACE))
-        for b in it:
-            texts = b.column(0).to_pylist()
-            for lo, hi in text_chunks(texts):
-                code, per_text = sub.read(texts[lo:hi])
-                flat, per_word = sub.spell(code)
-                first = np.cumsum(per_text) - per_text
-                ids = np.add.reduceat(per_word, first)
-                at = np.cumsum(ids) - ids
-                mean = np.add.reduceat(signs[flat], at, axis=0) / ids[:, None]
-                mean = np.repeat(mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9), ids, axis=0)
-                n += np.bincount(flat, minlength=sub.size)
-                for j in range(PLACE):
-                    total[:, j] += np.bincount(flat, weights=mean[:, j], minlength=sub.size)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["id", "n", "v"])
-    rows = (train.select("text").mapInArrow(gather, "id bigint, n bigint, v array<double>")
-            .groupBy("id").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("v")).alias("v")).collect())  # one row per id
-    size = subwords(path, pattern).size
+    return gathered_places(corpus_counts(train, path, pattern).where("id IS NOT NULL"), subwords(path, pattern).size)
+
+
+def gathered_places(id_rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, projections) of all ids as arrays, from ``id_rows(id, n, v)``: one row per id of the tokenizer at most."""
     n, total = np.zeros(size, np.int64), np.zeros((size, PLACE))
-    for r in rows:
-        n[r["id"]], total[r["id"]] = r["n"], r["v"].toArray()
+    for r in id_rows.select("id", "n", "v").collect():
+        n[r["id"]], total[r["id"]] = r["n"], r["v"]
     return n, total
 
 
@@ -215,37 +199,72 @@ class Attention:
         i = np.arange(WINDOW)
         self.lag = np.maximum(i[:, None] - i[None, :], 0)
         self.mask = np.where(i[:, None] >= i[None, :], 0.0, -1e9)
+        self.work: dict[str, np.ndarray] = {}
+
+    def _buffer(self, name: str, shape: tuple, dtype: np.dtype) -> np.ndarray:
+        """A work array that stays from step to step."""
+        x = self.work.get(name)
+        if x is None or x.shape != shape or x.dtype != dtype:
+            x = self.work[name] = np.zeros(shape, dtype)
+        return x
 
     def loss(self, c: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log-likelihood over windows ``c -> target`` and its gradient."""
-        p, scale = self.p, 1 / math.sqrt(DIM)
-        e = p["E"][c]
-        q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
-        att = _softmax(q @ k.transpose(0, 2, 1) * scale + p["b"][self.lag] + self.mask)
-        mixed = att @ v
-        h = e + mixed @ p["O"]
-        y = _softmax(h @ p["W"] + p["a"])
-        n = target.size
-        b, l = np.indices(target.shape)
-        value = -np.log(y[b, l, target] + 1e-30).sum() / n
-        dy = y
-        dy[b, l, target] -= 1
-        dy /= n
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        g = {"W": flat(h).T @ flat(dy), "a": flat(dy).sum(axis=0)}
-        dh = dy @ p["W"].T
-        g["O"] = flat(mixed).T @ flat(dh)
+        """Mean negative log-likelihood over windows ``c -> target`` and its gradient.
+
+        Inputs are rows of tables by class, so their gradients are summed by class before they go through the
+        matrices. Attention weights stay unscaled: their sum is one more column of the values. Exponents are
+        held as in ``tables``.
+        """
+        p, scale, (m, l), n, kind = self.p, 1 / math.sqrt(DIM), c.shape, c.size, self.p["E"].dtype
+        buf = lambda name, *shape: self._buffer(name, shape, kind)
+        flat = c.ravel()
+        e = p["E"].take(flat, axis=0)
+        q, k = ((p["E"] @ p[x]).take(flat, axis=0).reshape(m, l, DIM) for x in ("Q", "K"))
+        q *= kind.type(scale)
+        v = np.ones((CLASSES, DIM + 1), kind)
+        v[:, :DIM] = p["E"] @ p["V"]
+        v = v.take(flat, axis=0).reshape(m, l, DIM + 1)
+        att = np.matmul(q, k.transpose(0, 2, 1), out=buf("att", m, l, l))
+        np.clip(att, -30, 30, out=att)
+        np.exp(att, out=att)
+        att *= (np.exp(np.clip(p["b"], -30, 30))[self.lag] * (self.mask == 0)).astype(kind)
+        mixed = np.matmul(att, v, out=buf("mixed", m, l, DIM + 1)).reshape(n, DIM + 1)
+        total = mixed[:, DIM:]
+        mixed = mixed[:, :DIM] / total
+        h = np.ones((n, DIM + 1), kind)  # the head's constant is its last row
+        np.add(e, mixed @ p["O"], out=h[:, :DIM])
+        dy = np.matmul(np.vstack([p["W"], p["a"]]).T, h.T, out=buf("y", CLASSES, n))  # a column per place
+        np.clip(dy, -60, 60, out=dy)
+        np.exp(dy, out=dy)
+        every, at = dy.sum(axis=0), (target.ravel(), np.arange(n))
+        value = -np.log(dy[at] / every + 1e-30).sum() / n
+        dy /= every * n
+        dy[at] -= 1 / n
+        head = (dy @ h).T
+        g = {"W": head[:DIM], "a": head[DIM]}
+        back = buf("back", n, 4 * DIM)  # by place: gradients of e, q, k, v
+        back[:, :DIM] = dh = dy.T @ p["W"].T
+        g["O"] = mixed.T @ dh
         dm = dh @ p["O"].T
-        da = dm @ v.transpose(0, 2, 1)
-        dv = att.transpose(0, 2, 1) @ dm
-        ds = att * (da - (da * att).sum(axis=-1, keepdims=True))
+        by = np.empty((n, DIM + 1), kind)
+        by[:, :DIM] = dm / total
+        by[:, DIM] = -np.einsum("ij,ij->i", by[:, :DIM], mixed)
+        by = by.reshape(m, l, DIM + 1)
+        ways = back.reshape(m, l, 4 * DIM)
+        ways[:, :, 3 * DIM:] = att.transpose(0, 2, 1) @ by[:, :, :DIM]
+        ds = np.matmul(by, v.transpose(0, 2, 1), out=buf("ds", m, l, l))
+        ds *= att
         g["b"] = np.bincount(self.lag.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
+        ways[:, :, DIM:2 * DIM] = ds @ k
+        ways[:, :, 2 * DIM:3 * DIM] = ds.transpose(0, 2, 1) @ q
+        one = buf("one", CLASSES, n)
+        one[flat, at[1]] = 1
+        de, dq, dk, dv = np.split(one @ back, 4, axis=1)
+        one[flat, at[1]] = 0
+        dq = dq * kind.type(scale)
         for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            g[name] = flat(e).T @ flat(d)
-        de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        g["E"] = np.zeros_like(p["E"])
-        g["E"] += (c.ravel()[None] == np.arange(CLASSES)[:, None]).astype(de.dtype) @ flat(de)
+            g[name] = p["E"].T @ d
+        g["E"] = de + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
         return float(value), g
 
     def fit(self, classes: np.ndarray, steps: int = STEPS, seed: int = 9) -> Attention:
@@ -262,42 +281,48 @@ class Attention:
             self._step(g, m, s, t, 0.02 * min(1.0, t / 50) * (1 - 0.9 * t / steps))
         return self
 
-    def _step(self, g: dict, m: dict, s: dict, t: int, rate: float) -> None:
-        for k in self.p:
+    def _step(self, g: dict, m: dict, s: dict, t: int, rate: float, p: dict | None = None) -> None:
+        p = self.p if p is None else p
+        for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-            self.p[k] -= rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(s[k] / (1 - 0.999 ** t)) + 1e-8)
+            p[k] -= rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(s[k] / (1 - 0.999 ** t)) + 1e-8)
 
     def tuned(self, parts: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
         """(parameters in one row, windows) after a pass, in single precision, over all windows of class sequences, one
         behind the other; the rate falls with the steps, so that the mean over tasks settles. What is left of a
         sequence goes before the next one; the last window of all reaches back over places already seen."""
-        self.p, self.mask = {k: v.astype(np.float32) for k, v in self.p.items()}, self.mask.astype(np.float32)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        held, seen, t = [], 0, 0
-
-        def step() -> None:
+        names = sorted(self.p)
+        flat = self.row().astype(np.float32)  # all parameters in one row; ``self.p`` looks into it
+        cuts = np.cumsum([self.p[k].size for k in names])[:-1]
+        self.p = {k: x.reshape(self.p[k].shape) for k, x in zip(names, np.split(flat, cuts))}
+        m, s = {"all": np.zeros_like(flat)}, {"all": np.zeros_like(flat)}
+        seen = t = 0
+
+        def step(x: np.ndarray) -> None:
             nonlocal t, seen
-            t, seen = t + 1, seen + len(held)
-            x = np.stack(held)
-            self._step(self.loss(x[:, :-1], x[:, 1:])[1], m, s, t, TUNE_RATE / math.sqrt(1 + t / 50))
-            held.clear()
-        rest = last = np.empty(0, dtype=np.int32)
+            t, seen = t + 1, seen + len(x)
+            _, g = self.loss(x[:, :-1], x[:, 1:])
+            g = {"all": np.concatenate([g[k].ravel() for k in names]).astype(np.float32)}
+            self._step(g, m, s, t, TUNE_RATE / math.sqrt(1 + t / 50), {"all": flat})
+        held = np.empty((0, WINDOW + 1), dtype=np.int64)
+        rest = last = np.empty(0, dtype=np.int64)
         for c in parts:
             c = np.concatenate([rest, c])
             n = max(0, (len(c) - 1) // WINDOW)
-            for at in range(0, n * WINDOW, WINDOW):
-                held.append(c[at:at + WINDOW + 1])
-                if len(held) == BATCH:
-                    step()
             if n:
+                windows = np.lib.stride_tricks.sliding_window_view(c, WINDOW + 1)[:(n - 1) * WINDOW + 1:WINDOW]
+                held = np.concatenate([held, windows])
+                whole = len(held) // BATCH * BATCH
+                for at in range(0, whole, BATCH):
+                    step(held[at:at + BATCH])
+                held = held[whole:]
                 last = c[(n - 1) * WINDOW:n * WINDOW]
             rest = c[n * WINDOW:]
         if len(rest) > 1 and len(last):
-            held.append(np.concatenate([last, rest])[-WINDOW - 1:])
-        if held:
-            step()
+            held = np.concatenate([held, np.concatenate([last, rest])[None, -WINDOW - 1:]])
+        for at in range(0, len(held), BATCH):
+            step(held[at:at + BATCH])
         return self.row().astype(float), seen
 
     def row(self) -> np.ndarray:
@@ -311,45 +336,54 @@ class Attention:
         return self
 
     def tables(self) -> dict[str, np.ndarray]:
-        """Inference tables over classes: attention weights (before their sum) of every pair and
-        lag, values, inputs and head. Exponents are held within what single precision can sum."""
+        """Inference tables over classes: queries and keys, weights of the lags, values with a column of ones (the
+        sum of the weights), inputs and head. Exponents are held within what single precision can sum."""
         p = self.p
-        pair = np.exp(np.clip((p["E"] @ p["Q"]) @ (p["E"] @ p["K"]).T / math.sqrt(DIM), -30, 30))
         lag = np.exp(np.clip(p["b"][self.lag], -30, 30)) * (self.mask == 0)
+        value = np.c_[p["E"] @ p["V"] @ p["O"], np.ones(CLASSES)]
         return {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in
-                {"pair": pair.ravel(), "lag": lag, "value": p["E"] @ p["V"] @ p["O"], "E": p["E"], "W": p["W"], "a": p["a"]}.items()}
+                {"query": p["E"] @ p["Q"] / math.sqrt(DIM), "key": p["E"] @ p["K"], "lag": lag, "value": value, "E": p["E"],
+                 "W": p["W"], "a": p["a"]}.items()}
 
 
-def class_scores(classes: np.ndarray, per_text: np.ndarray, t: dict[str, np.ndarray], batch: int = 256) -> np.ndarray:
+def class_scores(classes: np.ndarray, per_text: np.ndarray, t: dict[str, np.ndarray], batch: int = 64) -> np.ndarray:
     """log p(class | classes before it in its text) for every place; texts begin in the end class.
 
     Windows hold the inputs; consecutive windows of a text overlap by ``OVERLAP`` places, whose
-    predictions were scored by the window before.
+    predictions were scored by the window before and are not computed again.
     """
     out = np.empty(len(classes), dtype=np.float64)
     stride = WINDOW - OVERLAP
     ends = np.cumsum(per_text)
     begins = ends - per_text
-    n_win = 1 + np.maximum(0, -(-(per_text - WINDOW) // stride))
-    text = np.repeat(np.arange(len(per_text)), n_win)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+    more = np.maximum(0, -(-(per_text - WINDOW) // stride))  # windows behind the first
+    text = np.repeat(np.arange(len(per_text)), more)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(more) - more, more) + 1
     inputs = np.empty(len(classes), dtype=np.int64)
     inputs[1:] = classes[:-1]
     inputs[begins] = 2
-    for lo in range(0, len(text), batch):
-        which, num = text[lo:lo + batch], number[lo:lo + batch]
-        at = (begins[which] + num * stride)[:, None] + np.arange(WINDOW)
-        fresh = (at < ends[which][:, None]) & ((np.arange(WINDOW) >= OVERLAP) | (num == 0)[:, None])
-        c = inputs[np.minimum(at, len(classes) - 1)]
-        s = t["pair"].take((c * CLASSES)[:, :, None] + c[:, None, :])
-        s *= t["lag"]
-        h = t["E"][c] + (s @ t["value"][c]) / s.sum(axis=2, keepdims=True)
-        y = h[fresh] @ t["W"]
-        y += t["a"]
-        np.clip(y, -60, 60, out=y)
-        place = at[fresh]
-        picked = y[np.arange(len(y)), classes[place]]
-        out[place] = picked - np.log(np.exp(y, out=y).sum(axis=1))
+    for new, start, end in ((0, begins, ends), (OVERLAP, begins[text] + number * stride, ends[text])):
+        att = np.empty((batch, WINDOW - new, WINDOW), dtype=np.float32)
+        y = np.empty((CLASSES, batch * (WINDOW - new)), dtype=np.float32)
+        for lo in range(0, len(start), batch):
+            at = start[lo:lo + batch, None] + np.arange(WINDOW)
+            n = len(at)
+            c = inputs.take(at, mode="clip")
+            s = np.matmul(t["query"].take(c[:, new:], axis=0), t["key"].take(c, axis=0).transpose(0, 2, 1), out=att[:n])
+            np.clip(s, -30, 30, out=s)
+            np.exp(s, out=s)
+            s *= t["lag"][new:]
+            mixed = (s @ t["value"].take(c, axis=0)).reshape(-1, DIM + 1)
+            h = mixed[:, :DIM] / mixed[:, DIM:]
+            h += t["E"].take(c[:, new:].ravel(), axis=0)
+            x = np.matmul(t["W"].T, h.T, out=y[:, :len(h)] if n == batch else None)  # a column per place
+            x += t["a"][:, None]
+            np.clip(x, -60, 60, out=x)
+            place = at[:, new:].ravel()
+            picked = x[classes.take(place, mode="clip"), np.arange(len(h))]
+            score = picked - np.log(np.exp(x, out=x).sum(axis=0))
+            inside = place < np.repeat(end[lo:lo + batch], WINDOW - new)
+            out[place[inside]] = score[inside]
     return out
 
 
@@ -396,24 +430,64 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
 
 
+class _Tally:
+    """Of every word (by its number): how often it came, and the sum of its texts' projections."""
+
+    def __init__(self, sub: Subwords):
+        self.sub, self.signs = sub, _signs(sub.size)
+        self.times, self.total, self.of_word = np.zeros(0, np.int64), np.zeros((PLACE, 0)), np.zeros((0, PLACE), np.float32)
+
+    def add(self, texts: list[str | None]) -> None:
+        code, per_text = self.sub.read(texts)
+        more = len(self.sub.codes) - len(self.times)
+        if more:
+            flat, n = self.sub.spell(np.arange(len(self.times), len(self.sub.codes)))
+            self.of_word = np.concatenate([self.of_word, np.add.reduceat(self.signs[flat], np.cumsum(n) - n, axis=0)])
+            self.times = np.concatenate([self.times, np.zeros(more, np.int64)])
+            self.total = np.concatenate([self.total, np.zeros((PLACE, more))], axis=1)
+        first = np.cumsum(per_text) - per_text
+        ids = np.add.reduceat(np.diff(self.sub.first)[code], first)
+        mean = np.add.reduceat(self.of_word[code], first, axis=0) / ids[:, None]
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+        mean[[not t for t in texts]] = 0  # texts without content have no place
+        self.times += np.bincount(code, minlength=len(self.times))
+        for j in range(PLACE):
+            self.total[j] += np.bincount(code, weights=np.repeat(mean[:, j], per_text), minlength=len(self.times))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        code = np.flatnonzero(self.times)
+        ids, per_word = self.sub.spell(code)
+        n, *total = (np.bincount(ids, weights=np.repeat(x[code], per_word), minlength=self.sub.size) for x in (self.times, *self.total))
+        at = np.flatnonzero(n)
+        word, none = np.r_[np.ones(len(code), bool), np.zeros(len(at), bool)], np.zeros(len(code))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[none.astype(np.int64), at], mask=word), pa.array(np.r_[self.sub.hashes[code].view(np.int64), at], mask=~word),
+             pa.array(np.r_[self.times[code], n[at].astype(np.int64)]), *(pa.array(np.r_[none, x[at]], mask=word) for x in total)],
+            names=["id", "h", "n", *_PLACES])
+
+
+_PLACES = [f"p{j}" for j in range(PLACE)]
+
+
 def corpus_counts(train: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(id, h, n)`` over all of ``train(text)``: counts of words by hash (``id`` NULL) and of
-    subword ids (``h`` NULL), from one pass; every text adds one end."""
+    """``(id, h, n, v)`` over all of ``train(text)``: counts of words by hash (``id`` NULL) and of subword ids
+    (``h`` NULL) with the sum of their texts' projections (``v``), from one pass; every text adds one end. A task
+    adds up its words as long as the tokenizer remembers them."""
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path, pattern)
+        tally = _Tally(sub)
         for b in it:
             texts = b.column(0).to_pylist()
             for lo, hi in text_chunks(texts, max_chars=4_000_000, max_texts=100_000):
-                times = np.bincount(sub.read(texts[lo:hi])[0], minlength=len(sub.codes))
-                code = np.flatnonzero(times)
-                ids, per_word = sub.spell(code)
-                total = np.bincount(ids, weights=np.repeat(times[code], per_word), minlength=sub.size).astype(np.int64)
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[np.zeros(len(code), np.int64), at], mask=np.r_[np.ones(len(code), bool), np.zeros(len(at), bool)]),
-                     pa.array(np.r_[sub.hashes[code].view(np.int64), at], mask=np.r_[np.zeros(len(code), bool), np.ones(len(at), bool)]),
-                     pa.array(np.r_[times[code], total[at]])], names=["id", "h", "n"])
-    return train.select("text").mapInArrow(count, "id bigint, h bigint, n bigint").groupBy("id", "h").agg(F.sum("n").alias("n"))
+                if len(sub.codes) > sub.limit:  # numbers are given anew
+                    yield from tally.rows()
+                    tally = _Tally(sub)
+                    sub._clear()
+                tally.add(texts[lo:hi])
+        yield from tally.rows()
+    sums = [F.sum(c).alias(c) for c in _PLACES]
+    return (train.select("text").mapInArrow(count, "id bigint, h bigint, n bigint, " + ", ".join(f"{c} double" for c in _PLACES))
+            .groupBy("id", "h").agg(F.sum("n").alias("n"), *sums).select("id", "h", "n", F.when(F.col("id").isNotNull(), F.array(*_PLACES)).alias("v")))
 
 
 def frequent_words(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
@@ -436,9 +510,8 @@ def frequent_words(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarra
     return h[order], rows["c"].to_numpy(dtype=np.int64)[order]
 
 
-def warm_texts(parts: DataFrame, size: int) -> list[str]:
-    """The beginnings of about ``size`` texts, chosen by their hash."""
-    n = parts.count()
+def warm_texts(parts: DataFrame, n: int, size: int) -> list[str]:
+    """The beginnings of about ``size`` of ``n`` texts, chosen by their hash."""
     share = min(1.0, size / max(n, 1))
     rows = parts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(F.left(F.col("text"), F.lit(WARM_CHARS)).alias("text"))
     return sorted(r["text"] for r in rows.collect())
@@ -466,16 +539,17 @@ def tune(parts: DataFrame, warm: Attention, classes: np.ndarray, path: str, patt
 
 def train_model(train: DataFrame, words: DataFrame, id_rows: DataFrame, path: str, pattern: str,
                 warm_size: int = WARM_TEXTS, steps: int = STEPS) -> Model:
-    """Fit on ``train(doc_id, text)``; ``words(h, c)`` and ``id_rows(id, n)`` are its counts."""
+    """Fit on ``train(doc_id, text)``; ``words(h, c)`` and ``id_rows(id, n, v)`` are its counts."""
     sub = subwords(path, pattern)
     parts = train.select("text").where("text <> ''")
-    seen, total = id_places(parts, path, pattern)
+    found, total = gathered_places(id_rows, sub.size)
+    n_texts = parts.count()
+    seen = found.copy()
+    seen[-1] = n_texts  # ends of texts without content have no place
     classes = id_classes(seen, total, sub.starts)
-    flat = sub.spell(sub.read(warm_texts(parts, warm_size) or [""])[0])[0]
+    flat = sub.spell(sub.read(warm_texts(parts, n_texts, warm_size) or [""])[0])[0]
     attention = tune(parts, Attention().fit(classes[flat], steps), classes, path, pattern)
-    n = np.ones(sub.size)
-    rows = id_rows.toPandas()  # one row per id of the tokenizer at most
-    n[rows["id"].to_numpy(dtype=np.int64)] += rows["n"].to_numpy(dtype=np.int64)
+    n = found + 1.0
     share = np.log(n / np.bincount(classes, weights=n, minlength=CLASSES)[classes])
     # All words of a class, by their first ids; the end is a word of its own class.
     opens = sub.starts.copy()
@@ -493,7 +567,7 @@ def lm_scores(docs: DataFrame, path: str, pattern: str, warm_size: int = WARM_TE
     counts = both.where("id IS NULL").select("h", F.col("n").alias("c"))
     size = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n_train, vocabulary = int(size["n"] or 0), int(size["v"])
-    model = train_model(train, counts, both.where("id IS NOT NULL").select("id", "n"), path, pattern, warm_size, steps)
+    model = train_model(train, counts, both.where("id IS NOT NULL"), path, pattern, warm_size, steps)
     ends = counts.where(F.col("h") == int(END)).first()
     end_count = int(ends["c"]) if ends else 0
 

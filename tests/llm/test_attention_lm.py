@@ -126,3 +126,42 @@ def test_every_window_of_every_text_trains(spark):
     n, _ = lm.id_places(spark.createDataFrame([(t,) for t in texts], "text string"), PATH, PATTERN)
     assert n.sum() == len(sub.spell(sub.read(texts)[0])[0])
     assert not hasattr(lm, "stretches")
+
+
+def test_one_pass_gathers_counts_and_places(spark):
+    texts = ["alpha beta alpha", "", None, "beta gamma", " ", "alpha beta alpha"] + [f"word{i} alpha" for i in range(40)]
+    sub = lm.subwords(PATH, PATTERN)
+    both = lm.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), PATH, PATTERN).collect()
+    n, total = np.zeros(sub.size, np.int64), np.zeros((sub.size, lm.PLACE))
+    for t in texts:
+        ids = sub.spell(sub.read([t])[0])[0]
+        mean = lm._signs(sub.size)[ids].mean(axis=0)
+        np.add.at(n, ids, 1)
+        if t:
+            np.add.at(total, ids, mean / max(np.linalg.norm(mean), 1e-9))
+    got = {r["id"]: (r["n"], r["v"]) for r in both if r["id"] is not None}
+    assert {i: c for i, (c, _) in got.items()} == {int(i): int(n[i]) for i in np.flatnonzero(n)}
+    assert all(np.allclose(v, total[i], atol=1e-5) for i, (_, v) in got.items())
+    words = {r["h"]: r["n"] for r in both if r["id"] is None}
+    assert words[int(lm.END)] == len(texts) and sum(words.values()) == sum(len((t or "").split()) + 1 for t in texts)
+
+
+def test_a_task_sends_each_word_once_however_many_texts_it_reads(spark):
+    sub = lm.subwords(PATH, PATTERN)
+    tally = lm._Tally(sub)
+    for _ in range(3):
+        tally.add(["alpha beta", "beta gamma"])
+    rows = next(tally.rows()).to_pydict()
+    assert sorted(n for i, n in zip(rows["id"], rows["n"]) if i is None) == [3, 3, 6, 6]
+
+
+def test_passes_use_the_work_arrays_again():
+    rng = np.random.default_rng(2)
+    a = Attention()
+    x = rng.integers(0, lm.CLASSES, (2, 4, lm.WINDOW + 1))
+    first = a.loss(x[0][:, :-1], x[0][:, 1:])
+    held = {k: id(v) for k, v in a.work.items()}
+    a.loss(x[1][:, :-1], x[1][:, 1:])
+    again = a.loss(x[0][:, :-1], x[0][:, 1:])
+    assert held and held == {k: id(v) for k, v in a.work.items()}
+    assert first[0] == again[0] and all(np.array_equal(first[1][k], again[1][k]) for k in first[1])
