@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procsig.llm.registry import register
-from procsig.llm.wordhash import text_chunks, word_hashes
+from procsig.llm.wordhash import spaced_words, text_chunks, words_of
 from procsig.session import cut_lineage
 from procsig.sources.tables import table
 
@@ -58,23 +58,56 @@ WORD_SHARE = 0.8
 END = np.uint64(0)  # the end token's hash among word hashes
 
 
-class _Codes(dict):
-    """word -> running number; ``fresh`` collects words met for the first time."""
-
-    def __init__(self):
-        super().__init__({b"": 0})  # no word is empty: this is the end
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        self.fresh.append(word)
+class _Numbers:
+    """hash -> running number from 1, as an array with open addressing; ``END`` is number 0."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.size, self.mask = 1, np.uint64(slots - 1)
+        self.keys, self.codes = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of hashes, -1 for those not met so far."""
+        at = (h & self.mask).view(np.int64)
+        key, code = self.keys.take(at), self.codes.take(at)
+        left = np.flatnonzero(key != h)
+        while len(left):
+            free = key.take(left) == END
+            code[left[free]] = -1
+            left = left[~free]
+            at[left] = (at[left] + 1) & int(self.mask)
+            key[left] = self.keys[at[left]]
+            code[left] = self.codes[at[left]]
+            left = left[key[left] != h[left]]
         return code
 
+    def add(self, h: np.ndarray) -> None:
+        """Numbers distinct new hashes in their order."""
+        if 2 * (self.size + len(h)) > len(self.keys):
+            old = self.keys != END
+            keys, codes, size = self.keys[old], self.codes[old], self.size
+            self.__init__(1 << (4 * (size + len(h))).bit_length())
+            self._put(keys, codes)
+            self.size = size
+        self._put(h, np.arange(self.size, self.size + len(h)))
+        self.size += len(h)
+
+    def _put(self, h: np.ndarray, code: np.ndarray) -> None:
+        at = (h & self.mask).view(np.int64)
+        while len(h):
+            free = self.keys[at] == END
+            self.keys[at[free]], self.codes[at[free]] = h[free], code[free]  # of several for one slot, the last in both
+            left = self.keys[at] != h
+            h, code, at = h[left], code[left], (at[left] + 1) & int(self.mask)
+
 
 class Subwords:
     """Words as numbers with their subword ids (as of a word after a space) and hashes.
 
-    Remembers a bounded number of words; whatever is asked per word is an array look-up.
+    Words are found by their hashes, new ones are spelled in one call. Remembers a bounded number of words; whatever
+    is asked per word is an array look-up.
     """
 
     def __init__(self, path: str, pattern: str, limit: int = 400_000):
@@ -88,32 +121,64 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
-        self.codes = _Codes()
+        self.codes = _Numbers()
         self.ids, self.first = np.array([self.size - 1], dtype=np.int32), np.array([0, 1])
         self.hashes = np.array([END], dtype=np.uint64)
+        self.times = np.zeros(1, dtype=np.int64)  # how often each word came since the last clearing
         self.counts, self.counts_of = np.empty(0, dtype=np.int64), None
 
+    def make_room(self) -> None:
+        """Forgets the words that came once, and the rarer ones beyond half the limit; all numbers change."""
+        least = 2
+        if len(self.times) > self.limit // 2:
+            least = max(least, 1 + int(np.partition(self.times, -self.limit // 2)[-self.limit // 2]))
+        kept = 1 + np.flatnonzero(self.times[1:] >= least)
+        ids, n = self.spell(kept)
+        hashes = self.hashes[kept]
+        self._clear()
+        self._remember(hashes, ids, n)
+        self.times[1:] = 1
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        self.codes.add(hashes)
+        self.ids = np.concatenate([self.ids, ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.times = np.concatenate([self.times, np.zeros(len(hashes), dtype=np.int64)])
+
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all words, words per text); every text closes with the end."""
         if len(self.codes) > self.limit:
-            self._clear()
-        flat: list[bytes] = []
-        per_text = []
-        for t in texts:
-            before = len(flat)
-            if t:
-                flat += t.encode("utf-8", "surrogatepass").lower().split()
-            flat.append(b"")
-            per_text.append(len(flat) - before)
-        code = np.fromiter(map(self.codes.__getitem__, flat), dtype=np.int64, count=len(flat))
-        if self.codes.fresh:
-            new = [w.decode("utf-8", "surrogatepass") for w in self.codes.fresh]
-            self.codes.fresh = []
-            ids = [self.encoding.encode_ordinary(" " + w) for w in new]
-            self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype=np.int32)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-            self.hashes = np.concatenate([self.hashes, word_hashes([" ".join(new)])[0]])
-        return code, np.array(per_text, dtype=np.int64)
+            self.make_room()
+        data, hashes, begins, per_text = words_of(texts)
+        found = self.codes.find(hashes)
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            new, at = np.unique(hashes[fresh], return_index=True)
+            self._remember(new, *self._encode(spaced_words(data, begins[fresh[at]])))
+            found[fresh] = self.codes.find(hashes[fresh])
+        self.times += np.bincount(found, minlength=len(self.times))
+        per_text = per_text + 1
+        inner = np.ones(len(found) + len(texts), dtype=bool)
+        inner[np.cumsum(per_text) - 1] = False
+        code = np.zeros(len(inner), dtype=np.int64)
+        code[inner] = found
+        return code, per_text
+
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, ids per word) of words with a space before each, every word as if alone."""
+        words = text[1:].split(" ")
+        if len(text.split()) == len(words):  # no other white space: no piece of the pattern goes over a space
+            ids = np.array(self.encoding.encode_ordinary(text), dtype=np.int32)
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) == len(words) and not first[0]:
+                return ids, np.diff(np.r_[first, len(ids)])
+        if len(words) > 1:
+            half = len(words) // 2
+            parts = [self._encode("".join(" " + w for w in x)) for x in (words[:half], words[half:])]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        ids = np.array(self.encoding.encode_ordinary(text), dtype=np.int32)
+        return ids, np.array([len(ids)])
 
     def spell(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(subword ids of the words one after the other, ids per word)."""
@@ -188,6 +253,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
+def _hold(x: np.ndarray, bound: float) -> None:
+    """Clips exponents in place, where one passes the bound."""
+    if x.size and (x.max() > bound or x.min() < -bound):
+        np.clip(x, -bound, bound, out=x)
+
+
 class Attention:
     """``h = E[c] + softmax(Q K' / sqrt(d) + b[i - j]) V O``, ``p(next class) = softmax(h W + a)``."""
 
@@ -208,64 +279,59 @@ class Attention:
             x = self.work[name] = np.zeros(shape, dtype)
         return x
 
-    def loss(self, c: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log-likelihood over windows ``c -> target`` and its gradient.
+    def loss(self, c: np.ndarray, target: np.ndarray, valued: bool = True) -> tuple[float | None, dict]:
+        """Mean negative log-likelihood over windows ``c -> target`` (None unless ``valued``) and its gradient.
 
-        Inputs are rows of tables by class, so their gradients are summed by class before they go through the
-        matrices. Attention weights stay unscaled: their sum is one more column of the values. Exponents are
+        Inputs are classes, so queries, keys and values are tables by class: attention looks its weights up by pairs
+        of classes (``V O`` goes into the values), and gradients are summed by class or pair before they go through
+        the matrices. Attention weights stay unscaled: their sum is one more column of the values. Exponents are
         held as in ``tables``.
         """
         p, scale, (m, l), n, kind = self.p, 1 / math.sqrt(DIM), c.shape, c.size, self.p["E"].dtype
         buf = lambda name, *shape: self._buffer(name, shape, kind)
         flat = c.ravel()
-        e = p["E"].take(flat, axis=0)
-        q, k = ((p["E"] @ p[x]).take(flat, axis=0).reshape(m, l, DIM) for x in ("Q", "K"))
-        q *= kind.type(scale)
+        q, k, w = p["E"] @ p["Q"] * kind.type(scale), p["E"] @ p["K"], p["E"] @ p["V"]
         v = np.ones((CLASSES, DIM + 1), kind)
-        v[:, :DIM] = p["E"] @ p["V"]
+        v[:, :DIM] = w @ p["O"]
         v = v.take(flat, axis=0).reshape(m, l, DIM + 1)
-        att = np.matmul(q, k.transpose(0, 2, 1), out=buf("att", m, l, l))
-        np.clip(att, -30, 30, out=att)
-        np.exp(att, out=att)
+        pair = np.add((c * CLASSES)[:, :, None], c[:, None, :], out=self._buffer("pair", (m, l, l), np.dtype(np.int64)))
+        att = np.exp(np.clip(q @ k.T, -30, 30)).ravel().take(pair, out=buf("att", m, l, l), mode="clip")
         att *= (np.exp(np.clip(p["b"], -30, 30))[self.lag] * (self.mask == 0)).astype(kind)
         mixed = np.matmul(att, v, out=buf("mixed", m, l, DIM + 1)).reshape(n, DIM + 1)
-        total = mixed[:, DIM:]
-        mixed = mixed[:, :DIM] / total
-        h = np.ones((n, DIM + 1), kind)  # the head's constant is its last row
-        np.add(e, mixed @ p["O"], out=h[:, :DIM])
+        total = np.repeat(mixed[:, DIM], DIM + 1).reshape(n, DIM + 1)
+        mixed /= total  # the last column becomes 1, the head's constant
+        h = np.c_[p["E"], np.zeros(CLASSES, kind)].take(flat, axis=0)
+        h += mixed
         dy = np.matmul(np.vstack([p["W"], p["a"]]).T, h.T, out=buf("y", CLASSES, n))  # a column per place
-        np.clip(dy, -60, 60, out=dy)
+        _hold(dy, 60)
         np.exp(dy, out=dy)
-        every, at = dy.sum(axis=0), (target.ravel(), np.arange(n))
-        value = -np.log(dy[at] / every + 1e-30).sum() / n
+        every, place = dy.sum(axis=0), np.arange(n)
+        at = target.ravel() * n + place
+        value = float(-np.log(dy.take(at) / every + 1e-30).sum() / n) if valued else None
         dy /= every * n
-        dy[at] -= 1 / n
+        dy.reshape(-1)[at] -= 1 / n
         head = (dy @ h).T
         g = {"W": head[:DIM], "a": head[DIM]}
-        back = buf("back", n, 4 * DIM)  # by place: gradients of e, q, k, v
-        back[:, :DIM] = dh = dy.T @ p["W"].T
-        g["O"] = mixed.T @ dh
-        dm = dh @ p["O"].T
-        by = np.empty((n, DIM + 1), kind)
-        by[:, :DIM] = dm / total
-        by[:, DIM] = -np.einsum("ij,ij->i", by[:, :DIM], mixed)
+        dh = dy.T @ np.vstack([p["W"], np.zeros(CLASSES, kind)]).T
+        by = dh / total
+        by[:, DIM] = (by * mixed) @ np.full(DIM + 1, -1, kind)
         by = by.reshape(m, l, DIM + 1)
-        ways = back.reshape(m, l, 4 * DIM)
-        ways[:, :, 3 * DIM:] = att.transpose(0, 2, 1) @ by[:, :, :DIM]
+        dv = np.matmul(att.transpose(0, 2, 1), by, out=buf("dv", m, l, DIM + 1)).reshape(n, DIM + 1)
         ds = np.matmul(by, v.transpose(0, 2, 1), out=buf("ds", m, l, l))
         ds *= att
         g["b"] = np.bincount(self.lag.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
-        ways[:, :, DIM:2 * DIM] = ds @ k
-        ways[:, :, 2 * DIM:3 * DIM] = ds.transpose(0, 2, 1) @ q
+        ds = np.bincount(pair.ravel(), weights=ds.ravel(), minlength=CLASSES ** 2).reshape(CLASSES, CLASSES).astype(kind)
         one = buf("one", CLASSES, n)
-        one[flat, at[1]] = 1
-        de, dq, dk, dv = np.split(one @ back, 4, axis=1)
-        one[flat, at[1]] = 0
-        dq = dq * kind.type(scale)
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
+        of_class, at = one.reshape(-1), flat * n + place
+        of_class[at] = 1
+        de, dv = (one @ dh)[:, :DIM], (one @ dv)[:, :DIM]
+        of_class[at] = 0
+        dq, dk, dw = ds @ k * kind.type(scale), ds.T @ q, dv @ p["O"].T
+        for name, d in (("Q", dq), ("K", dk), ("V", dw)):
             g[name] = p["E"].T @ d
-        g["E"] = de + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-        return float(value), g
+        g["O"] = w.T @ dv
+        g["E"] = de + dq @ p["Q"].T + dk @ p["K"].T + dw @ p["V"].T
+        return value, g
 
     def fit(self, classes: np.ndarray, steps: int = STEPS, seed: int = 9) -> Attention:
         """Adam on random windows of one long class sequence."""
@@ -277,7 +343,7 @@ class Attention:
         self.p["a"] = np.log(np.bincount(classes, minlength=CLASSES) + 1.0) - math.log(len(classes) + CLASSES)
         for t in range(1, steps + 1):
             at = rng.integers(0, len(classes) - WINDOW, BATCH)[:, None] + np.arange(WINDOW)
-            _, g = self.loss(classes[at], classes[at + 1])
+            _, g = self.loss(classes[at], classes[at + 1], valued=False)
             self._step(g, m, s, t, 0.02 * min(1.0, t / 50) * (1 - 0.9 * t / steps))
         return self
 
@@ -302,7 +368,7 @@ class Attention:
         def step(x: np.ndarray) -> None:
             nonlocal t, seen
             t, seen = t + 1, seen + len(x)
-            _, g = self.loss(x[:, :-1], x[:, 1:])
+            _, g = self.loss(x[:, :-1], x[:, 1:], valued=False)
             g = {"all": np.concatenate([g[k].ravel() for k in names]).astype(np.float32)}
             self._step(g, m, s, t, TUNE_RATE / math.sqrt(1 + t / 50), {"all": flat})
         held = np.empty((0, WINDOW + 1), dtype=np.int64)
@@ -336,14 +402,14 @@ class Attention:
         return self
 
     def tables(self) -> dict[str, np.ndarray]:
-        """Inference tables over classes: queries and keys, weights of the lags, values with a column of ones (the
-        sum of the weights), inputs and head. Exponents are held within what single precision can sum."""
+        """Inference tables over classes: weights of pairs and of lags, values with a column of ones (the sum of the
+        weights), inputs and head. Exponents are held within what single precision can sum."""
         p = self.p
         lag = np.exp(np.clip(p["b"][self.lag], -30, 30)) * (self.mask == 0)
         value = np.c_[p["E"] @ p["V"] @ p["O"], np.ones(CLASSES)]
+        pair = np.exp(np.clip(p["E"] @ p["Q"] @ (p["E"] @ p["K"]).T / math.sqrt(DIM), -30, 30)).ravel()
         return {k: np.ascontiguousarray(v, dtype=np.float32) for k, v in
-                {"query": p["E"] @ p["Q"] / math.sqrt(DIM), "key": p["E"] @ p["K"], "lag": lag, "value": value, "E": p["E"],
-                 "W": p["W"], "a": p["a"]}.items()}
+                {"pair": pair, "lag": lag, "value": value, "input": np.c_[p["E"], np.zeros(CLASSES)], "head": np.vstack([p["W"], p["a"]])}.items()}
 
 
 def class_scores(classes: np.ndarray, per_text: np.ndarray, t: dict[str, np.ndarray], batch: int = 64) -> np.ndarray:
@@ -364,23 +430,22 @@ def class_scores(classes: np.ndarray, per_text: np.ndarray, t: dict[str, np.ndar
     inputs[begins] = 2
     for new, start, end in ((0, begins, ends), (OVERLAP, begins[text] + number * stride, ends[text])):
         att = np.empty((batch, WINDOW - new, WINDOW), dtype=np.float32)
+        pair = np.empty(att.shape, dtype=np.int64)
         y = np.empty((CLASSES, batch * (WINDOW - new)), dtype=np.float32)
         for lo in range(0, len(start), batch):
             at = start[lo:lo + batch, None] + np.arange(WINDOW)
             n = len(at)
             c = inputs.take(at, mode="clip")
-            s = np.matmul(t["query"].take(c[:, new:], axis=0), t["key"].take(c, axis=0).transpose(0, 2, 1), out=att[:n])
-            np.clip(s, -30, 30, out=s)
-            np.exp(s, out=s)
+            np.add((c[:, new:] * CLASSES)[:, :, None], c[:, None, :], out=pair[:n])
+            s = t["pair"].take(pair[:n], out=att[:n], mode="clip")
             s *= t["lag"][new:]
             mixed = (s @ t["value"].take(c, axis=0)).reshape(-1, DIM + 1)
-            h = mixed[:, :DIM] / mixed[:, DIM:]
-            h += t["E"].take(c[:, new:].ravel(), axis=0)
-            x = np.matmul(t["W"].T, h.T, out=y[:, :len(h)] if n == batch else None)  # a column per place
-            x += t["a"][:, None]
-            np.clip(x, -60, 60, out=x)
+            mixed /= np.repeat(mixed[:, DIM], DIM + 1).reshape(mixed.shape)  # the last column becomes 1, the head's constant
+            mixed += t["input"].take(c[:, new:].ravel(), axis=0)
+            x = np.matmul(t["head"].T, mixed.T, out=y[:, :len(mixed)] if n == batch else None)  # a column per place
+            _hold(x, 60)
             place = at[:, new:].ravel()
-            picked = x[classes.take(place, mode="clip"), np.arange(len(h))]
+            picked = x.take(classes.take(place, mode="clip") * np.int64(len(mixed)) + np.arange(len(mixed)))
             score = picked - np.log(np.exp(x, out=x).sum(axis=0))
             inside = place < np.repeat(end[lo:lo + batch], WINDOW - new)
             out[place[inside]] = score[inside]
@@ -481,8 +546,8 @@ def corpus_counts(train: DataFrame, path: str, pattern: str) -> DataFrame:
             for lo, hi in text_chunks(texts, max_chars=4_000_000, max_texts=100_000):
                 if len(sub.codes) > sub.limit:  # numbers are given anew
                     yield from tally.rows()
+                    sub.make_room()
                     tally = _Tally(sub)
-                    sub._clear()
                 tally.add(texts[lo:hi])
         yield from tally.rows()
     sums = [F.sum(c).alias(c) for c in _PLACES]

@@ -30,12 +30,28 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, number of words of every text); A-Z count as a-z."""
+    _, hashes, _, per_text = words_of(texts)
+    return hashes, per_text
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes of all texts, hash and first byte of every word, words per text); A-Z count as a-z."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    ends = np.cumsum([len(r) + 1 for r in raw])
     data = np.frombuffer((b" ".join(raw) + b" ").lower(), dtype=np.uint8)
-    parts = [_hash_words(data[lo:hi], lo) for lo, hi in _segments(data)]
-    starts = np.concatenate([p[1] for p in parts])
-    return np.concatenate([p[0] for p in parts]), np.diff(np.searchsorted(starts, np.r_[0, ends]))
+    parts = [_hash_words(data[lo:hi], lo) for lo, hi in _segments(data, 1 << 18)]  # within a core's cache
+    begins = np.concatenate([p[1] for p in parts])
+    return data, np.concatenate([p[0] for p in parts]), begins, np.diff(
+        np.searchsorted(begins, np.r_[0, np.cumsum([len(r) + 1 for r in raw])]))
+
+
+def spaced_words(data: np.ndarray, begins: np.ndarray) -> str:
+    """The words that begin at these bytes, in this order, a space before each."""
+    space = np.flatnonzero(_SPACE[data])
+    size = space[np.searchsorted(space, begins)] - begins + 1
+    first = np.cumsum(size) - size
+    out = data[np.repeat(begins - 1 - first, size) + np.arange(size.sum())]
+    out[first] = 0x20
+    return out.tobytes().decode("utf-8", "surrogatepass")
 
 
 def _segments(data: np.ndarray, size: int = 1 << 22):

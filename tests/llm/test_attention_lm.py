@@ -165,3 +165,68 @@ def test_passes_use_the_work_arrays_again():
     again = a.loss(x[0][:, :-1], x[0][:, 1:])
     assert held and held == {k: id(v) for k, v in a.work.items()}
     assert first[0] == again[0] and all(np.array_equal(first[1][k], again[1][k]) for k in first[1])
+
+
+def test_words_read_together_are_spelled_as_if_alone():
+    rnd = random.Random(4)
+    chars = "ab'sT 12 é中\u00a0\u2003\n\t\x1c\x85.,-\ud800\U0001f600İ"
+    texts = [None, "", " ", "x" * 300, "don't 's", "A a"] + ["".join(rnd.choice(chars) for _ in range(rnd.randrange(80))) for _ in range(300)]
+    sub = lm.Subwords(PATH, PATTERN)
+    for lo in range(0, len(texts), 50):
+        code, per_text = sub.read(texts[lo:lo + 50])
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() + [None] for t in texts[lo:lo + 50]]
+        assert per_text.tolist() == [len(w) for w in words]
+        flat, n = sub.spell(code)
+        got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+        assert got == [[sub.size - 1] if w is None else sub.encoding.encode_ordinary(" " + w.decode("utf-8", "surrogatepass"))
+                       for t in words for w in t]
+
+
+def test_words_that_come_again_are_not_spelled_again(monkeypatch):
+    sub = lm.Subwords(PATH, PATTERN, limit=100)
+    asked = []
+    spell = lm.Subwords._encode
+    monkeypatch.setattr(lm.Subwords, "_encode", lambda self, text: asked.append(text.split()) or spell(self, text))
+    often = [f"often{i}" for i in range(30)]
+    for k in range(8):
+        text = " ".join(often * 2 + [f"once{k}x{i}" for i in range(40)])
+        code, _ = sub.read([text])
+        assert len(sub.codes) <= 100 + 70
+        want = [i for w in text.split() for i in sub.encoding.encode_ordinary(" " + w)] + [sub.size - 1]
+        assert sub.spell(code)[0].tolist() == want
+    flat = [w for x in asked for w in x]
+    assert len(flat) == len(set(flat)) == 30 + 8 * 40
+    crowd = [f"crowd{i}" for i in range(300)]  # more than the limit, all of them often
+    for _ in range(3):
+        assert sub.spell(sub.read([" ".join(crowd * 2)])[0])[0][-1] == sub.size - 1
+    sub.make_room()
+    assert len(sub.codes) <= 51
+
+
+def test_numbers_grow_and_hold_words_in_one_slot():
+    numbers = lm._Numbers(slots=4)
+    h = np.arange(1, 3000, dtype=np.uint64) * np.uint64(1 << 10)  # many share the low bits
+    for lo in range(0, len(h), 100):
+        assert (numbers.find(h[lo:lo + 100]) == -1).all()
+        numbers.add(h[lo:lo + 100])
+    assert (numbers.find(h) == np.arange(1, 3000)).all() and len(numbers) == 3000
+    assert numbers.find(np.array([lm.END, 7], dtype=np.uint64)).tolist() == [0, -1]
+    assert len(numbers.find(np.empty(0, dtype=np.uint64))) == 0
+
+
+def test_gradient_by_pairs_of_classes_holds_where_places_share_a_class():
+    a = Attention()
+    c = np.zeros((2, lm.WINDOW), dtype=np.int64) + 5
+    t = np.arange(2 * lm.WINDOW).reshape(2, lm.WINDOW) % lm.CLASSES
+    _, g = a.loss(c, t)
+    for k in "EQKVO":
+        x = a.p[k]
+        at = (5, 3) if k == "E" else (2, 3)
+        keep = x[at]
+        x[at] = keep + 1e-5
+        up, _ = a.loss(c, t)
+        x[at] = keep - 1e-5
+        down, _ = a.loss(c, t)
+        x[at] = keep
+        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6
+    assert a.loss(c, t, valued=False)[0] is None
