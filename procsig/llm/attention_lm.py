@@ -88,7 +88,7 @@ class _Numbers:
         if 2 * (self.size + len(h)) > len(self.keys):
             old = self.keys != END
             keys, codes, size = self.keys[old], self.codes[old], self.size
-            self.__init__(1 << (4 * (size + len(h))).bit_length())
+            self.__init__(1 << (2 * (size + len(h))).bit_length())
             self._put(keys, codes)
             self.size = size
         self._put(h, np.arange(self.size, self.size + len(h)))
@@ -253,10 +253,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def _hold(x: np.ndarray, bound: float) -> None:
-    """Clips exponents in place, where one passes the bound."""
-    if x.size and (x.max() > bound or x.min() < -bound):
-        np.clip(x, -bound, bound, out=x)
+def _exponentials(w: np.ndarray, h: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(``exp(w @ h)``, its sums by column); exponents are held within 60 where a sum shows that one may pass it."""
+    with np.errstate(over="ignore"):
+        y = np.matmul(w, h, out=out)
+        every = np.exp(y, out=y).sum(axis=0)
+    if every.size and not (every.min() > 1e-15 and every.max() < 1e26):
+        y = np.clip(np.matmul(w, h, out=out), -60, 60)
+        every = np.exp(y, out=y).sum(axis=0)
+    return y, every
 
 
 class Attention:
@@ -270,6 +275,7 @@ class Attention:
         i = np.arange(WINDOW)
         self.lag = np.maximum(i[:, None] - i[None, :], 0)
         self.mask = np.where(i[:, None] >= i[None, :], 0.0, -1e9)
+        self.spot = np.arange(CLASSES * (DIM + 1)).reshape(CLASSES, DIM + 1)
         self.work: dict[str, np.ndarray] = {}
 
     def _buffer(self, name: str, shape: tuple, dtype: np.dtype) -> np.ndarray:
@@ -302,11 +308,8 @@ class Attention:
         mixed /= total  # the last column becomes 1, the head's constant
         h = np.c_[p["E"], np.zeros(CLASSES, kind)].take(flat, axis=0)
         h += mixed
-        dy = np.matmul(np.vstack([p["W"], p["a"]]).T, h.T, out=buf("y", CLASSES, n))  # a column per place
-        _hold(dy, 60)
-        np.exp(dy, out=dy)
-        every, place = dy.sum(axis=0), np.arange(n)
-        at = target.ravel() * n + place
+        dy, every = _exponentials(np.vstack([p["W"], p["a"]]).T, h.T, buf("y", CLASSES, n))  # a column per place
+        at = target.ravel() * n + np.arange(n)
         value = float(-np.log(dy.take(at) / every + 1e-30).sum() / n) if valued else None
         dy /= every * n
         dy.reshape(-1)[at] -= 1 / n
@@ -321,11 +324,9 @@ class Attention:
         ds *= att
         g["b"] = np.bincount(self.lag.ravel(), weights=ds.sum(axis=0).ravel(), minlength=WINDOW)
         ds = np.bincount(pair.ravel(), weights=ds.ravel(), minlength=CLASSES ** 2).reshape(CLASSES, CLASSES).astype(kind)
-        one = buf("one", CLASSES, n)
-        of_class, at = one.reshape(-1), flat * n + place
-        of_class[at] = 1
-        de, dv = (one @ dh)[:, :DIM], (one @ dv)[:, :DIM]
-        of_class[at] = 0
+        spot = self.spot.take(flat, axis=0).ravel()
+        de, dv = (np.bincount(spot, weights=x.ravel(), minlength=self.spot.size).reshape(self.spot.shape)[:, :DIM].astype(kind)
+                  for x in (dh, dv))
         dq, dk, dw = ds @ k * kind.type(scale), ds.T @ q, dv @ p["O"].T
         for name, d in (("Q", dq), ("K", dk), ("V", dw)):
             g[name] = p["E"].T @ d
@@ -442,11 +443,10 @@ def class_scores(classes: np.ndarray, per_text: np.ndarray, t: dict[str, np.ndar
             mixed = (s @ t["value"].take(c, axis=0)).reshape(-1, DIM + 1)
             mixed /= np.repeat(mixed[:, DIM], DIM + 1).reshape(mixed.shape)  # the last column becomes 1, the head's constant
             mixed += t["input"].take(c[:, new:].ravel(), axis=0)
-            x = np.matmul(t["head"].T, mixed.T, out=y[:, :len(mixed)] if n == batch else None)  # a column per place
-            _hold(x, 60)
+            x, every = _exponentials(t["head"].T, mixed.T, y if n == batch else None)  # a column per place
             place = at[:, new:].ravel()
             picked = x.take(classes.take(place, mode="clip") * np.int64(len(mixed)) + np.arange(len(mixed)))
-            score = picked - np.log(np.exp(x, out=x).sum(axis=0))
+            score = np.log(np.maximum(picked, math.exp(-60))) - np.log(every)
             inside = place < np.repeat(end[lo:lo + batch], WINDOW - new)
             out[place[inside]] = score[inside]
     return out

@@ -230,3 +230,15 @@ def test_gradient_by_pairs_of_classes_holds_where_places_share_a_class():
         x[at] = keep
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6
     assert a.loss(c, t, valued=False)[0] is None
+
+
+@pytest.mark.parametrize("size", [1.0, 40.0, 400.0])
+def test_exponents_are_held_where_a_sum_would_leave_single_precision(size):
+    rng = np.random.default_rng(6)
+    w, h = (rng.normal(0, 1, s).astype(np.float32) for s in ((lm.CLASSES, 3), (3, 500)))
+    w *= np.float32(size)
+    got, every = lm._exponentials(w, h)
+    want = np.exp(np.clip((w @ h).astype(float), -60, 60))
+    assert np.isfinite(got).all() and (every > 0).all()
+    assert np.allclose(every, want.sum(axis=0), rtol=1e-4)
+    assert np.allclose(got / every, want / want.sum(axis=0), rtol=1e-4, atol=1e-12)
