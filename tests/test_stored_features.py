@@ -23,7 +23,7 @@ def samples(spark):
 
 
 def bits(df, columns):
-    return sorted(tuple(struct.pack(">d", v) if isinstance(v, float) else repr(v).encode() for v in r) for r in df.select(*columns).collect())
+    return sorted(tuple(struct.pack(">d", v) if isinstance(v, float) and v == v else repr(v).encode() for v in r) for r in df.select(*columns).collect())
 
 
 def test_projections_of_lags_are_the_windows_to_the_last_bit(samples):
@@ -37,6 +37,13 @@ def test_projections_of_lags_are_the_windows_to_the_last_bit(samples):
             F.forall(F.array(*whole), lambda x: x)).select("k", "sample"), ["k", "sample"]).count() > 0
 
 
+def test_complete_rows_alone_are_the_ok_ones(samples):
+    names = ["k", "sample", "label", *fe.feature_names(["a", "b"])]
+    some = serving_features(samples, SPEC, ["a", "b"], stored=["k", "sample", "label"], complete_only=True)
+    want = serving_features(samples, SPEC, ["a", "b"]).where("ok")
+    assert bits(some.where("ok"), names) == bits(want, names) and 0 < some.count() < samples.count()
+
+
 def test_packed_rows_keep_their_partitions_and_order(spark):
     df = spark.range(25_000).repartition(3, "id").selectExpr("id", "cast(id % 7 AS string) AS s", "timestamp_micros(id) AS t", "if(id % 3 = 0, null, id % 2 = 0) AS b")
     got, want = (x.withColumn("p", F.spark_partition_id()) for x in (cut_lineage_packed(df), df))
@@ -47,7 +54,7 @@ def test_stored_features_are_small_on_disk(spark, tmp_path, monkeypatch):
     """The features of 4 variables are 32 doubles a row; what is written of them is less than a quarter."""
     from procsig.plans import analysis
     written = []
-    monkeypatch.setattr(analysis, "cut_lineage_packed", lambda df: written.append(len(df.columns)) or cut_lineage_packed(df))
+    monkeypatch.setattr(analysis, "cut_lineage_packed", lambda df, *then: written.append(len(df.columns)) or cut_lineage_packed(df, *then))
     df = spark.range(900).selectExpr("id % 9 AS k", "id AS t", "id AS u", *[f"cast(id % {n} AS double) AS v{n}" for n in (3, 5, 7, 11)], "id % 2 = 0 AS label")
     vs = ["v3", "v5", "v7", "v11"]
     got = serving_features(fe.with_sample_number(df, SPEC), SPEC, vs, stored=["k", "sample", "label"])
